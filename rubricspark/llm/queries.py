@@ -10,10 +10,17 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode, ids_digest
 from .common import read_table
+from .lines import OP1_SQL, dedup_lines
+from .mix import mix_sources, taken_words
+from .simhash import simhash_components
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(read_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = bpe_encode(docs, BPE_RANKS, public_tokenizers.PATTERN).drop("text")
@@ -26,8 +33,20 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_components(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken_words(mix_sources(read_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_byte_bpe": op2_byte_bpe,
+    "op5_simhash": op5_simhash,
+    "op6_mix_sources": op6_mix_sources,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL}
