@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode, ids_digest
-from .common import read_table
+from .common import held_out, read_table
+from .langid import fit_languages, identify_language, learnable
 from .lines import OP1_SQL, dedup_lines
 from .mix import mix_sources, taken_words
 from .simhash import simhash_components
@@ -33,6 +34,13 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit_languages(learnable(docs))
+    found = identify_language(docs, model, ["doc_id"])
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -45,6 +53,7 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_byte_bpe": op2_byte_bpe,
+    "op4_language_id": op4_language_id,
     "op5_simhash": op5_simhash,
     "op6_mix_sources": op6_mix_sources,
 }
