@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode, ids_digest
 from .common import held_out, read_table
+from .ego import epsilon_join
 from .langid import fit_languages, identify_language, learnable
 from .lines import OP1_SQL, dedup_lines
 from .mix import mix_sources, taken_words
@@ -50,12 +51,17 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(mix_sources(read_table(spark, sf_dir, "documents")))
 
 
+def op10_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return epsilon_join(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_byte_bpe": op2_byte_bpe,
     "op4_language_id": op4_language_id,
     "op5_simhash": op5_simhash,
     "op6_mix_sources": op6_mix_sources,
+    "op10_embedding_join": op10_embedding_join,
 }
 
 SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL}
