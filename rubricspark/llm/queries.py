@@ -14,7 +14,9 @@ from .ego import epsilon_join
 from .langid import fit_languages, identify_language, learnable
 from .lines import OP1_SQL, dedup_lines
 from .mix import mix_sources, taken_words
+from .quality import apply_rules, fit_quality
 from .simhash import simhash_components
+from .toxicity import fit_toxicity, score_toxicity
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -35,6 +37,13 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, read_table(spark, sf_dir, "labels"))
+    found = score_toxicity(docs, model, ["doc_id"])
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit_languages(learnable(docs))
@@ -51,6 +60,11 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(mix_sources(read_table(spark, sf_dir, "documents")))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return apply_rules(docs, fit_quality(docs, read_table(spark, sf_dir, "labels")), ["doc_id"])
+
+
 def op10_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return epsilon_join(read_table(spark, sf_dir, "embeddings"))
 
@@ -58,9 +72,11 @@ def op10_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_toxicity": op3_toxicity,
     "op4_language_id": op4_language_id,
     "op5_simhash": op5_simhash,
     "op6_mix_sources": op6_mix_sources,
+    "op8_quality_rules": op8_quality_rules,
     "op10_embedding_join": op10_embedding_join,
 }
 
