@@ -28,6 +28,8 @@ MINED_TERMS, CHOSEN = 160, 320
 #: Lengths of word beginnings that count as evidence, and words whose stems a worker remembers.
 STEM_LENGTHS, REMEMBERED = (4, 5, 6, 7, 8), 300_000
 THRESHOLD = 0.3
+#: In the label model: the weight of unlabelled rows, and the most log-odds that all voters together may give.
+UNLABELLED_TRUST, LOUDEST = 0.2, 5.0
 
 #: Lexicons by kind.
 LEXICONS = {
@@ -141,13 +143,16 @@ def label_model(fired: np.ndarray, sides: np.ndarray, given: np.ndarray, rounds:
         votes = (fired * np.where(sides == 1, 1, -0.5)).sum(axis=1)
         post = 1 / (1 + np.exp(-(votes - 0.5)))
     weight, x = np.ones(fired.shape[1]), fired.astype(np.float64)
+    # rows without a label say less about the voters, and no sum of votes is surer than LOUDEST: else a voter that is
+    # the negation of others makes up a class of its own
+    trust = np.where(known, 1.0, UNLABELLED_TRUST if known.any() else 1.0)
     label_right = np.array([0.97, 0.97])
     for r in range(rounds):
-        n1, n0 = post.sum(), (1 - post).sum()
-        p1, p0 = (post @ x + 0.5) / (n1 + 1), ((1 - post) @ x + 0.5) / (n0 + 1)
+        one, none = post * trust, (1 - post) * trust
+        p1, p0 = (one @ x + 0.5) / (one.sum() + 1), (none @ x + 0.5) / (none.sum() + 1)
         # a voter is taken to be right more often than not: one that says otherwise loses its voice
         sign = np.where(sides == 1, p1 >= p0, p0 >= p1)
-        if r % 10 == 9:
+        if r == 0:  # while the classes are still those of the labels: later a voter's own drift hides what it repeats
             e = x - np.outer(post, p1) - np.outer(1 - post, p0)
             scale = np.sqrt((e * e).mean(axis=0)) + 1e-9
             correlation = (e.T @ e) / len(e) / np.outer(scale, scale)
@@ -155,15 +160,15 @@ def label_model(fired: np.ndarray, sides: np.ndarray, given: np.ndarray, rounds:
             np.fill_diagonal(strong, 0)
             weight = 1 / (1 + strong.sum(axis=1))
         step = x @ (weight * sign * np.log(p1 / p0)) + (1 - x) @ (weight * sign * np.log((1 - p1) / (1 - p0)))
-        odds = np.log(prior / (1 - prior)) + step
+        odds = np.log(prior / (1 - prior)) + np.clip(step, -LOUDEST, LOUDEST)
         odds += np.where(given == 1, np.log(label_right[1] / (1 - label_right[0])), 0) + np.where(given == 0, np.log((1 - label_right[1]) / label_right[0]), 0)
         new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         moved = np.abs(new - post).max()
-        post, prior = new, np.clip(new.mean(), 0.005, 0.5)
+        post, prior = new, np.clip((new * trust).sum() / trust.sum(), 0.005, 0.5)
         if known.any():
             right1 = (post * (given == 1)).sum() / max((post * known).sum(), 1e-9)
             right0 = ((1 - post) * (given == 0)).sum() / max(((1 - post) * known).sum(), 1e-9)
-            label_right = np.clip([right0, right1], 0.7, 0.99)
+            label_right = np.clip([right0, right1], 0.9, 0.99)
         if moved < 1e-4 and r > 20:
             break
     e = x - np.outer(post, p1) - np.outer(1 - post, p0)
