@@ -14,9 +14,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    tune_for_texts(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tune_for_texts(spark: SparkSession) -> None:
+    """Session settings of the jobs over whole texts: small Arrow batches, so that a batch of long texts is small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
