@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rubricspark.llm.bpe import bpe_decode, bpe_encode
-from rubricspark.llm.common import materialize, read_table
+from rubricspark.llm.common import materialize, read_table, tune_for_texts
 from rubricspark.llm.langid import language_filter
 from rubricspark.llm.lines import dedup_lines
 from rubricspark.llm.mix import mix_sources, mixed_documents
@@ -21,6 +21,7 @@ from rubricspark.llm.simhash import keep_one
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no language that was learned go (null texts, texts without letters, and what no model predicts)."""
+    tune_for_texts(spark)
     return language_filter(spark, docs)
 
 
