@@ -16,6 +16,7 @@ from .lines import OP1_SQL, dedup_lines
 from .mix import mix_sources, taken_words
 from .quality import apply_rules, fit_quality
 from .simhash import simhash_components
+from .suffix import remove_repeats
 from .toxicity import fit_toxicity, score_toxicity
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -65,6 +66,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(docs, fit_quality(docs, read_table(spark, sf_dir, "labels")), ["doc_id"])
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return epsilon_join(read_table(spark, sf_dir, "embeddings"))
 
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_mix_sources": op6_mix_sources,
     "op8_quality_rules": op8_quality_rules,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_embedding_join": op10_embedding_join,
 }
 
