@@ -14,6 +14,7 @@ from .ego import epsilon_join
 from .langid import fit_languages, identify_language, learnable
 from .lines import OP1_SQL, dedup_lines
 from .mix import mix_sources, taken_words
+from .pii import find_personal_data, fit_tagger
 from .quality import apply_rules, fit_quality
 from .simhash import simhash_components
 from .suffix import remove_repeats
@@ -61,6 +62,12 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(mix_sources(read_table(spark, sf_dir, "documents")))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_personal_data(docs, fit_tagger(docs), ["doc_id"])
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return apply_rules(docs, fit_quality(docs, read_table(spark, sf_dir, "labels")), ["doc_id"])
@@ -82,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_simhash": op5_simhash,
     "op6_mix_sources": op6_mix_sources,
+    "op7_personal_data": op7_personal_data,
     "op8_quality_rules": op8_quality_rules,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_embedding_join": op10_embedding_join,
