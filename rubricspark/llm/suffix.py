@@ -6,6 +6,9 @@ each different one once, are dealt into shards by anchor. A shard's suffixes are
 the leftmost-S positions are sorted first, then induce all others through bucket queues that go to disk when they
 outgrow memory. Neighbours in that order with a common prefix of LENGTH bytes are one passage; the smallest doc_id
 that holds it keeps it.
+
+The surroundings of an anchor are just the passages that choose it. Where documents agree in all of them, the later
+ones lose them without a sort; only the first document with each of several different surroundings sends its text.
 """
 
 from __future__ import annotations
@@ -15,12 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ragged
+from .common import materialize, ragged
 
 LENGTH, K = 50, 16
 #: Windows of K-byte strings in a passage.
@@ -60,30 +62,60 @@ def _anchors_of(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (low & place).astype(np.int64), h
 
 
-def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, place, hash) of the anchors of every passage of each text."""
-    rows, places, hashes = [], [], []
+def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, begin, count, hash, digest): for each anchor of each text the run of passages that choose it.
+
+    begin is the place of the first of count passages; digest is of all bytes of the run.
+    """
+    rows, begins, counts, hashes = [], [], [], []
     ends = np.cumsum([len(t) for t in texts])
     flat = np.frombuffer(b"".join(texts), np.uint8)
     for lo in range(0, len(flat), _PIECE):
-        part = flat[lo : lo + _PIECE + LENGTH - 1]
-        at, h = _anchors_of(part)
+        at, h = _anchors_of(flat[lo : lo + _PIECE + LENGTH - 1])
         if not len(at):
             continue
         begin = lo + np.arange(len(at))
         row = np.searchsorted(ends, begin, side="right")
         inside = begin + LENGTH <= ends[row]  # passages do not go over the end of a text
-        at, row = at[inside], row[inside]
+        at, row, begin = at[inside], row[inside], begin[inside]
         if not len(at):
             continue
-        new = np.concatenate([[True], (at[1:] != at[:-1]) | (row[1:] != row[:-1])])
-        at, row = at[new], row[new]
-        rows.append(row)
-        places.append(lo + at - np.where(row > 0, ends[row - 1], 0))
-        hashes.append(h[at])
+        new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (row[1:] != row[:-1])]))
+        rows.append(row[new])
+        begins.append(begin[new])
+        counts.append(np.diff(np.append(new, len(at))))
+        hashes.append(h[at[new]])
     if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(rows), np.concatenate(places), np.concatenate(hashes)
+        none = np.zeros(0, np.int64)
+        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+    row, begin, count = np.concatenate(rows), np.concatenate(begins), np.concatenate(counts)
+    context = _digests(flat, begin, begin + count + LENGTH - 1)
+    return row, begin - np.where(row > 0, ends[row - 1], 0), count, np.concatenate(hashes), context
+
+
+_ROOT = np.uint64(0xD6E8FEB86659FD93)
+_BACK = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+_BYTE = np.random.default_rng(50).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _digests(flat: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the ranges [begin, end), from running sums of a polynomial."""
+    out = np.empty(len(begin), np.uint64)
+    lo = 0
+    while lo < len(begin):
+        hi = int(np.searchsorted(begin, begin[lo] + _PIECE))
+        base, stop = int(begin[lo]), int(end[lo:hi].max())
+        part = flat[base:stop]
+        power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(part), _ROOT)]))
+        back = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(part), _BACK)]))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[part] * power[:-1])])
+        b, e = begin[lo:hi] - base, end[lo:hi] - base
+        x = (total[e] - total[b]) * back[b] + (e - b).astype(np.uint64) * _B
+        x ^= x >> np.uint64(31)
+        x *= _A
+        out[lo:hi] = x ^ (x >> np.uint64(29))
+        lo = hi
+    return out
 
 
 class Queues:
@@ -221,100 +253,141 @@ def first_holders(contexts: list[bytes], docs: np.ndarray) -> np.ndarray:
 
 
 def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed, because these are the most rows: k1 has 48 bits of the hash and 16 of the digest, k2 has 24 more of the
+    digest, 6 of the count and 34 of the place."""
     for batch in batches:
         ids = batch.column("doc_id").to_numpy()
-        row, place, h = anchors([x.as_py() for x in batch.column("raw")])
-        for lo in range(0, len(row), 1 << 18):
-            cut = slice(lo, lo + (1 << 18))
-            yield pa.RecordBatch.from_arrays([pa.array(h[cut].view(np.int64)), pa.array(ids[row[cut]]), pa.array(place[cut].astype(np.int32))], names=["h", "doc_id", "place"])
+        row, begin, count, h, c = anchors([x.as_py() for x in batch.column("raw")])
+        k1 = (h & np.uint64(0xFFFFFFFFFFFF0000)) | (c >> np.uint64(48))
+        k2 = (((c >> np.uint64(24)) & np.uint64(0xFFFFFF)) << np.uint64(40)) | (count.astype(np.uint64) << np.uint64(34)) | begin.astype(np.uint64)
+        for lo in range(0, len(row), 1 << 17):
+            cut = slice(lo, lo + (1 << 17))
+            yield pa.RecordBatch.from_arrays([pa.array(k1[cut].view(np.int64)), pa.array(k2[cut].view(np.int64)), pa.array(ids[row[cut]])], names=["k1", "k2", "doc_id"])
+
 
+_RANGE = (1 << 40) - 1
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a partition sorted by (hash, digest, doc_id): what is settled, and what must be looked at.
+
+    Rows behind the first document with the same surroundings lose them (h null). Where one hash has several
+    surroundings, in more than one document, the first document with each must be looked at (h not null). Of the last
+    hash of a batch only those first rows are held over, so a hash that very many documents share holds nothing up.
+    """
 
-def _keep_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition sorted by (h, doc_id): rows whose hash two documents have. State: the last hash and its rows."""
-    held: pa.Table | None = None
-    passed = None  # a hash that is known to be shared and may go on
+    def rows(doc: np.ndarray, k2: np.ndarray, h: np.ndarray | None) -> pa.RecordBatch:
+        place = pa.array(k2 & _RANGE)
+        of = pa.nulls(len(doc), pa.int64()) if h is None else pa.array(h)
+        return pa.RecordBatch.from_arrays([pa.array(doc), place, of], names=["doc_id", "at", "h"])
+
+    held = [np.zeros(0, np.int64)] * 3
     for batch in batches:
-        t = pa.Table.from_batches([batch])
-        if held is not None:
-            t = pa.concat_tables([held, t])
-        if not t.num_rows:
-            continue
-        h, d = t.column("h").to_numpy(), t.column("doc_id").to_numpy()
-        cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        size = np.diff(np.append(cut, len(h)))
-        shared = d[cut] != d[cut + size - 1]
-        if passed is not None and h[0] == passed:
-            shared[0] = True
-        keep = np.repeat(shared, size)
-        if shared[-1]:
-            passed, held = h[-1], None
-        else:
-            passed, held = None, t.slice(int(cut[-1]))
-        if keep.any():
-            yield from t.filter(pa.array(keep)).combine_chunks().to_batches()
-
-
-def _context(raw: bytes, place: int) -> tuple[int, bytes]:
-    begin = max(0, place - SPAN + 1)
-    return begin, raw[begin : place + LENGTH]
+        yield from _settle_some(held, [batch.column(n).to_numpy() for n in ("k1", "k2", "doc_id")], False, rows)
+    yield from _settle_some(held, [np.zeros(0, np.int64)] * 3, True, rows)
+
+
+def _settle_some(held: list[np.ndarray], more: list[np.ndarray], last: bool, rows) -> Iterator[pa.RecordBatch]:
+    k1, k2, doc = (np.concatenate([a, b]) for a, b in zip(held, more, strict=True))
+    if not len(k1):
+        return
+    h, c = k1 >> 16, ((k1 & 0xFFFF) << 24) | ((k2 >> 40) & 0xFFFFFF)
+    new_h = np.concatenate([[True], h[1:] != h[:-1]])
+    new_c = new_h | np.concatenate([[True], c[1:] != c[:-1]])
+    run = np.flatnonzero(new_c)
+    behind = doc > np.repeat(doc[run], np.diff(np.append(run, len(doc))))
+    if behind.any():
+        yield rows(doc[behind], k2[behind], None)
+    keep = ~behind
+    k1, k2, doc, h, new_c = k1[keep], k2[keep], doc[keep], h[keep], new_c[keep]
+    cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    end = len(h) if last else int(cut[-1])
+    held[:] = [k1[end:], k2[end:], doc[end:]]
+    k2, doc, h, new_c = k2[:end], doc[:end], h[:end], new_c[:end]
+    cut = cut[cut < end]
+    if not len(cut):
+        return
+    size = np.diff(np.append(cut, end))
+    several = (np.add.reduceat(new_c.astype(np.int64), cut) > 1) & (np.maximum.reduceat(doc, cut) != np.minimum.reduceat(doc, cut))
+    ask = np.repeat(several, size)
+    if ask.any():
+        yield rows(doc[ask], k2[ask], h[ask])
+
+
+def _send_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, ctx, doc_id, begin): the bytes of the runs of passages that must be looked at."""
+    for batch in batches:
+        h, ctx, ids, begins = [], [], [], []
+        for doc_id, raw, asked in zip(batch.column("doc_id").to_pylist(), batch.column("raw").to_pylist(), batch.column("asked").to_pylist(), strict=True):
+            for x in asked:
+                begin, count = x["at"] & ((1 << 34) - 1), x["at"] >> 34
+                run = raw[begin : begin + count + LENGTH - 1]
+                if len(run) < LENGTH:  # another, shorter text of this doc_id
+                    continue
+                h.append(x["h"])
+                ctx.append(run)
+                ids.append(doc_id)
+                begins.append(begin)
+        yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(ctx, pa.binary()), pa.array(ids, pa.int64()), pa.array(begins, pa.int64())], names=["h", "ctx", "doc_id", "begin"])
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition sorted by h: for each context, runs of passages and the first document that holds them."""
-    group: dict[bytes, tuple[int, int]] = {}  # of one hash: context to (its hash, smallest doc)
-    last = None
-    shard: list[tuple[int, bytes, int, int]] = []
-    size = 0
-    out: list[tuple[int, int, int, int, int]] = []
-
-    def close() -> None:
-        nonlocal size
-        if len(group) == 1:
-            (ctx, (c, doc)), = group.items()
-            out.append((last, c, 0, len(ctx) - LENGTH, doc))
-        else:
-            shard.extend((last, ctx, c, doc) for ctx, (c, doc) in group.items())
-            size += sum(map(len, group))
-        group.clear()
-
-    def sort() -> None:
+    """Of a partition sorted by h: ranges [lo, hi) that a document loses to one with a smaller doc_id."""
+    shard: list[tuple[bytes, int, int]] = []
+    size, last = 0, None
+
+    def sort() -> Iterator[pa.RecordBatch]:
         nonlocal size
-        if shard:
-            least = first_holders([x[1] for x in shard], np.array([x[3] for x in shard], np.int64))
-            at = 0
-            for h, ctx, c, _ in shard:
-                n = len(ctx) - LENGTH + 1
-                runs = least[at : at + n]
-                cut = [0, *(np.flatnonzero(runs[1:] != runs[:-1]) + 1).tolist(), n]
-                out.extend((h, c, a, b - 1, int(runs[a])) for a, b in zip(cut, cut[1:], strict=False))
-                at += n
+        texts: dict[bytes, int] = {}
+        for ctx, doc, _ in shard:
+            old = texts.get(ctx)
+            texts[ctx] = doc if old is None else min(old, doc)
+        least = first_holders(list(texts), np.fromiter(texts.values(), np.int64, len(texts)))
+        at = dict(zip(texts, np.cumsum([0, *(len(t) - LENGTH + 1 for t in texts)]).tolist(), strict=False))
+        ids, lows, highs = [], [], []
+        for ctx, doc, begin in shard:
+            lost = least[at[ctx] : at[ctx] + len(ctx) - LENGTH + 1] < doc
+            if lost.any():
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], lost.astype(np.int8), [0]])))
+                for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                    ids.append(doc)
+                    lows.append(begin + a)
+                    highs.append(begin + b - 1 + LENGTH)
         shard.clear()
         size = 0
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lows, pa.int64()), pa.array(highs, pa.int64())], names=["doc_id", "lo", "hi"])
+
+    for batch in batches:
+        for h, ctx, doc, begin in zip(*(batch.column(n).to_pylist() for n in ("h", "ctx", "doc_id", "begin")), strict=True):
+            if h != last and size > SHARD:
+                yield from sort()
+            last = h
+            shard.append((ctx, doc, begin))
+            size += len(ctx)
+    if shard:
+        yield from sort()
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        if out:
-            cols = list(zip(*out, strict=True))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["h", "c", "a", "b", "first"])
-            out.clear()
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        cols = [batch.column(n).to_pylist() for n in ("h", "c", "ctx", "doc_id")]
-        for h, c, ctx, doc in zip(*cols, strict=True):
-            if h != last:
-                if group:
-                    close()
-                    if size > SHARD:
-                        sort()
-                last = h
-            old = group.get(ctx)
-            group[ctx] = (c, doc if old is None else min(old[1], doc))
-        if len(out) > 1 << 15:
-            yield from flush()
-    if group:
-        close()
-    sort()
-    yield from flush()
+        kept, removed, n_spans, size = [], [], [], []
+        for i, raw in enumerate(batch.column("raw").to_pylist()):
+            spans = batch.column("spans")[i].values
+            size.append(len(raw))
+            if spans is None or not len(spans):
+                kept.append(raw)
+                removed.append(0)
+                n_spans.append(0)
+                continue
+            mark = np.zeros(len(raw) + 1, np.int64)
+            np.add.at(mark, np.minimum(spans.field("lo").to_numpy(), len(raw)), 1)
+            np.add.at(mark, np.minimum(spans.field("hi").to_numpy(), len(raw)), -1)
+            gone = np.cumsum(mark)[:-1] > 0
+            kept.append(np.frombuffer(raw, np.uint8)[~gone].tobytes())
+            removed.append(int(gone.sum()))
+            n_spans.append(int((gone & ~np.concatenate([[False], gone[:-1]])).sum()))
+        cols = [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "kept", "n_removed", "n_spans"])
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -323,61 +396,22 @@ def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Passages are judged on the input; they never go over the end of a text, and repeats within one document, or
     between rows of one doc_id, stay. A null text has no bytes; rows with a null doc_id keep all and remove nothing.
+    Rows of one doc_id are taken as equal: with different texts they would be cut at the same places.
     """
     rows = docs.select("doc_id", F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
     named = rows.filter("doc_id IS NOT NULL")
-    found = named.filter(F.length("raw") >= LENGTH).mapInArrow(_emit_anchors, "h long, doc_id long, place int")
-    shared = found.repartition("h").sortWithinPartitions("h", "doc_id").mapInArrow(_keep_shared, "h long, doc_id long, place int")
-    of_doc = shared.groupBy("doc_id").agg(F.collect_list(F.struct("h", "place")).alias("at"))
+    found = named.filter(F.length("raw") >= LENGTH).mapInArrow(_emit_anchors, "k1 long, k2 long, doc_id long")
+    dealt = found.repartition(F.shiftright("k1", 16)).sortWithinPartitions("k1", F.shiftrightunsigned("k2", 40), "doc_id")
+    settled = materialize(dealt.mapInArrow(_settle, "doc_id long, at long, h long"))
+
+    begin, count = F.col("at").bitwiseAND((1 << 34) - 1), F.shiftright("at", 34)
+    plain = settled.filter("h IS NULL").select("doc_id", begin.alias("lo"), (begin + count + LENGTH - 1).alias("hi"))
+    asked = settled.filter("h IS NOT NULL").groupBy("doc_id").agg(F.collect_list(F.struct("h", "at")).alias("asked"))
+    sent = named.join(asked.hint("merge"), "doc_id").mapInArrow(_send_texts, "h long, ctx binary, doc_id long, begin long")
+    judged = sent.repartition("h").sortWithinPartitions("h").mapInArrow(_judge, "doc_id long, lo long, hi long")
+    spans = plain.unionByName(judged).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     # both joins read one shuffle of the texts
-    with_text = named.join(of_doc.hint("merge"), "doc_id")
-
-    def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row for each shared anchor: its context's hash and place; each context of a batch once, with its text."""
-        for batch in batches:
-            h, c, texts, ids, begins, new = [], [], [], [], [], set()
-            for doc_id, raw, at in zip(batch.column("doc_id").to_pylist(), batch.column("raw").to_pylist(), batch.column("at").to_pylist(), strict=True):
-                for x in at:
-                    begin, ctx = _context(raw, x["place"])
-                    digest = xxhash.xxh3_64_intdigest(ctx) - (1 << 63)
-                    h.append(x["h"])
-                    c.append(digest)
-                    ids.append(doc_id)
-                    begins.append(begin)
-                    # of one context in a batch the smallest doc sends the text
-                    texts.append(ctx)
-            order = np.argsort(np.array(ids, np.int64), kind="stable")
-            send = np.zeros(len(h), bool)
-            for i in order:
-                if (key := (h[i], c[i])) not in new:
-                    new.add(key)
-                    send[i] = True
-            texts = [t if s else None for t, s in zip(texts, send, strict=True)]
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((h, c, texts, ids, begins), kinds, strict=True)], names=["h", "c", "ctx", "doc_id", "begin"])
-
-    around = with_text.mapInArrow(surroundings, "h long, c long, ctx binary, doc_id long, begin int")
-    judged = around.filter("ctx IS NOT NULL").select("h", "c", "ctx", "doc_id").repartition("h").sortWithinPartitions("h").mapInArrow(_judge, "h long, c long, a int, b int, first long")
-    gone = around.select("h", "c", "doc_id", "begin").join(judged, ["h", "c"]).filter("first < doc_id")
-    spans = gone.groupBy("doc_id").agg(F.collect_set(F.struct((F.col("begin") + F.col("a")).alias("lo"), (F.col("begin") + F.col("b") + LENGTH).alias("hi"))).alias("spans"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept, removed, n_spans, size = [], [], [], []
-            for raw, spans in zip(batch.column("raw").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                mark = np.zeros(len(raw) + 1, np.int64)
-                if spans:
-                    np.add.at(mark, [x["lo"] for x in spans], 1)
-                    np.add.at(mark, [x["hi"] for x in spans], -1)
-                gone = np.cumsum(mark)[:-1] > 0
-                kept.append(np.frombuffer(raw, np.uint8)[~gone].tobytes() if spans else raw)
-                removed.append(int(gone.sum()))
-                n_spans.append(int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(gone) else 0)
-                size.append(len(raw))
-            cols = [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "kept", "n_removed", "n_spans"])
-
     schema = T.StructType.fromDDL("doc_id long, n_bytes long, kept binary, n_removed long, n_spans long")
-    all_ = named.join(spans.hint("merge"), "doc_id", "left").mapInArrow(cut, schema)
+    all_ = named.join(spans.hint("merge"), "doc_id", "left").mapInArrow(_cut, schema)
     alone = rows.filter("doc_id IS NULL").select("doc_id", F.length("raw").cast("long").alias("n_bytes"), F.col("raw").alias("kept"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"))
     return all_.unionByName(alone)

@@ -53,10 +53,15 @@ def test_anchors_agree_on_equal_passages():
     rng = np.random.default_rng(6)
     common = rng.integers(97, 101, 50).astype(np.uint8).tobytes()
     texts = [rng.integers(97, 101, n).astype(np.uint8).tobytes() + common + rng.integers(97, 101, m).astype(np.uint8).tobytes() for n, m in ((0, 0), (7, 90), (200, 3), (49, 49))]
-    row, place, h = anchors(texts)
+    row, begin, count, h, digest = anchors(texts)
+    for i, t in enumerate(texts):  # each passage has one anchor
+        own = row == i
+        assert sorted(x for b, n in zip(begin[own], count[own], strict=True) for x in range(b, b + n)) == list(range(len(t) - 49))
     at = [t.find(common) for t in texts]
-    inside = [set(h[(row == i) & (place >= a) & (place + suffix.K <= a + 50)].tolist()) for i, a in enumerate(at)]
-    assert set.intersection(*inside)
+    inside = [h[(row == i) & (begin <= a) & (a < begin + count)] for i, a in enumerate(at)]
+    assert all(len(x) == 1 for x in inside) and len({int(x[0]) for x in inside}) == 1
+    runs = [texts[r][b : b + n + 49] for r, b, n in zip(row, begin, count, strict=True)]
+    assert len(set(runs)) == len(set(digest.tolist()))
     assert not len(anchors([b"", b"a" * 49])[0])
 
 
@@ -76,5 +81,7 @@ def test_odd_rows(spark):
     got = sorted((r.doc_id, r.n_bytes, bytes(r.kept), r.n_removed, r.n_spans) for r in remove_repeats(df).collect())
     assert got == sorted(slow_removal([(d, (t or "").encode()) for d, t in texts]))
     assert remove_repeats(df.limit(0)).count() == 0
+    twins = spark.createDataFrame([(1, base), (2, base), (2, base[:55] + "-" * 300), (2, "short"), (3, "-" * 60)], "doc_id long, text string")
+    assert remove_repeats(twins).count() == 5
     none = spark.createDataFrame([(None, base), (1, base)], "doc_id long, text string")
     assert sorted(r.n_removed for r in remove_repeats(none).collect()) == [0, 0]
