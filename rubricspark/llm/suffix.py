@@ -253,16 +253,41 @@ def first_holders(contexts: list[bytes], docs: np.ndarray) -> np.ndarray:
 
 
 def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed, because these are the most rows: k1 has 48 bits of the hash and 16 of the digest, k2 has 24 more of the
-    digest, 6 of the count and 34 of the place."""
+    """Packed, because these are the most rows. k1 has 48 bits of the hash and 16 of the digest; k2 has a 0, 23 more bits
+    of the digest, 6 of the count and 34 of the place.
+
+    Of equal surroundings in one batch only those of the smallest doc_id go on: a passage that very many documents
+    share is sent once a batch. The others are settled here; they travel as ranges of any length, spread by document,
+    with a 1, 29 bits of the count and 34 of the place in k2.
+    """
     for batch in batches:
         ids = batch.column("doc_id").to_numpy()
         row, begin, count, h, c = anchors([x.as_py() for x in batch.column("raw")])
-        k1 = (h & np.uint64(0xFFFFFFFFFFFF0000)) | (c >> np.uint64(48))
-        k2 = (((c >> np.uint64(24)) & np.uint64(0xFFFFFF)) << np.uint64(40)) | (count.astype(np.uint64) << np.uint64(34)) | begin.astype(np.uint64)
-        for lo in range(0, len(row), 1 << 17):
+        if not len(row):
+            continue
+        doc = ids[row]
+        k1 = ((h & np.uint64(0xFFFFFFFFFFFF0000)) | (c >> np.uint64(48))).view(np.int64)
+        low = ((c >> np.uint64(25)) & np.uint64(0x7FFFFF)).astype(np.int64)
+        order = np.lexsort((doc, low, k1))
+        a, b, d = k1[order], low[order], doc[order]
+        new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        behind = np.empty(len(row), bool)
+        behind[order] = d > np.repeat(d[new], np.diff(np.append(new, len(d))))
+        go = ~behind
+        k2 = (low[go] << 40) | (count[go] << 34) | begin[go]
+        first, second, third = [k1[go]], [k2], [doc[go]]
+        if behind.any():
+            r, s, n, d = row[behind], begin[behind], count[behind], doc[behind]
+            starts = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (s[1:] != s[:-1] + n[:-1])]))
+            total = np.add.reduceat(n, starts)
+            mixed = (d[starts].astype(np.uint64) * _A) ^ (s[starts].astype(np.uint64) * _B)
+            first.append((mixed & np.uint64(0xFFFFFFFFFFFF0000)).view(np.int64))
+            second.append((total << 34) | s[starts] | np.int64(-(1 << 63)))
+            third.append(d[starts])
+        k1, k2, doc = (np.concatenate(x) for x in (first, second, third))
+        for lo in range(0, len(k1), 1 << 17):
             cut = slice(lo, lo + (1 << 17))
-            yield pa.RecordBatch.from_arrays([pa.array(k1[cut].view(np.int64)), pa.array(k2[cut].view(np.int64)), pa.array(ids[row[cut]])], names=["k1", "k2", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(k1[cut]), pa.array(k2[cut]), pa.array(doc[cut])], names=["k1", "k2", "doc_id"])
 
 
 _RANGE = (1 << 40) - 1
@@ -276,14 +301,19 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hash of a batch only those first rows are held over, so a hash that very many documents share holds nothing up.
     """
 
-    def rows(doc: np.ndarray, k2: np.ndarray, h: np.ndarray | None) -> pa.RecordBatch:
-        place = pa.array(k2 & _RANGE)
+    def rows(doc: np.ndarray, at: np.ndarray, h: np.ndarray | None) -> pa.RecordBatch:
+        place = pa.array(at)
         of = pa.nulls(len(doc), pa.int64()) if h is None else pa.array(h)
         return pa.RecordBatch.from_arrays([pa.array(doc), place, of], names=["doc_id", "at", "h"])
 
     held = [np.zeros(0, np.int64)] * 3
     for batch in batches:
-        yield from _settle_some(held, [batch.column(n).to_numpy() for n in ("k1", "k2", "doc_id")], False, rows)
+        more = [batch.column(n).to_numpy() for n in ("k1", "k2", "doc_id")]
+        done = more[1] < 0
+        if done.any():
+            yield rows(more[2][done], more[1][done] & ((1 << 63) - 1), None)
+            more = [x[~done] for x in more]
+        yield from _settle_some(held, more, False, rows)
     yield from _settle_some(held, [np.zeros(0, np.int64)] * 3, True, rows)
 
 
@@ -291,13 +321,13 @@ def _settle_some(held: list[np.ndarray], more: list[np.ndarray], last: bool, row
     k1, k2, doc = (np.concatenate([a, b]) for a, b in zip(held, more, strict=True))
     if not len(k1):
         return
-    h, c = k1 >> 16, ((k1 & 0xFFFF) << 24) | ((k2 >> 40) & 0xFFFFFF)
+    h, c = k1 >> 16, ((k1 & 0xFFFF) << 23) | (k2 >> 40)
     new_h = np.concatenate([[True], h[1:] != h[:-1]])
     new_c = new_h | np.concatenate([[True], c[1:] != c[:-1]])
     run = np.flatnonzero(new_c)
     behind = doc > np.repeat(doc[run], np.diff(np.append(run, len(doc))))
     if behind.any():
-        yield rows(doc[behind], k2[behind], None)
+        yield rows(doc[behind], k2[behind] & _RANGE, None)
     keep = ~behind
     k1, k2, doc, h, new_c = k1[keep], k2[keep], doc[keep], h[keep], new_c[keep]
     cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
@@ -311,7 +341,7 @@ def _settle_some(held: list[np.ndarray], more: list[np.ndarray], last: bool, row
     several = (np.add.reduceat(new_c.astype(np.int64), cut) > 1) & (np.maximum.reduceat(doc, cut) != np.minimum.reduceat(doc, cut))
     ask = np.repeat(several, size)
     if ask.any():
-        yield rows(doc[ask], k2[ask], h[ask])
+        yield rows(doc[ask], k2[ask] & _RANGE, h[ask])
 
 
 def _send_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -72,7 +72,9 @@ def test_query_is_brute_force(spark, sf_dir):
     assert got == want
 
 
-def test_odd_rows(spark):
+@pytest.mark.parametrize("batch", ["10000", "3"])
+def test_odd_rows(spark, batch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     rng = np.random.default_rng(8)
     base = "".join(map(chr, rng.integers(97, 110, 400)))
     texts = [(5, base), (2, base[100:180]), (9, base[:60] + "ß" * 60 + base[120:]), (11, "é" + base[130:179] + "="), (12, "=" * 300), (13, "-" + "=" * 120), (14, "ß" * 40)]
