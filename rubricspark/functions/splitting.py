@@ -34,9 +34,10 @@ def _pack(pieces: list[str], joiner: str, size: int, overlap: int) -> Iterator[s
     What is carried over is not counted against ``size`` again, so a window may be too long; it is then cut by characters.
     """
     window: deque[str] = deque()
+    letters = 0  # of the window's pieces, without joiners
 
     def length() -> int:
-        return sum(map(len, window)) + len(joiner) * max(0, len(window) - 1)
+        return letters + len(joiner) * max(0, len(window) - 1)
 
     def emit() -> list[str]:
         whole = joiner.join(window)
@@ -46,8 +47,9 @@ def _pack(pieces: list[str], joiner: str, size: int, overlap: int) -> Iterator[s
         if window and length() + len(joiner) + len(piece) > size:
             yield from emit()
             while window and length() > overlap:
-                window.popleft()
+                letters -= len(window.popleft())
         window.append(piece)
+        letters += len(piece)
     yield from emit()
 
 

@@ -11,21 +11,29 @@ from pyspark.sql import functions as F
 from ..functions.splitting import chunk_text
 from ..params import CHUNK_OVERLAP, CHUNK_SIZE
 
+#: Chunks handed back to Spark at once, but for one document's last ones.
+BATCH_ROWS = 4096
 CHUNKS = "doc_id long, chunk_seq int, chunk_id string, text string, columns array<string>, metadata struct<table:boolean,pdf:string,header:string>"
 
 
 def chunk_documents(docs: DataFrame) -> DataFrame:
     """Chunks of ``docs`` (doc_id, filename, markdown); a null text has none. Texts are cut in Arrow batches."""
 
+    names = ["doc_id", "chunk_seq", "chunk_id", "text", "columns", "metadata"]
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows: list[tuple] = []
             for doc_id, filename, markdown in batch.itertuples(index=False):
                 if not markdown:
                     continue
                 stem = filename.rsplit("/", 1)[-1].removesuffix(".pdf")
-                rows = [(doc_id, i, f"{stem}_{i:04d}", c, cols, {"table": t, "pdf": filename, "header": h}) for i, (c, t, cols, h) in enumerate(chunk_text(markdown))]
-                if rows:
-                    yield pd.DataFrame(rows, columns=["doc_id", "chunk_seq", "chunk_id", "text", "columns", "metadata"])
+                rows += [(doc_id, i, f"{stem}_{i:04d}", c, cols, {"table": t, "pdf": filename, "header": h}) for i, (c, t, cols, h) in enumerate(chunk_text(markdown))]
+                if len(rows) >= BATCH_ROWS:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
 
     return docs.select("doc_id", "filename", "markdown").mapInPandas(cut, CHUNKS)
 

@@ -118,13 +118,16 @@ def dense_top(vectors: DataFrame, queries: DataFrame, n: int = CANDIDATES, scope
             if not len(batch) or not len(ids):
                 continue
             scores = np.round(unit(np.stack([np.asarray(v, float) for v in batch["embedding"]])) @ q.T, 9)
+            docs, names, seq = (batch[c].to_numpy() for c in ("doc_id", "chunk_id", "chunk_seq"))
             groups = batch.groupby(scope).indices.values() if scope else [np.arange(len(batch))]
+            found, asks = [], []
             for rows in groups:
-                part = batch.iloc[rows]
-                for j in range(len(ids)):
-                    s = scores[rows, j]
-                    top = np.lexsort((part["chunk_seq"].to_numpy(), -s))[:n]
-                    yield pd.DataFrame({"query_id": ids[j], "doc_id": part["doc_id"].to_numpy()[top], "chunk_id": part["chunk_id"].to_numpy()[top], "chunk_seq": part["chunk_seq"].to_numpy()[top], "score": s[top]})
+                rows = rows[np.argsort(seq[rows], kind="stable")]
+                top = np.argsort(-scores[rows], axis=0, kind="stable")[:n]  # ties: the earlier chunk first
+                found.append(rows[top].T.ravel())
+                asks.append(np.repeat(np.arange(len(ids)), len(top)))
+            row, ask = np.concatenate(found), np.concatenate(asks)
+            yield pd.DataFrame({"query_id": ids[ask], "doc_id": docs[row], "chunk_id": names[row], "chunk_seq": seq[row], "score": scores[row, ask]})
 
     kinds = "query_id long, doc_id long, chunk_id string, chunk_seq long, score double"
     found = vectors.select("doc_id", "chunk_id", "chunk_seq", "embedding").mapInPandas(best, kinds)
