@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,8 +46,9 @@ def score_policies(docs: DataFrame, brand_answers: DataFrame, param_answers: Dat
     docs: doc_id, filename, markdown; brand_answers: doc_id, answer_text; param_answers: brand, answer_text. With a
     client, write its responses by prompt key first (operators.brands.call_client) and pass them on in this form.
     """
-    chunks = chunk_documents(docs)
-    index = bm25_index(chunks)
+    # three searches read both; a lost block is computed again. The caller may unpersist by spark.catalog.clearCache()
+    chunks = chunk_documents(docs).persist(StorageLevel.DISK_ONLY)
+    index = bm25_index(chunks).persist(StorageLevel.DISK_ONLY)
     spark = docs.sparkSession
 
     def asked(queries: list[str]) -> DataFrame:
