@@ -652,11 +652,11 @@ def workload_report(spark, sf_dir):
 
 @query()
 def workload_policies(spark, sf_dir):
-    """Documents to scored brand rows with the default hooks and a table of stand-in answers."""
+    """Documents to scored brand rows with the default hooks and a stand-in answer for every document."""
     from .jobs import score_policies
 
     docs = X.docs(spark, sf_dir)
-    asked = X.brand_responses(spark, sf_dir).withColumnRenamed("response", "answer_text")
+    asked = X.policy_answers(spark, sf_dir)
     values = X.param_rows(spark, sf_dir)
     cells = [F.concat(F.lit(f', "{p}": "'), F.col(f"`{p}`"), F.lit('"')) for p in PARAMS]
     answers = values.groupBy("brand").agg(F.min_by(F.concat(F.lit('{"brand": "'), F.col("brand"), F.lit('"'), *cells, F.lit("}")), "pos").alias("answer_text"))

@@ -214,6 +214,20 @@ BRANDS_SQL = """mentions AS (
 ), brands AS (SELECT * FROM mentions WHERE doc_id % 4 <> 0)"""
 
 
+def policy_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, answer_text: an answer for every document, with one to five mentions by arithmetic; documents divisible by 4 are gated out."""
+    part = table(spark, sf_dir, "part")
+    last = part.agg(F.max("p_partkey")).first()[0] or 1
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), (F.col("doc_id") % 5).cast("int"))).alias("j"))
+    d = d.withColumn("p_partkey", (F.col("doc_id") * 7 + F.col("j") * 11) % last + 1)
+    status = F.when(F.col("p_partkey") % 3 == 0, ', "preferred_status": "Preferred"').when(F.col("p_partkey") % 3 == 1, ', "preferred_status": "Non-preferred"').otherwise("")
+    one = F.concat(F.lit('{"brand": "'), F.col("p_brand"), F.lit(" ("), F.col("p_type"), F.lit(')"'), status, F.lit("}"))
+    named = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", one.alias("t")))), lambda x: x["t"]), ", ")
+    rows = d.join(part.select("p_partkey", "p_brand", "p_type"), "p_partkey").groupBy("doc_id").agg(named.alias("list"))
+    gate = F.when(F.col("doc_id") % 4 == 0, "No").otherwise("Yes")
+    return rows.select("doc_id", F.concat(F.lit('Here it is: {"policy_has_pso": "'), gate, F.lit('", "brands_relevant_to_pso": ['), "list", F.lit("]} Done.")).alias("answer_text"))
+
+
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "conversations")
     return t.select("conv_id", "turn", F.when(F.col("conv_id") % 2 == 0, "8b").otherwise("70b").alias("model"), F.col("text").alias("content"), F.lit(1024).alias("max_tokens"))
