@@ -663,3 +663,8 @@ def workload_policies(spark, sf_dir):
     return score_policies(docs, asked, answers)
 
 
+@query()
+def workload_search(spark, sf_dir):
+    """Hybrid search of all questions in all documents: BM25 needs no vector, and both sides' vectors come from the default encoder."""
+    asked = R.embed_chunks(X.all_questions(spark, sf_dir), text_col="query")
+    return R.hybrid_search(R.embed_chunks(X.all_chunks(spark, sf_dir)), asked)

@@ -159,6 +159,17 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.join(e, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.col("embedding").cast("array<double>").alias("embedding"))
 
 
+def all_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a chunk, without vectors; a scope is 1,000 ids, so scopes grow in number and not in size."""
+    scope = F.floor(F.col("doc_id") / 1000)
+    t = table(spark, sf_dir, "documents")
+    return t.select(scope.alias("doc_id"), F.col("doc_id").alias("chunk_seq"), F.format_string("policy_%d_%04d", scope, F.col("doc_id")).alias("chunk_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def all_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
 SEARCH_SQL = r"""tv AS (
   SELECT d.doc_id % 10 AS doc_id, d.doc_id AS chunk_seq, printf('policy_%d_%04d', d.doc_id % 10, d.doc_id) AS chunk_id,
          d.text, e.embedding::DOUBLE[] AS embedding FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id

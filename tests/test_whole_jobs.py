@@ -1,7 +1,10 @@
 """Jobs that must reach every row of their input."""
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
+from rubricspark.operators import search as R
 from rubricspark.plans import fixtures as X
 from rubricspark.plans.catalog import QUERIES
 
@@ -14,3 +17,20 @@ def test_policies_scores_every_gated_document(spark, sf_dir):
     assert len({(r.filename, r.brand) for r in out}) == len(out)
     named = X.policy_answers(spark, sf_dir).select(F.size(F.split("answer_text", '"brand"')).alias("n")).agg(F.max("n")).first()[0] - 1
     assert named <= 5
+
+
+def test_search_reaches_documents_without_a_vector(spark, sf_dir, tmp_path):
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    docs = read("documents").withColumn("doc_id", F.col("doc_id") * 13)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    read("embeddings").limit(5).write.parquet(str(tmp_path / "embeddings.parquet"))
+    read("benchmark").limit(8).write.parquet(str(tmp_path / "benchmark.parquet"))
+    index = R.bm25_index(X.all_chunks(spark, str(tmp_path))).select("chunk_id").distinct().count()
+    assert index == docs.filter(r"text rlike '\\S'").count()
+    sizes = {r.s: r["count"] for r in docs.groupBy(F.floor(F.col("doc_id") / 1000).alias("s")).count().collect()}
+    assert len(sizes) == 3  # scopes grow with the ids
+    out = QUERIES["workload_search"](spark, str(tmp_path)).collect()
+    got = Counter((r.query_id, r.doc_id) for r in out)
+    assert got == {(q, s): min(10, n) for q in range(8) for s, n in sizes.items()}
+    vectors = {r.vec_id for r in spark.read.parquet(str(tmp_path / "embeddings.parquet")).collect()}
+    assert {int(r.chunk_id.split("_")[2]) for r in out} - vectors
