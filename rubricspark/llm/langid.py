@@ -14,15 +14,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import held_out, materialize
 
 ORDER = 4
-#: Grams that a model may hold, over all languages: the commonest of each. It bounds what is collected and broadcast.
-MOST_GRAMS = 2_000_000
+#: Up to so many grams, over all languages, the models are collected and broadcast; larger ones stay tables, with the same scores.
+BROADCAST_GRAMS = 2_000_000
 #: Labelled training texts that the rejection limits are fitted on, by the smallest hashes of their ids.
 CALIBRATION_ROWS = 4_000
 #: A text is rejected above this quantile of the calibration texts' cross-entropy, times the slack.
@@ -216,40 +216,127 @@ def _count(docs: DataFrame, text_col: str, label_col: str) -> DataFrame:
     return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit_languages(train: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id") -> LanguageModel:
-    """Learns from every row of ``train`` with a text and a label."""
-    counts = materialize(_count(train, text_col, label_col))
-    # a gram's count decides whether it is kept: the distribution of counts says from which count on there is room
-    spread = counts.groupBy("lang", F.least("n", F.lit(1 << 16)).alias("n")).agg(F.count("*").alias("k")).toPandas()
-    if not len(spread):
-        return LanguageModel([], [], np.zeros(0))
-    languages = sorted(spread["lang"].unique())
-    room, least = MOST_GRAMS // len(languages), {}
-    for lang, part in spread.groupby("lang"):
-        part = part.sort_values("n", ascending=False)
-        fits = part[part["k"].cumsum() <= room]
-        least[lang] = int(fits["n"].min()) if len(fits) else (1 << 16) + 1
-    cut = train.sparkSession.createDataFrame(list(least.items()), "lang string, least long")
-    kept = counts.join(F.broadcast(cut), "lang").filter("n >= least").select("lang", "gram", "n").toPandas()
-    models = []
+def _low(gram: Column, order: int) -> Column:
+    """The last ``order`` symbols of a gram in a long."""
+    return gram if order == ORDER else gram.bitwiseAND(F.lit((1 << 16 * order) - 1))
+
+
+def _context(gram: Column) -> Column:
+    return F.shiftrightunsigned(gram, 16)
+
+
+@dataclass
+class GramTables:
+    """What KneserNey holds, of all languages, as tables by order: (lang, gram, log_p) and (lang, context, log_back)."""
+
+    languages: list[str]
+    grams: list[DataFrame] = field(default_factory=list)
+    contexts: list[DataFrame] = field(default_factory=list)
+    limits: np.ndarray | None = None
+
+    @classmethod
+    def fit(cls, counts: DataFrame, languages: list[str]) -> GramTables:
+        levels = [counts.select("lang", "gram", F.col("n").cast("double").alias("n"))]
+        for order in range(ORDER - 1, 0, -1):
+            low = levels[-1].groupBy("lang", _low(F.col("gram"), order).alias("gram"))
+            levels.append(materialize(low.agg(F.count("*").cast("double").alias("n"))))
+        out, below = cls(languages), None
+        for order, level in enumerate(reversed(levels), 1):
+            few = level.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice"))
+            share = F.least(F.lit(0.95), F.greatest(F.lit(0.1), F.col("once") / (F.col("once") + 2 * F.col("twice"))))
+            few = few.select("lang", F.when(F.col("once") + F.col("twice") > 0, share).otherwise(0.5).alias("discount"))
+            context = level.groupBy("lang", _context(F.col("gram")).alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+            context = context.join(F.broadcast(few), "lang").withColumn("back", F.col("discount") * F.col("kinds") / F.col("total"))
+            context = materialize(context)
+            p = level.withColumn("context", _context(F.col("gram"))).withColumn("lower_gram", _low(F.col("gram"), order - 1) if order > 1 else F.lit(0))
+            p = p.join(context, ["lang", "context"])
+            if below is None:
+                p = p.withColumn("lower", F.lit(1 / 65536))
+            else:
+                p = p.join(below.select("lang", F.col("gram").alias("lower_gram"), F.col("p").alias("lower")), ["lang", "lower_gram"])
+            below = materialize(p.select("lang", "gram", (F.greatest(F.col("n") - F.col("discount"), F.lit(0.0)) / F.col("total") + F.col("back") * F.col("lower")).alias("p")))
+            out.grams.append(below.select("lang", "gram", F.log("p").alias("log_p")))
+            out.contexts.append(context.select("lang", "context", F.log("back").alias("log_back")))
+        return out
+
+    def log_probs(self, asked: DataFrame) -> DataFrame:
+        """lang, gram, log_p of each gram of ``asked`` in each language."""
+        every = F.broadcast(asked.sparkSession.createDataFrame([(x,) for x in self.languages], "lang string"))
+        below = None
+        for order in range(1, ORDER + 1):
+            q = asked.select(_low(F.col("gram"), order).alias("gram")).distinct().crossJoin(every)  # a row for each language, as it is asked for
+            q = q.withColumn("context", _context(F.col("gram"))).withColumn("lower_gram", _low(F.col("gram"), order - 1) if order > 1 else F.lit(0))
+            q = q.join(self.grams[order - 1], ["lang", "gram"], "left").join(self.contexts[order - 1], ["lang", "context"], "left")
+            if below is None:
+                q = q.withColumn("lower", F.lit(float(np.log(1 / 65536))))
+            else:
+                q = q.join(below.select("lang", F.col("gram").alias("lower_gram"), F.col("log_p").alias("lower")), ["lang", "lower_gram"])
+            below = q.select("lang", "gram", F.coalesce("log_p", F.coalesce("log_back", F.lit(0.0)) + F.col("lower")).alias("log_p"))
+        return below
+
+    def scored(self, docs: DataFrame) -> DataFrame:
+        """As _scored: the grams of texts meet the tables by hash, and sums go back to their rows."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row, text in zip(batch.column("_row").to_pylist(), batch.column("text"), strict=True):
+                    text = text.as_py() or ""
+                    s = _symbols(text) if any(c.isalpha() for c in text) else np.zeros(0, np.uint16)
+                    for lo in range(0, len(s) - ORDER + 1 if s.any() else 0, COUNTED):
+                        gram, k = np.unique(_grams(s[lo : lo + COUNTED + ORDER - 1]), return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), row)), pa.array(gram.view(np.int64)), pa.array(k.astype(np.int64))], names=["_row", "gram", "k"])
+
+        added = ["lang_pred", "score", "entropy", "chars", "rejected"]
+        kept = [c for c in docs.columns if c not in ("text", *added)]
+        rows = materialize(docs.select(*kept, "text", F.monotonically_increasing_id().alias("_row")))
+        grams = materialize(rows.select("_row", "text").mapInArrow(run, "_row long, gram long, k long"))
+        found = grams.join(materialize(self.log_probs(grams.select("gram").distinct())), "gram").groupBy("_row", "lang")
+        found = found.agg((-F.sum(F.col("k") * F.col("log_p")) / F.sum("k")).alias("h"), F.sum("k").alias("chars"))
+        found = found.groupBy("_row").agg(F.collect_list("h").alias("hs"), F.min(F.struct("h", "lang")).alias("low"), F.first("chars").alias("chars"))
+        odds = F.aggregate("hs", F.lit(0.0), lambda a, h: a + F.exp((F.col("low.h") - h) * F.least(F.col("chars"), F.lit(SCORE_CHARS))))
+        limits = self.limits if self.limits is not None else np.full(len(self.languages), np.inf)
+        table = docs.sparkSession.createDataFrame(list(zip(self.languages, map(float, limits), strict=True)), "lang_pred string, limit double")
+        found = found.select("_row", F.col("low.lang").alias("lang_pred"), (1 / odds).alias("score"), F.col("low.h").alias("entropy"), "chars")
+        found = found.join(F.broadcast(table), "lang_pred").withColumn("rejected", F.col("entropy") > F.col("limit")).drop("limit")
+        none = {"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "chars": F.lit(0).cast("long"), "rejected": F.lit(True)}
+        out = rows.drop("text").join(found, "_row", "left")
+        return out.select(*kept, *(F.coalesce(c, none[c]).alias(c) if c in none else F.col(c) for c in added))
+
+
+def _fit(counts: DataFrame) -> LanguageModel | GramTables:
+    """Models from all counts (lang, gram, n): none is left out."""
+    sizes = {r.lang: r["count"] for r in counts.groupBy("lang").count().collect()}
+    languages = sorted(sizes)
+    if sum(sizes.values()) > BROADCAST_GRAMS:
+        return GramTables.fit(counts, languages)
+    every, models = counts.toPandas(), []
     for lang in languages:
-        part = kept[kept["lang"] == lang].sort_values("gram")
+        part = every[every["lang"] == lang]
         gram = part["gram"].to_numpy().view(np.uint64)
         by = np.argsort(gram)
         models.append(KneserNey.fit(gram[by], part["n"].to_numpy()[by]))
-    model = LanguageModel(languages, models)
+    return LanguageModel(languages, models)
+
+
+def fit_languages(train: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id") -> LanguageModel | GramTables:
+    """Learns from every row of ``train`` with a text and a label."""
+    model = _fit(materialize(_count(train, text_col, label_col)))
+    if not model.languages:
+        return LanguageModel([], [], np.zeros(0))
     named = train.filter(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
     some = named.select(F.col(id_col).alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(CALIBRATION_ROWS)
     rows = named.join(F.broadcast(some.distinct()), F.col(id_col) == F.col("_id"), "left_semi").select(F.col(text_col).alias("text"), F.col(label_col).alias("label"))
     own = _scored(rows, model).filter("label = lang_pred AND chars >= 20").select("lang_pred", "entropy").toPandas()
     every = own["entropy"].quantile(REJECT_QUANTILE) if len(own) else np.inf
     limit = own.groupby("lang_pred")["entropy"].quantile(REJECT_QUANTILE) if len(own) else {}
-    model.limits = np.array([limit.get(x, every) * REJECT_SLACK for x in languages])
+    model.limits = np.array([limit.get(x, every) * REJECT_SLACK for x in model.languages])
     return model
 
 
-def _scored(docs: DataFrame, model: LanguageModel) -> DataFrame:
+def _scored(docs: DataFrame, model: LanguageModel | GramTables) -> DataFrame:
     """All columns of ``docs`` but text, and lang_pred, score, entropy, chars, rejected."""
+    if isinstance(model, GramTables):
+        return model.scored(docs)
     held = docs.sparkSession.sparkContext.broadcast(model)
     added = "lang_pred string, score double, entropy double, chars long, rejected boolean"
     names = [x.split()[0] for x in added.split(", ")]
@@ -285,7 +372,7 @@ def _scored(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def identify_language(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None) -> DataFrame:
+def identify_language(docs: DataFrame, model: LanguageModel | GramTables, keep: list[str] | None = None) -> DataFrame:
     """lang_pred, score (0 to 1), entropy, chars and rejected for each row, with the columns in ``keep`` (all but text).
 
     ``und`` with score 0, rejected, where the text is null or has no letter, or where nothing was learned. Columns of
@@ -303,6 +390,10 @@ def learnable(docs: DataFrame) -> DataFrame:
 def language_filter(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that the model, learned from their own labels, rejects."""
     model = fit_languages(learnable(docs))
+    if isinstance(model, GramTables):
+        rows = materialize(docs.withColumn("_id", F.monotonically_increasing_id()))
+        good = model.scored(rows.select("_id", "text")).filter("NOT rejected")
+        return rows.join(good.select("_id"), "_id", "left_semi").select(*docs.columns)
     held = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

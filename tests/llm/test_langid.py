@@ -4,7 +4,9 @@ import math
 from collections import Counter
 
 import numpy as np
+import pytest
 
+from rubricspark.llm import langid
 from rubricspark.llm.langid import KneserNey, _grams, _symbols, fit_languages, identify_language, language_filter
 from rubricspark.llm.queries import op4_language_id
 
@@ -77,3 +79,24 @@ def test_odd_rows(spark):
     assert {r.lang_pred for r in identify_language(df, nothing).collect()} == {"und"}
     assert language_filter(spark, train).columns == train.columns
     assert language_filter(spark, train.limit(0)).count() == 0
+
+
+def test_tables_give_what_broadcast_models_give(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").limit(120)
+    docs = docs.unionByName(spark.createDataFrame([(900, None, "en"), (901, "12 34", None), (902, "qzxj" * 50, None), (903, "ΩЖ漢", None)], docs.schema)).cache()
+    want = {r.doc_id: r for r in identify_language(docs, fit_languages(docs)).collect()}
+    kept = {r.doc_id for r in language_filter(spark, docs).collect()}
+    monkeypatch.setattr(langid, "BROADCAST_GRAMS", 10)
+    model = fit_languages(docs)
+    assert isinstance(model, langid.GramTables)
+    # no gram is left out, however many there are
+    counts = langid._count(docs, "text", "lang")
+    assert model.grams[-1].count() == counts.count() > 10
+    got = identify_language(docs, model).collect()
+    assert len(got) == len(want) == docs.count()
+    for r in got:
+        w = want[r.doc_id]
+        assert (r.lang_pred, r.chars, r.rejected) == (w.lang_pred, w.chars, w.rejected)
+        assert r.score == pytest.approx(w.score, abs=1e-3)
+        assert (r.entropy is None and w.entropy is None) or r.entropy == pytest.approx(w.entropy, abs=1e-4)
+    assert {r.doc_id for r in language_filter(spark, docs).collect()} == kept
