@@ -23,12 +23,13 @@ from .common import held_out, materialize
 ORDER = 4
 #: Up to so many grams, over all languages, the models are collected and broadcast; larger ones stay tables, with the same scores.
 BROADCAST_GRAMS = 2_000_000
-#: Labelled training texts that the rejection limits are fitted on, by the smallest hashes of their ids.
-CALIBRATION_ROWS = 4_000
-#: A text is rejected above this quantile of the calibration texts' cross-entropy, times the slack.
+#: A text is rejected above this quantile of its language's training texts' cross-entropy, times the slack. Each text is
+#: scored by models of the half of the texts that it is not in.
 REJECT_QUANTILE, REJECT_SLACK = 0.999, 1.25
 #: Number of characters for whose evidence a score is given: more make it no surer.
 SCORE_CHARS = 64
+#: Cross-entropies are counted in steps of this part of a nat for the quantiles.
+STEPS_A_NAT = 10_000
 UNKNOWN = "und"
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _CACHE_BITS = 18
@@ -173,35 +174,35 @@ class LanguageModel:
         return -total / np.maximum(size, 1)[:, None], size
 
 
-def _count(docs: DataFrame, text_col: str, label_col: str) -> DataFrame:
-    """(lang, gram, n): counts over every text."""
+def _count(named: DataFrame) -> DataFrame:
+    """(half, lang, gram, n): counts over every text of ``named`` (text, label, half)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fresh: dict[str, list[np.ndarray]] = {}  # grams as they come
-        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}  # distinct grams and their counts
+        fresh: dict[tuple[int, str], list[np.ndarray]] = {}  # grams as they come
+        held: dict[tuple[int, str], tuple[np.ndarray, np.ndarray]] = {}  # distinct grams and their counts
         size = 0
 
         def fold() -> None:
-            for lang, parts in fresh.items():
+            for key, parts in fresh.items():
                 gram, n = np.unique(np.concatenate(parts), return_counts=True)
-                if lang in held:
-                    both = np.concatenate([held[lang][0], gram])
+                if key in held:
+                    both = np.concatenate([held[key][0], gram])
                     gram, where = np.unique(both, return_inverse=True)
-                    n = np.bincount(where, np.concatenate([held[lang][1], n])).astype(np.int64)
-                held[lang] = gram, n
+                    n = np.bincount(where, np.concatenate([held[key][1], n])).astype(np.int64)
+                held[key] = gram, n
             fresh.clear()
 
         def out() -> Iterator[pa.RecordBatch]:
-            for lang, (gram, n) in held.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+            for (half, lang), (gram, n) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), half, np.int32)), pa.array([lang] * len(gram), pa.string()), pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))], names=["half", "lang", "gram", "n"])
             held.clear()
 
         for batch in batches:
-            for text, lang in zip(batch.column("text"), batch.column("lang").to_pylist(), strict=True):
+            for text, lang, half in zip(batch.column("text"), batch.column("label").to_pylist(), batch.column("half").to_pylist(), strict=True):
                 s = _symbols(text.as_py())
                 for lo in range(0, len(s) - ORDER + 1 if s.any() else 0, COUNTED):
                     part = _grams(s[lo : lo + COUNTED + ORDER - 1])
-                    fresh.setdefault(lang, []).append(part)
+                    fresh.setdefault((half, lang), []).append(part)
                     size += len(part)
                     if size >= COUNTED:
                         fold()
@@ -211,9 +212,8 @@ def _count(docs: DataFrame, text_col: str, label_col: str) -> DataFrame:
         fold()
         yield from out()
 
-    chosen = docs.filter(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
-    rows = chosen.select(F.col(text_col).alias("text"), F.col(label_col).alias("lang")).mapInArrow(run, "lang string, gram long, n long")
-    return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    rows = named.select("text", "label", "half").mapInArrow(run, "half int, lang string, gram long, n long")
+    return rows.groupBy("half", "lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def _low(gram: Column, order: int) -> Column:
@@ -320,19 +320,36 @@ def _fit(counts: DataFrame) -> LanguageModel | GramTables:
 
 def fit_languages(train: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id") -> LanguageModel | GramTables:
     """Learns from every row of ``train`` with a text and a label."""
-    model = _fit(materialize(_count(train, text_col, label_col)))
+    named = train.filter(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
+    half = F.pmod(F.xxhash64(F.lit("half"), id_col), F.lit(2)).cast("int")
+    named = named.select(F.col(text_col).alias("text"), F.col(label_col).alias("label"), half.alias("half"))
+    counts = materialize(_count(named))
+    model = _fit(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     if not model.languages:
         return LanguageModel([], [], np.zeros(0))
-    named = train.filter(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
-    some = named.select(F.col(id_col).alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(CALIBRATION_ROWS)
-    rows = named.join(F.broadcast(some.distinct()), F.col(id_col) == F.col("_id"), "left_semi").select(F.col(text_col).alias("text"), F.col(label_col).alias("label"))
-    own = _scored(rows, model).filter("label = lang_pred AND chars >= 20").select("lang_pred", "entropy").toPandas()
-    every = own["entropy"].quantile(REJECT_QUANTILE) if len(own) else np.inf
-    limit = own.groupby("lang_pred")["entropy"].quantile(REJECT_QUANTILE) if len(own) else {}
-    model.limits = np.array([limit.get(x, every) * REJECT_SLACK for x in model.languages])
+    steps = None
+    for own in (0, 1):
+        other = _fit(counts.filter(F.col("half") != own).select("lang", "gram", "n"))
+        if not other.languages:
+            continue
+        rows = _scored(named.filter(F.col("half") == own), other).filter("label = lang_pred AND chars >= 20")
+        part = rows.groupBy("label", F.ceil(F.col("entropy") * STEPS_A_NAT).alias("step")).count()
+        steps = part if steps is None else steps.unionByName(part)
+    found: dict[str, list[tuple[int, int]]] = {}
+    for r in steps.groupBy("label", "step").agg(F.sum("count").alias("k")).orderBy("step").collect():
+        found.setdefault(r.label, []).append((r.step, r.k))
+    limit = {x: _quantile(rows) / STEPS_A_NAT for x, rows in found.items()}
+    # a language without a text to judge by is no stricter than any other
+    model.limits = np.array([limit.get(x, max(limit.values(), default=np.inf)) * REJECT_SLACK for x in model.languages])
     return model
 
 
+def _quantile(rows: list[tuple[int, int]]) -> int:
+    """The least step that REJECT_QUANTILE of the counted rows do not exceed; rows: (step, count) in order."""
+    step, n = np.array(rows, np.int64).T
+    return int(step[np.searchsorted(np.cumsum(n), REJECT_QUANTILE * n.sum())])
+
+
 def _scored(docs: DataFrame, model: LanguageModel | GramTables) -> DataFrame:
     """All columns of ``docs`` but text, and lang_pred, score, entropy, chars, rejected."""
     if isinstance(model, GramTables):

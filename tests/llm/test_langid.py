@@ -90,8 +90,8 @@ def test_tables_give_what_broadcast_models_give(spark, sf_dir, monkeypatch):
     model = fit_languages(docs)
     assert isinstance(model, langid.GramTables)
     # no gram is left out, however many there are
-    counts = langid._count(docs, "text", "lang")
-    assert model.grams[-1].count() == counts.count() > 10
+    named = docs.filter("text IS NOT NULL AND lang IS NOT NULL").selectExpr("text", "lang AS label", "0 AS half")
+    assert model.grams[-1].count() == langid._count(named).count() > 10
     got = identify_language(docs, model).collect()
     assert len(got) == len(want) == docs.count()
     for r in got:
@@ -100,3 +100,21 @@ def test_tables_give_what_broadcast_models_give(spark, sf_dir, monkeypatch):
         assert r.score == pytest.approx(w.score, abs=1e-3)
         assert (r.entropy is None and w.entropy is None) or r.entropy == pytest.approx(w.entropy, abs=1e-4)
     assert {r.doc_id for r in language_filter(spark, docs).collect()} == kept
+
+
+def test_limits_are_from_texts_that_were_held_back(spark):
+    rng = np.random.default_rng(3)
+    words = lambda letters, n: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(n))
+    common = [(i, words("abcde", 8), "aa") for i in range(6000)]
+    rare = [(10_000 + i, words("nopqrstuvwxyz", 30), "zz") for i in range(8)]
+    model = fit_languages(spark.createDataFrame(common + rare, "doc_id long, text string, lang string"))
+    unseen = spark.createDataFrame([(i, words("nopqrstuvwxyz", 30)) for i in range(60)], "doc_id long, text string")
+    out = identify_language(unseen, model).collect()
+    assert {r.lang_pred for r in out} == {"zz"}
+    assert not any(r.rejected for r in out)
+
+
+def test_quantile_counts_every_row():
+    assert langid._quantile([(5, 1)]) == 5
+    assert langid._quantile([(1, 999), (7, 1)]) == 1
+    assert langid._quantile([(1, 998), (7, 2)]) == 7
