@@ -19,8 +19,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tune_for_texts(spark: SparkSession) -> None:
-    """Session settings of the jobs over whole texts: small Arrow batches, so that a batch of long texts is small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    """Small Arrow batches, so that a batch of long texts is small, unless the session has a size of its own.
+
+    Only the registered queries and the pipeline call this, for their own session; operators leave settings alone.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # Spark's default
+        spark.conf.set(key, "512")
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted column names, each with underscores until no column of ``df`` (letter case aside) has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,11 +52,41 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` as a table in the shared folder and read it back."""
+    """Cut the lineage: write ``df`` as a table in the shared folder and read it back.
+
+    The table stays until ``discard`` or ``drop_tables``: what was made from it may be read later.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _TABLES[path] = True
+    out._table_path = path
+    return out
+
+
+#: Paths of the tables that this driver has written and not discarded.
+_TABLES: dict[str, bool] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _TABLES.pop(path, None)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a materialized table that nothing will read again."""
+    if path := getattr(table, "_table_path", None):
+        _delete(table.sparkSession, path)
+
+
+def drop_tables(spark: SparkSession) -> int:
+    """Delete all tables that operators have written. For the end of a job, when its results are stored."""
+    paths = list(_TABLES)
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -51,22 +97,35 @@ def held_out(doc_id: Column) -> Column:
 def running_offset(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, per_group: int = 256) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows of the same keys that come before this one.
 
-    Two levels, so that a hot key never lands in one task: rows are dealt by hash into groups of about
-    ``per_group``, summed within each group, and the group totals are summed within the key.
+    Rows are dealt by hash into groups of about ``per_group`` and summed within each; the totals of groups are summed in
+    the same way, ``per_group`` at a time, until few are left. No task gets more of a hot key than one level's groups.
     """
-    spark = df.sparkSession
-    rows = df.count()
+    group, within, base = free_names(df, "_group", "_within", "_base")
     # the hash is salted so that groups do not line up with the shuffle's own hash of the same columns
-    groups = max(16, -(-rows // per_group))
-    df = df.withColumn("_group", F.pmod(F.xxhash64(F.lit("offset"), *order[:1]), F.lit(groups)))
-    inner = Window.partitionBy(*keys, "_group").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(*keys, "_group").agg(F.sum(value).alias("_total"))
-    outer = Window.partitionBy(*keys).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("_base", F.coalesce(F.sum("_total").over(outer), F.lit(0))).drop("_total")
-    left = df.withColumn("_within", F.coalesce(F.sum(value).over(inner), F.lit(0))).alias("l")
-    cond = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "_group"]]
+    groups = max(16, -(-df.count() // per_group))
+    df = df.withColumn(group, F.pmod(F.xxhash64(F.lit("offset"), *order), F.lit(groups)))
+    totals = df.groupBy(*keys, group).agg(F.sum(value).alias(base))
+    totals = _bases(totals, keys, group, base, groups, per_group)
+    inner = Window.partitionBy(*keys, group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    left = df.withColumn(within, F.coalesce(F.sum(value).over(inner), F.lit(0))).alias("l")
+    cond = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, group]]
     joined = left.join(totals.alias("r"), cond)
-    return joined.select("l.*", (F.col("l._within") + F.col("r._base")).alias(out)).drop("_group", "_within")
+    return joined.select("l.*", (F.col(f"l.{within}") + F.col(f"r.{base}")).alias(out)).drop(group, within)
+
+
+def _bases(totals: DataFrame, keys: list[str], group: str, base: str, groups: int, fan: int) -> DataFrame:
+    """Totals of groups 0..groups-1 of each key to the sum over the groups before."""
+    if groups <= 16 * fan:
+        before = Window.partitionBy(*keys).orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
+        return totals.withColumn(base, F.coalesce(F.sum(base).over(before), F.lit(0)))
+    up, own = free_names(totals, "_up", "_own")
+    totals = totals.withColumn(up, F.expr(f"{group} div {fan}"))
+    above = _bases(totals.groupBy(*keys, up).agg(F.sum(base).alias(base)), keys, up, base, -(-groups // fan), fan)
+    before = Window.partitionBy(*keys, up).orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
+    left = totals.withColumn(own, F.coalesce(F.sum(base).over(before), F.lit(0))).alias("l")
+    cond = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, up]]
+    names = [*keys, group]
+    return left.join(above.alias("r"), cond).select(*[F.col(f"l.{c}") for c in names], (F.col(f"l.{own}") + F.col(f"r.{base}")).alias(base))
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

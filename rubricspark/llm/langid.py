@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, materialize
+from .common import free_names, held_out, materialize
 
 ORDER = 4
 #: Up to so many grams, over all languages, the models are collected and broadcast; larger ones stay tables, with the same scores.
@@ -26,8 +26,6 @@ BROADCAST_GRAMS = 2_000_000
 #: A text is rejected above this quantile of its language's training texts' cross-entropy, times the slack. Each text is
 #: scored by models of the half of the texts that it is not in.
 REJECT_QUANTILE, REJECT_SLACK = 0.999, 1.25
-#: Number of characters for whose evidence a score is given: more make it no surer.
-SCORE_CHARS = 64
 #: Cross-entropies are counted in steps of this part of a nat for the quantiles.
 STEPS_A_NAT = 10_000
 UNKNOWN = "und"
@@ -39,22 +37,32 @@ COUNTED, SCORED = 1 << 20, 1 << 18
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    """Code point to 16-bit symbol: letters and marks, lower-cased; all others 0."""
-    table = np.zeros(0x110000, np.uint16)
+    """Code point to code point: letters and marks, lower-cased; all others 0."""
+    table = np.zeros(0x110000, np.uint32)
     for i in range(1, 0x110000):
         c = chr(i)
         if c.isalpha() or unicodedata.category(c)[0] == "M":
             low = c.lower()
-            table[i] = ((ord(low) if len(low) == 1 else i) & 0xFFFF) or 1
+            table[i] = ord(low) if len(low) == 1 else i
     return table
 
 
 def _symbols(text: str) -> np.ndarray:
-    """Symbols of a text, with one 0 for each run of other characters and three zeros before."""
+    """16-bit symbols of a text, with one 0 for each run of other characters and three zeros before.
+
+    A letter beyond U+FFFF is two symbols, its surrogates, so no two letters are one.
+    """
     s = _letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
     keep = s != 0
     keep[1:] |= s[:-1] != 0
-    return np.concatenate([np.zeros(ORDER - 1, np.uint16), s[keep]])
+    s = s[keep]
+    if len(s) and s.max() > 0xFFFF:
+        wide = s > 0xFFFF
+        out = np.repeat(s, 1 + wide)
+        at = np.flatnonzero(wide) + np.arange(int(wide.sum()))
+        out[at], out[at + 1] = 0xD800 + ((s[wide] - 0x10000) >> 10), 0xDC00 + (s[wide] & 0x3FF)
+        s = out
+    return np.concatenate([np.zeros(ORDER - 1, np.uint16), s.astype(np.uint16)])
 
 
 def _grams(symbols: np.ndarray) -> np.ndarray:
@@ -261,10 +269,10 @@ class GramTables:
 
     def log_probs(self, asked: DataFrame) -> DataFrame:
         """lang, gram, log_p of each gram of ``asked`` in each language."""
-        every = F.broadcast(asked.sparkSession.createDataFrame([(x,) for x in self.languages], "lang string"))
+        every = F.explode(F.array(*map(F.lit, self.languages))).alias("lang")  # a row for each language, as it is asked for
         below = None
         for order in range(1, ORDER + 1):
-            q = asked.select(_low(F.col("gram"), order).alias("gram")).distinct().crossJoin(every)  # a row for each language, as it is asked for
+            q = asked.select(_low(F.col("gram"), order).alias("gram")).distinct().select("gram", every)
             q = q.withColumn("context", _context(F.col("gram"))).withColumn("lower_gram", _low(F.col("gram"), order - 1) if order > 1 else F.lit(0))
             q = q.join(self.grams[order - 1], ["lang", "gram"], "left").join(self.contexts[order - 1], ["lang", "context"], "left")
             if below is None:
@@ -288,19 +296,20 @@ class GramTables:
 
         added = ["lang_pred", "score", "entropy", "chars", "rejected"]
         kept = [c for c in docs.columns if c not in ("text", *added)]
-        rows = materialize(docs.select(*kept, "text", F.monotonically_increasing_id().alias("_row")))
-        grams = materialize(rows.select("_row", "text").mapInArrow(run, "_row long, gram long, k long"))
+        (row,) = free_names(docs.select(*kept, *map(F.lit, added)), "_row")
+        rows = materialize(docs.select(*kept, "text", F.monotonically_increasing_id().alias(row)))
+        grams = materialize(rows.select(F.col(row).alias("_row"), "text").mapInArrow(run, "_row long, gram long, k long"))
         found = grams.join(materialize(self.log_probs(grams.select("gram").distinct())), "gram").groupBy("_row", "lang")
         found = found.agg((-F.sum(F.col("k") * F.col("log_p")) / F.sum("k")).alias("h"), F.sum("k").alias("chars"))
         found = found.groupBy("_row").agg(F.collect_list("h").alias("hs"), F.min(F.struct("h", "lang")).alias("low"), F.first("chars").alias("chars"))
-        odds = F.aggregate("hs", F.lit(0.0), lambda a, h: a + F.exp((F.col("low.h") - h) * F.least(F.col("chars"), F.lit(SCORE_CHARS))))
+        odds = F.aggregate("hs", F.lit(0.0), lambda a, h: a + F.exp((F.col("low.h") - h) * F.col("chars")))
         limits = self.limits if self.limits is not None else np.full(len(self.languages), np.inf)
         table = docs.sparkSession.createDataFrame(list(zip(self.languages, map(float, limits), strict=True)), "lang_pred string, limit double")
         found = found.select("_row", F.col("low.lang").alias("lang_pred"), (1 / odds).alias("score"), F.col("low.h").alias("entropy"), "chars")
-        found = found.join(F.broadcast(table), "lang_pred").withColumn("rejected", F.col("entropy") > F.col("limit")).drop("limit")
+        found = found.join(F.broadcast(table), "lang_pred").withColumn("rejected", F.col("entropy") > F.col("limit")).drop("limit").alias("f")
         none = {"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "chars": F.lit(0).cast("long"), "rejected": F.lit(True)}
-        out = rows.drop("text").join(found, "_row", "left")
-        return out.select(*kept, *(F.coalesce(c, none[c]).alias(c) if c in none else F.col(c) for c in added))
+        out = rows.drop("text").alias("r").join(found, F.col(f"r.{row}") == F.col("f._row"), "left")
+        return out.select(*[F.col(f"r.{c}") for c in kept], *(F.coalesce(f"f.{c}", none[c]).alias(c) if c in none else F.col(f"f.{c}") for c in added))
 
 
 def _fit(counts: DataFrame) -> LanguageModel | GramTables:
@@ -319,7 +328,7 @@ def _fit(counts: DataFrame) -> LanguageModel | GramTables:
 
 
 def fit_languages(train: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id") -> LanguageModel | GramTables:
-    """Learns from every row of ``train`` with a text and a label."""
+    """Learns from every row of ``train`` with a text and a label; without any, every text will be ``und``."""
     named = train.filter(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
     half = F.pmod(F.xxhash64(F.lit("half"), id_col), F.lit(2)).cast("int")
     named = named.select(F.col(text_col).alias("text"), F.col(label_col).alias("label"), half.alias("half"))
@@ -376,7 +385,7 @@ def _scored(docs: DataFrame, model: LanguageModel | GramTables) -> DataFrame:
                     if lettered.any():
                         best = h.argmin(axis=1)
                         low = h[np.arange(n), best]
-                        p = 1 / np.exp(-(h - low[:, None]) * np.minimum(chars, SCORE_CHARS)[:, None]).sum(axis=1)
+                        p = 1 / np.exp(-(h - low[:, None]) * chars[:, None]).sum(axis=1)
                         lang = np.where(lettered, np.array(model.languages, object)[best], UNKNOWN)
                         score, entropy = np.where(lettered, p, 0.0), np.where(lettered, low, np.nan)
                         if model.limits is not None:
@@ -392,8 +401,10 @@ def _scored(docs: DataFrame, model: LanguageModel | GramTables) -> DataFrame:
 def identify_language(docs: DataFrame, model: LanguageModel | GramTables, keep: list[str] | None = None) -> DataFrame:
     """lang_pred, score (0 to 1), entropy, chars and rejected for each row, with the columns in ``keep`` (all but text).
 
-    ``und`` with score 0, rejected, where the text is null or has no letter, or where nothing was learned. Columns of
-    ``docs`` with these names are replaced; equal rows give equal rows.
+    ``und`` with score 0, rejected, where the text is null, empty or has no letter, or where nothing was learned. The
+    score is the chosen model's share of all likelihoods of the whole text; of equal entropies the first language by name
+    is taken. Long texts are scored whole, piece after piece. Columns of ``docs`` with these names are replaced, others
+    may have any name; equal rows give equal rows, an empty table an empty one.
     """
     keep = [c for c in docs.columns if c != "text"] if keep is None else keep
     return _scored(docs.select(*keep, "text"), model)
@@ -408,9 +419,10 @@ def language_filter(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that the model, learned from their own labels, rejects."""
     model = fit_languages(learnable(docs))
     if isinstance(model, GramTables):
-        rows = materialize(docs.withColumn("_id", F.monotonically_increasing_id()))
-        good = model.scored(rows.select("_id", "text")).filter("NOT rejected")
-        return rows.join(good.select("_id"), "_id", "left_semi").select(*docs.columns)
+        (number,) = free_names(docs, "_number")
+        rows = materialize(docs.withColumn(number, F.monotonically_increasing_id()))
+        good = model.scored(rows.select(number, "text")).filter("NOT rejected")
+        return rows.join(good.select(number), number, "left_semi").select(*docs.columns)
     held = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free_names, materialize
 
 #: Sites from which on a line is boilerplate; half-width of the band that is counted exactly, as a share of it.
 MIN_SITES, BAND = 8, 0.25
@@ -26,11 +26,11 @@ def _line_key(line: Column) -> list[Column]:
 
 
 def line_table(docs: DataFrame, site_col: str) -> DataFrame:
-    """One row for each line that is not blank: doc_id, _text (hash), site, pos, h1, h2. A null site is a site."""
+    """One row for each line that is not blank: doc_id, digest (of the text), site, pos, h1, h2. A null site is a site."""
     site = F.coalesce(F.concat(F.lit("="), F.col(site_col)), F.lit("")).alias("site")
-    cut = docs.select("doc_id", F.xxhash64("text").alias("_text"), site, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    cut = docs.select("doc_id", F.xxhash64("text").alias("digest"), site, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     cut = cut.filter(F.trim("line", F.lit(BLANK)) != "")
-    return cut.select("doc_id", "_text", "site", "pos", *_line_key(F.col("line")))
+    return cut.select("doc_id", "digest", "site", "pos", *_line_key(F.col("line")))
 
 
 def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -51,27 +51,30 @@ def dedup_lines(docs: DataFrame, site_col: str = "source", min_sites: int = MIN_
     """``docs`` without boilerplate lines, plus n_lines and n_removed (both long; replaced if they exist).
 
     Every document stays, with the lines that are left joined as they were; one whose lines all go has an empty
-    text. Blank lines are never removed, a null text stays null with 0 lines, equal rows are treated alike, and
-    ``n_chars``, if there, follows the text.
+    text. Nulls: a null text stays null with 0 lines, a null site is a site of its own, a null doc_id comes first in the
+    order of places. Blank lines are never removed and an empty text stays empty. Long texts: the cost is linear in the
+    lines of a text. Ties and repeats: the first place is the least (doc_id, place); equal rows are treated alike. An
+    empty table gives an empty one. Other columns are kept under any name; ``n_chars``, if there, follows the text.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    digest, gone = free_names(docs, "_digest", "_gone")
     lines = materialize(line_table(docs, site_col))
     spread = materialize(spread_lines(lines, min_sites))
     hits = lines.join(spread, ["h1", "h2"])
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos"))
-    gone = hits.filter(~stays).groupBy("doc_id", "_text").agg(F.collect_set("pos").alias("_gone")).alias("g")
-    keyed = docs.select(*names).withColumn("_text", F.xxhash64("text")).alias("d")
-    both = keyed.join(gone, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d._text") == F.col("g._text")), "left")
-    cut = F.split("d.text", "\n")
-    left = F.array_join(F.filter(cut, lambda _, i: ~F.array_contains("g._gone", i)), "\n")
-    text = F.when(F.col("g._gone").isNull(), F.col("d.text")).otherwise(left)
-    out = {c: F.col(f"d.{c}") for c in names} | {"text": text}
+    lost = hits.filter(~stays).groupBy("doc_id", "digest").agg(F.collect_set("pos").alias(gone)).alias("g")
+    keyed = docs.select(*names).withColumn(digest, F.xxhash64("text")).alias("d")
+    both = keyed.join(lost, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col(f"d.{digest}") == F.col("g.digest")), "left")
+    cut, none = F.split("d.text", "\n"), F.col(f"g.{gone}").isNull()
+    # the places that stay by a hash set, then each line by its place; the outer lambda holds the cut text
+    places = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col(f"g.{gone}"))
+    left = F.get(F.transform(F.array(cut), lambda own: F.array_join(F.transform(places, lambda i: F.get(own, i)), "\n")), F.lit(0))
+    out = {c: F.col(f"d.{c}") for c in names} | {"text": F.when(none, F.col("d.text")).otherwise(left)}
     if "n_chars" in out:
-        out["n_chars"] = F.when(F.col("g._gone").isNull(), F.col("d.n_chars")).otherwise(F.length(left).cast(docs.schema["n_chars"].dataType))
+        out["n_chars"] = F.when(none, F.col("d.n_chars")).otherwise(F.length(left).cast(docs.schema["n_chars"].dataType))
     n_lines = F.coalesce(F.size(F.filter(cut, lambda x: F.trim(x, F.lit(BLANK)) != "")), F.lit(0))
     n_lines = F.when(F.col("d.text").isNull(), F.lit(0)).otherwise(n_lines)
-    removed = F.coalesce(F.size("g._gone"), F.lit(0))
-    removed = F.when(F.col("g._gone").isNull(), F.lit(0)).otherwise(removed)
+    removed = F.when(none, F.lit(0)).otherwise(F.size(F.col(f"g.{gone}")))
     return both.select(*[c.alias(n) for n, c in out.items()], n_lines.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
 
 

@@ -1,10 +1,11 @@
 """Mixing sources to target weights.
 
 The words of each source, document after document, are packed into blocks of fixed length. The mix is a row of
-output shards with a fixed number of slots. Every shard draws how many of its slots each source gets (whole
-expected slots are certain, the remainders are drawn as a multinomial). The slots of a source are numbered over all
-shards; slot j is the block at the pseudorandom permutation of j within its pass over the source. Slots and
-documents meet by an equi-join on (source, block).
+output shards with a fixed number of slots. Every shard draws from one multinomial how many of its slots each source
+gets. The slots of a source are numbered over all shards. What is drawn beyond a source's target in blocks is dealt, by
+a pseudorandom permutation, to the sources that fell short of theirs. Slot j of a source is the block at the
+pseudorandom permutation of j within its pass over the source. Slots and documents meet by an equi-join on
+(source, block).
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, materialize, running_offset
+from .common import WORD, free_names, materialize, running_offset
 
 #: Words in a block, and slots in an output shard.
 BLOCK, SHARD_SLOTS = 64, 1024
@@ -47,6 +48,16 @@ def fill_targets(sizes: Sequence[int], weights: Sequence[int], most: int) -> lis
     return target
 
 
+def block_quota(want: np.ndarray, blocks: np.ndarray, most: int) -> np.ndarray:
+    """Whole slots for each source near ``want``, by largest remainders, ``most`` times its blocks at most."""
+    quota = np.minimum(np.floor(want + 1e-9).astype(np.int64), most * blocks)
+    short = int(np.floor(want.sum() + 0.5)) - int(quota.sum())
+    room = np.flatnonzero(quota < most * blocks)
+    by = room[np.argsort(-(want - quota)[room], kind="stable")]
+    quota[by[: max(short, 0)]] += 1
+    return quota
+
+
 def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
     """A pseudorandom permutation of range(n) at ``index``: a four-round Feistel network, walked into the range."""
     half = max(1, (int(n - 1).bit_length() + 1) // 2)
@@ -67,7 +78,7 @@ def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
 
 @dataclass
 class Mix:
-    """``documents``: doc_id, size, source, source_size, target, start, and the row's key (doc_id, _copy).
+    """``documents``: doc_id, size, source, source_size, target, start, and the row's key (doc_id, digest, copy).
 
     ``slots``: one row for each slot of the mix: shard, source_no, slot (of that source), block.
     ``taken``: per document key and block: offset and number of its words there, and how many times the mix has them.
@@ -78,16 +89,24 @@ class Mix:
     taken: DataFrame
 
 
+#: A document's key: equal rows differ in ``copy`` only.
+KEY = ["doc_id", "digest", "copy"]
+
+
+def _digest() -> Column:
+    return F.xxhash64("text", "source")
+
+
 def mix_sources(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = 20) -> Mix:
     """Plans a mix of all of ``docs`` (doc_id, text, source).
 
-    A null text has no words and is never taken; a null source is a source, ordered last; equal rows are separate
-    documents; an empty table gives an empty mix. Other columns are not looked at.
+    A null text or an empty one has no words and is never taken; a null source is a source, ordered last; equal rows and
+    rows with a null doc_id are separate documents; long texts span many blocks; an empty table gives an empty mix.
+    Other columns are not looked at.
     """
     spark = docs.sparkSession
-    twin = Window.partitionBy("doc_id").orderBy("size", "_h")
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text", "source").alias("_h"))
-    sized = materialize(sized.withColumn("_copy", F.row_number().over(twin)).drop("_h"))
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _digest().alias("digest"))
+    sized = materialize(sized.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy("size"))))
 
     found = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:
@@ -100,27 +119,38 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int =
     table = [(i, r.source, n, t) for i, (r, n, t) in enumerate(zip(found, sizes, target, strict=True))]
     sources = spark.createDataFrame(table, "source_no int, source string, source_size long, target double")
     documents = sized.alias("d").join(F.broadcast(sources).alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
-    documents = documents.select("d.doc_id", "d._copy", "d.size", "s.source_no", "s.source_size", "s.target")
-    documents = materialize(running_offset(documents, ["source_no"], ["doc_id", "_copy"], "size", "start"))
+    documents = documents.select(*[f"d.{k}" for k in KEY], "d.size", "s.source_no", "s.source_size", "s.target")
+    documents = materialize(running_offset(documents, ["source_no"], KEY, "size", "start"))
 
-    total = int(np.ceil(want.sum()))
+    quota = block_quota(want, blocks, most)
+    total = int(quota.sum())
     shards = -(-total // shard_slots)
-    share = want / want.sum() if total else want
+    share = quota / quota.sum() if total else want
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for shard in batch["id"]:
                 slots = min(shard_slots, total - shard * shard_slots)
-                mean = slots * share
-                sure = np.floor(mean)
-                rest, some = mean - sure, slots - int(sure.sum())
-                drawn = np.random.default_rng([seed, int(shard)]).multinomial(some, rest / rest.sum()) if some > 0 else np.zeros(len(rest))
-                n = (sure + drawn).astype(np.int64)
+                n = np.random.default_rng([seed, int(shard)]).multinomial(slots, share)
                 held = np.flatnonzero(n)
-                yield pd.DataFrame({"shard": np.int64(shard), "source_no": held.astype(np.int32), "n": n[held]})
+                yield pd.DataFrame({"shard": np.int64(shard), "source_no": held.astype(np.int32), "n": n[held].astype(np.int64)})
 
     counts = spark.range(shards).mapInPandas(draw, "shard long, source_no int, n long")
-    counts = running_offset(counts, ["source_no"], ["shard"], "n", "first")
+    counts = materialize(running_offset(counts, ["source_no"], ["shard"], "n", "first"))
+
+    # what was drawn beyond the quotas, and who is short of it: one number a source
+    drawn = np.zeros(len(sizes), np.int64)
+    for r in counts.groupBy("source_no").agg(F.sum("n").alias("n")).collect():
+        drawn[r.source_no] = r.n
+    gap = np.maximum(quota - drawn, 0)
+    ends, over = np.cumsum(gap), int(gap.sum())
+    caps = spark.createDataFrame([(i, int(q)) for i, q in enumerate(quota)], "source_no int, quota long")
+    kept = F.greatest(F.lit(0), F.least(F.col("n"), F.col("quota") - F.col("first")))
+    split = counts.join(F.broadcast(caps), "source_no").withColumn("kept", kept)
+    rest = split.groupBy("shard").agg(F.sum(F.col("n") - F.col("kept")).alias("n")).filter("n > 0").withColumn("all", F.lit(0))
+    rest = running_offset(rest, ["all"], ["shard"], "n", "first")
+    runs = split.filter("kept > 0").select("shard", "source_no", F.col("kept").alias("n"), "first")
+    runs = runs.unionByName(rest.select("shard", F.lit(-1).alias("source_no"), "n", "first"))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -129,31 +159,37 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int =
                 n = part["n"].to_numpy()
                 no = np.repeat(part["source_no"].to_numpy(), n)
                 slot = np.repeat(part["first"].to_numpy() - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                out = pd.DataFrame({"shard": np.repeat(part["shard"].to_numpy(), n), "source_no": no, "slot": slot, "block": np.int64(0)})
-                out = out[slot < most * blocks[no]].reset_index(drop=True)  # a draw above the bound is left empty
-                no, slot = out["source_no"].to_numpy(), out["slot"].to_numpy()
+                dealt = np.flatnonzero(no < 0)  # slot is here the number among all that were drawn beyond a quota
+                if len(dealt):
+                    at = permute(slot[dealt], over, seed * 1_000_003 - 1)
+                    no[dealt] = np.searchsorted(ends, at, side="right")
+                    slot[dealt] = drawn[no[dealt]] + at - (ends - gap)[no[dealt]]
                 passes, at = slot // blocks[no], slot % blocks[no]
-                put = np.zeros(len(out), np.int64)
-                for key in np.unique(no.astype(np.int64) * most + passes):
-                    here = np.flatnonzero(no.astype(np.int64) * most + passes == key)
+                put = np.zeros(len(no), np.int64)
+                which = no.astype(np.int64) * most + passes
+                for key in np.unique(which):
+                    here = np.flatnonzero(which == key)
                     put[here] = permute(at[here], int(blocks[key // most]), seed * 1_000_003 + int(key))
-                yield out.assign(block=put)
+                yield pd.DataFrame({"shard": np.repeat(part["shard"].to_numpy(), n), "source_no": no, "slot": slot, "block": put})
 
-    slots = counts.select("shard", "source_no", "n", "first").mapInPandas(place, "shard long, source_no int, slot long, block long")
+    slots = runs.mapInPandas(place, "shard long, source_no int, slot long, block long")
     times = slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
     of = F.col("start") + F.col("size")
     parts = documents.filter("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))))
     begin = F.greatest(F.col("start"), F.col("block") * block)
-    parts = parts.select("doc_id", "_copy", "source_no", "block", (begin - F.col("start")).alias("offset"), (F.least(of, (F.col("block") + 1) * block) - begin).alias("words"))
-    taken = parts.join(times, ["source_no", "block"]).select("doc_id", "_copy", "offset", "words", "times")
+    parts = parts.select(*KEY, "source_no", "block", (begin - F.col("start")).alias("offset"), (F.least(of, (F.col("block") + 1) * block) - begin).alias("words"))
+    taken = parts.join(times, ["source_no", "block"]).select(*KEY, "offset", "words", "times")
     return Mix(documents, slots, taken)
 
 
+def _same(left: str, right: str) -> Column:
+    return F.col(f"{left}.doc_id").eqNullSafe(F.col(f"{right}.doc_id")) & (F.col(f"{left}.digest") == F.col(f"{right}.digest")) & (F.col(f"{left}.copy") == F.col(f"{right}.copy"))
+
+
 def taken_words(mix: Mix) -> DataFrame:
     """doc_id, size, source_size, target, taken: one row for each document, taken or not."""
-    sums = mix.taken.groupBy("doc_id", "_copy").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    key = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d._copy") == F.col("t._copy"))
-    joined = mix.documents.alias("d").join(sums.alias("t"), key, "left")
+    sums = mix.taken.groupBy(*KEY).agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    joined = mix.documents.alias("d").join(sums.alias("t"), _same("d", "t"), "left")
     return joined.select("d.doc_id", "d.size", "d.source_size", "d.target", F.coalesce("t.taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -161,13 +197,22 @@ def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
     """The mix as documents, with the columns of ``docs``: a document's words come as often as its blocks do.
 
     A row is made for each of a document's passes; its text is what the mix takes of the document in that pass, with
-    a line break where blocks are left out. Documents without a word in the mix go. ``n_chars`` follows the text.
+    a line break where blocks are left out. Documents without a word in the mix (null and empty texts among them) go.
+    Equal rows are documents of their own, a null doc_id too. ``n_chars`` follows the text; other columns stay under any name.
     """
-    spans = mix.taken.groupBy("doc_id", "_copy").agg(F.sort_array(F.collect_list(F.struct("offset", "words", "times"))).alias("_spans"))
-    twin = Window.partitionBy("doc_id").orderBy(word_count(F.col("text")), F.xxhash64("text", "source"))
-    keyed = docs.withColumn("_copy", F.row_number().over(twin)).alias("d")
-    joined = keyed.join(spans.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d._copy") == F.col("t._copy")))
-    joined = joined.select("d.*", "t._spans").drop("_copy")
+    digest, copy, spans_ = free_names(docs, "_digest", "_copy", "_spans")
+    spans = mix.taken.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("offset", "words", "times"))).alias(spans_))
+    keyed = docs.withColumn(digest, _digest())
+    twins = materialize(mix.documents.filter("copy > 1").select("doc_id", "digest").distinct())
+    if twins.isEmpty():
+        keyed = keyed.withColumn(copy, F.lit(1))
+    else:  # only rows that occur twice are numbered
+        twin = F.col("k.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col(f"k.{digest}") == F.col("w.digest"))
+        n = F.row_number().over(Window.partitionBy("doc_id", digest).orderBy(digest))
+        alone = keyed.alias("k").join(twins.alias("w"), twin, "left_anti").withColumn(copy, F.lit(1))
+        keyed = alone.unionByName(keyed.alias("k").join(twins.alias("w"), twin, "left_semi").withColumn(copy, n))
+    same = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col(f"d.{digest}") == F.col("t.digest")) & (F.col(f"d.{copy}") == F.col("t.copy"))
+    joined = keyed.alias("d").join(spans.alias("t"), same).select("d.*", f"t.{spans_}").drop(digest, copy)
     names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +223,7 @@ def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
                 texts, row, sizes = [], [], []
-                for i, (text, spans) in enumerate(zip(part.column("text").to_pylist(), part.column("_spans").to_pylist(), strict=True)):
+                for i, (text, spans) in enumerate(zip(part.column("text").to_pylist(), part.column(spans_).to_pylist(), strict=True)):
                     at = [m.span() for m in word.finditer(text)]
                     for k in range(1, max(s["times"] for s in spans) + 1):
                         runs: list[list[int]] = []

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import free_names, materialize
 from .components import connected_components, spanning_links
 
 SEED, SHINGLE, DISTANCE = 42, 4, 4
@@ -116,7 +116,7 @@ def _links(key: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of a partition that is sorted by (key, fp); a run of equal keys may go over several batches."""
-    held_key, held_fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []  # parts of the last key's run, joined only when it ends
 
     def out(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
         a, b = _links(key, fp)
@@ -124,16 +124,26 @@ def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
+    def joined() -> tuple[np.ndarray, np.ndarray]:
+        both = np.concatenate([k for k, _ in held]), np.concatenate([f for _, f in held])
+        held.clear()
+        return both
+
     for batch in batches:
-        key = np.concatenate([held_key, batch.column("key").to_numpy()])
-        fp = np.concatenate([held_fp, batch.column("fp").to_numpy().view(np.uint64)])
+        key, fp = batch.column("key").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
         if not len(key):
             continue
         end = int(np.searchsorted(key, key[-1]))
-        yield from out(key[:end], fp[:end])
-        held_key, held_fp = key[end:], fp[end:]
-    if len(held_key):
-        yield from out(held_key, held_fp)
+        if held and (end or held[-1][0][-1] != key[-1]):
+            own = int(np.searchsorted(key, held[-1][0][-1], side="right"))
+            held.append((key[:own], fp[:own]))
+            yield from out(*joined())
+            key, fp, end = key[own:], fp[own:], end - own
+        if end:
+            yield from out(key[:end], fp[:end])
+        held.append((key[end:], fp[end:]))
+    if held:
+        yield from out(*joined())
 
 
 def near_links(distinct: DataFrame) -> DataFrame:
@@ -171,7 +181,8 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     Texts with equal fingerprints are one class; classes are linked, not their members, so a group of copies of any
     size is one row of the index. A null or blank text has fingerprint zero, which links like any other. Rows of one
     doc_id are one document and give a row each. A null doc_id is no node: its row takes the component of its class,
-    null where the class has no other document.
+    null where the class has no other document. Long texts are read whole, an empty table gives an empty one, and only
+    doc_id and text are looked at, so other columns may have any name.
     """
     marked = materialize(fingerprints(docs.select("doc_id", "text")))
     classes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
@@ -187,8 +198,10 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` without near-duplicates: of each component the document with the smallest doc_id stays.
 
-    Equal rows of that doc_id are one document and one of them stays; a null doc_id stays.
+    Equal rows of that doc_id are one document and one of them stays; a null doc_id stays. Null and empty texts are near
+    each other (fingerprint zero). An empty table gives an empty one; other columns may have any name.
     """
-    firsts = simhash_components(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.filter("doc_id IS NOT NULL").join(firsts, F.col("doc_id") == F.col("_first"), "left_semi").dropDuplicates(["doc_id"])
+    (first,) = free_names(docs, "_first")
+    firsts = simhash_components(docs).filter("doc_id = component_id").select(F.col("doc_id").alias(first)).distinct()
+    kept = docs.filter("doc_id IS NOT NULL").join(firsts, F.col("doc_id") == F.col(first), "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.filter("doc_id IS NULL"))

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rubricspark.llm import langid
 from rubricspark.llm.langid import KneserNey, _grams, _symbols, fit_languages, identify_language, language_filter
@@ -50,6 +51,17 @@ def test_symbols():
     assert _symbols("A1b").tolist() == [0, 0, 0, 97, 0, 98]
     assert not _symbols("12 !?").any()
     assert _symbols("").tolist() == [0, 0, 0]
+    # a letter beyond U+FFFF is no other letter: its two surrogates
+    assert _symbols("a\U00020061").tolist() == [0, 0, 0, 97, 0xD840, 0xDC61]
+    assert not _symbols("\U0001F600").any() and _symbols("\U00010400").tolist() == _symbols("\U00010428").tolist()
+
+
+def test_score_takes_every_character(spark):
+    train = spark.createDataFrame([(i, x * 30, x) for i in range(8) for x in ("ab", "ac")], "doc_id long, text string, lang string")
+    model = fit_languages(train)
+    out = identify_language(spark.createDataFrame([(n, "ab" * n) for n in (2, 200)], "doc_id long, text string"), model).collect()
+    short, long = (next(r.score for r in out if r.doc_id == n) for n in (2, 200))
+    assert long > short
 
 
 def test_held_out_accuracy(spark, sf_dir):
@@ -83,7 +95,8 @@ def test_odd_rows(spark):
 
 def test_tables_give_what_broadcast_models_give(spark, sf_dir, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").limit(120)
-    docs = docs.unionByName(spark.createDataFrame([(900, None, "en"), (901, "12 34", None), (902, "qzxj" * 50, None), (903, "ΩЖ漢", None)], docs.schema)).cache()
+    docs = docs.withColumn("_row", F.lit(1)).withColumn("_number", F.lit("x"))
+    docs = docs.unionByName(spark.createDataFrame([(900, None, "en"), (901, "12 34", None), (902, "qzxj" * 50, None), (903, "ΩЖ漢", None)], "doc_id long, text string, lang string").withColumn("_row", F.lit(1)).withColumn("_number", F.lit("x"))).cache()
     want = {r.doc_id: r for r in identify_language(docs, fit_languages(docs)).collect()}
     kept = {r.doc_id for r in language_filter(spark, docs).collect()}
     monkeypatch.setattr(langid, "BROADCAST_GRAMS", 10)

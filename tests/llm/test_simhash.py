@@ -83,7 +83,7 @@ def test_components_of_chains_and_stars(spark):
 
 def test_odd_rows(spark):
     rows = [(1, None, 0), (2, "", 1), (3, "a b c d e f", 2), (3, "a b c d e f", 2), (None, "zz", 3), (9, "A B c D e F", 4), (7, "q w " * 30000, 5)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, fp long")
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, fp long, _first int, component_id string")
     got = sorted((r.doc_id or 0, r.component_id) for r in simhash_components(df).collect())
     assert [x for x in got if x[0]] == [(1, 1), (2, 1), (3, 3), (3, 3), (7, 7), (9, 3)]
     kept = keep_one(df)
