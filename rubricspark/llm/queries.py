@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode, ids_digest
 from .common import held_out, read_table
-from .ego import epsilon_join
+from .ego import OP10_SQL, epsilon_join
 from .langid import fit_languages, identify_language, learnable
 from .lines import OP1_SQL, dedup_lines
 from .mix import mix_sources, taken_words
@@ -95,4 +95,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_embedding_join": op10_embedding_join,
 }
 
-SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL}
+SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op10_embedding_join": OP10_SQL}

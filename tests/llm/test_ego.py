@@ -1,5 +1,6 @@
 """The epsilon grid order join against all pairs."""
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -44,7 +45,8 @@ def test_query(spark, sf_dir):
 @pytest.mark.parametrize("block", [512, 16])
 def test_groups_of_copies(spark, monkeypatch, block):
     monkeypatch.setattr(ego, "BLOCK", block)
-    monkeypatch.setattr(ego, "TILE", 2)
+    monkeypatch.setattr(ego, "MOST_TILE", 2)
+    monkeypatch.setattr(ego, "FAN", 2)
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(20, 12))
     v = centres[rng.integers(0, 20, 400)] + 0.35 * rng.normal(size=(400, 12))
@@ -54,6 +56,38 @@ def test_groups_of_copies(spark, monkeypatch, block):
     assert as_dict(epsilon_join(df)) == slow(rows)
 
 
+def test_sql_says_the_same(spark, sf_dir):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{sf_dir}/embeddings.parquet' UNION ALL SELECT 9001, NULL, 0 UNION ALL SELECT 9002, list_value(0::FLOAT), 0")
+    want = {r[0]: r[1:] for r in con.sql(ego.OP10_SQL).fetchall()}
+    got = as_dict(op10_embedding_join(spark, sf_dir)) | {9001: (0, 9001, True), 9002: (0, 9002, True)}
+    assert got == want
+
+
+def test_pairs_of_blocks_are_brute_force(spark):
+    rng = np.random.default_rng(4)
+    low = np.cumsum(rng.uniform(0, 0.2, (150, 2)), axis=0) % 3
+    high = low + rng.uniform(0, 0.3, (150, 2))
+    boxes = spark.createDataFrame([(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(low, high, strict=True))], "block long, low array<double>, high array<double>")
+    gap = np.maximum(0, np.maximum(low[:, None] - high, low - high[:, None]))
+    want = {(i, j) for i, j in zip(*np.nonzero((gap * gap).sum(axis=2) <= 0.25), strict=True) if i <= j}
+    got = [(r.x, r.y) for r in ego.block_pairs(boxes, 150, 2, 0.5).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) < 150 * 151 / 2
+
+
+def test_forest_joins_what_is_hit():
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        forest, up = ego.Forest(24), list(range(24))
+        for _ in range(4):
+            x, y, hit = rng.permutation(24)[:9], rng.permutation(24)[:7], rng.uniform(size=(9, 7)) < 0.12
+            forest.join(x, y, hit)
+            for i, j in zip(*np.nonzero(hit), strict=True):
+                a, b = up[x[i]], up[y[j]]
+                up = [min(a, b) if u in (a, b) else u for u in up]
+        assert forest.roots(np.arange(24)).tolist() == up
+
+
 def test_odd(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0]), (None, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert sorted(((r.vec_id or 0, r.n_links) for r in epsilon_join(df).collect())) == [(0, 0), (1, 1), (1, 1), (2, 0)]
