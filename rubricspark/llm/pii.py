@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, materialize, ragged
+from .common import free_names, held_out, materialize, ragged
 
 #: Kinds of the fixed patterns, and all kinds that are reported.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -620,4 +620,5 @@ def find_personal_data(docs: DataFrame, tagger: Tagger | None, keep: list[str])
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), *columns], names=[*names, *made.names])
 
     schema = T.StructType([*docs.select(*names).schema.fields, *made.fields])
-    return docs.select(*names, docs["text"].alias("_searched")).mapInArrow(run, schema)
+    (own,) = free_names(docs.select(*names), "_searched")
+    return docs.select(*names, docs["text"].alias(own)).mapInArrow(run, schema)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import free_names, materialize
 from .toxicity import training_sample
 
 #: Labelled training texts, by the smallest hashes of their ids.
@@ -217,7 +217,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> Trees | None:
 
 def apply_rules(docs: DataFrame, trees: Trees | None, keep: list[str]) -> DataFrame:
     """The columns in ``keep`` and, for each row: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long),
-    base_failed, kept (boolean), quality (double). A null text has no words and fails; without trees the base decides.
+    base_failed, kept (boolean), quality (double). A null or an empty text has no words and fails; without trees the base
+    decides. Long texts are measured whole, a quality of exactly the limit is kept, equal texts are treated alike, an empty
+    table gives an empty one. Columns in ``keep`` with one of these names are replaced; all other names are free.
     """
     added = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, quality double"
     made = T.StructType.fromDDL(added)
@@ -238,4 +240,5 @@ def apply_rules(docs: DataFrame, trees: Trees | None, keep: list[str]) -> DataFr
             columns = [*(pa.array(base[:, k]) for k in range(5)), pa.array(failed), pa.array(kept), pa.array(quality)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *columns], names=schema.names)
 
-    return docs.select(*names, docs["text"].alias("_measured")).mapInArrow(run, schema)
+    (own,) = free_names(docs.select(*names), "_measured")
+    return docs.select(*names, docs["text"].alias(own)).mapInArrow(run, schema)

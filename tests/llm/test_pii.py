@@ -189,9 +189,9 @@ def test_query(spark, sf_dir):
 
 def test_odd_rows(spark, tagger):
     rows = [(i, t, "x", 1) for i, t in enumerate(ODD)] + [(99, None, "x", 1), (99, None, "x", 1), (None, "1.2.3.4", "x", 1)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, spans string, n_ip int")
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, spans string, n_ip int, _searched string")
     for t in (tagger, None):
-        out = find_personal_data(df, t, ["doc_id", "spans"]).collect()
+        out = find_personal_data(df, t, ["doc_id", "spans", "_searched"]).collect()
         assert len(out) == len(rows)
         assert all(set(r.base.split(",")) <= set(r.spans.split(",")) for r in out)
     assert find_personal_data(df.limit(0), None, ["doc_id"]).count() == 0

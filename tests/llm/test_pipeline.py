@@ -32,8 +32,7 @@ def slow_lines(rows):
     return out
 
 
-def test_stages(spark, tmp_path):
-    sf_dir = "/root/testdata/sf0.01"
+def test_stages(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns, stage_rows = docs.columns, {}
     model = fit_languages(learnable(docs))
