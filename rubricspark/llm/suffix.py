@@ -261,11 +261,11 @@ def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     with a 1, 29 bits of the count and 34 of the place in k2.
     """
     for batch in batches:
-        ids = batch.column("doc_id").to_numpy()
+        ids, twins = batch.column("doc_id").to_numpy(), batch.column("twin").to_numpy()
         row, begin, count, h, c = anchors([x.as_py() for x in batch.column("raw")])
         if not len(row):
             continue
-        doc = ids[row]
+        doc, twin = ids[row], twins[row]
         k1 = ((h & np.uint64(0xFFFFFFFFFFFF0000)) | (c >> np.uint64(48))).view(np.int64)
         low = ((c >> np.uint64(25)) & np.uint64(0x7FFFFF)).astype(np.int64)
         order = np.lexsort((doc, low, k1))
@@ -275,19 +275,20 @@ def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         behind[order] = d > np.repeat(d[new], np.diff(np.append(new, len(d))))
         go = ~behind
         k2 = (low[go] << 40) | (count[go] << 34) | begin[go]
-        first, second, third = [k1[go]], [k2], [doc[go]]
+        first, second, third, fourth = [k1[go]], [k2], [doc[go]], [twin[go]]
         if behind.any():
-            r, s, n, d = row[behind], begin[behind], count[behind], doc[behind]
+            r, s, n, d, w = row[behind], begin[behind], count[behind], doc[behind], twin[behind]
             starts = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (s[1:] != s[:-1] + n[:-1])]))
             total = np.add.reduceat(n, starts)
             mixed = (d[starts].astype(np.uint64) * _A) ^ (s[starts].astype(np.uint64) * _B)
             first.append((mixed & np.uint64(0xFFFFFFFFFFFF0000)).view(np.int64))
             second.append((total << 34) | s[starts] | np.int64(-(1 << 63)))
             third.append(d[starts])
-        k1, k2, doc = (np.concatenate(x) for x in (first, second, third))
+            fourth.append(w[starts])
+        k1, k2, doc, twin = (np.concatenate(x) for x in (first, second, third, fourth))
         for lo in range(0, len(k1), 1 << 17):
             cut = slice(lo, lo + (1 << 17))
-            yield pa.RecordBatch.from_arrays([pa.array(k1[cut]), pa.array(k2[cut]), pa.array(doc[cut])], names=["k1", "k2", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(k1[cut]), pa.array(k2[cut]), pa.array(doc[cut]), pa.array(twin[cut])], names=["k1", "k2", "doc_id", "twin"])
 
 
 _RANGE = (1 << 40) - 1
@@ -301,24 +302,24 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hash of a batch only those first rows are held over, so a hash that very many documents share holds nothing up.
     """
 
-    def rows(doc: np.ndarray, at: np.ndarray, h: np.ndarray | None) -> pa.RecordBatch:
+    def rows(doc: np.ndarray, twin: np.ndarray, at: np.ndarray, h: np.ndarray | None) -> pa.RecordBatch:
         place = pa.array(at)
         of = pa.nulls(len(doc), pa.int64()) if h is None else pa.array(h)
-        return pa.RecordBatch.from_arrays([pa.array(doc), place, of], names=["doc_id", "at", "h"])
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(twin), place, of], names=["doc_id", "twin", "at", "h"])
 
-    held = [np.zeros(0, np.int64)] * 3
+    held = [np.zeros(0, np.int64)] * 4
     for batch in batches:
-        more = [batch.column(n).to_numpy() for n in ("k1", "k2", "doc_id")]
+        more = [batch.column(n).to_numpy() for n in ("k1", "k2", "doc_id", "twin")]
         done = more[1] < 0
         if done.any():
-            yield rows(more[2][done], more[1][done] & ((1 << 63) - 1), None)
+            yield rows(more[2][done], more[3][done], more[1][done] & ((1 << 63) - 1), None)
             more = [x[~done] for x in more]
         yield from _settle_some(held, more, False, rows)
-    yield from _settle_some(held, [np.zeros(0, np.int64)] * 3, True, rows)
+    yield from _settle_some(held, [np.zeros(0, np.int64)] * 4, True, rows)
 
 
 def _settle_some(held: list[np.ndarray], more: list[np.ndarray], last: bool, rows) -> Iterator[pa.RecordBatch]:
-    k1, k2, doc = (np.concatenate([a, b]) for a, b in zip(held, more, strict=True))
+    k1, k2, doc, twin = (np.concatenate([a, b]) for a, b in zip(held, more, strict=True))
     if not len(k1):
         return
     h, c = k1 >> 16, ((k1 & 0xFFFF) << 23) | (k2 >> 40)
@@ -327,13 +328,13 @@ def _settle_some(held: list[np.ndarray], more: list[np.ndarray], last: bool, row
     run = np.flatnonzero(new_c)
     behind = doc > np.repeat(doc[run], np.diff(np.append(run, len(doc))))
     if behind.any():
-        yield rows(doc[behind], k2[behind] & _RANGE, None)
+        yield rows(doc[behind], twin[behind], k2[behind] & _RANGE, None)
     keep = ~behind
-    k1, k2, doc, h, new_c = k1[keep], k2[keep], doc[keep], h[keep], new_c[keep]
+    k1, k2, doc, twin, h, new_c = k1[keep], k2[keep], doc[keep], twin[keep], h[keep], new_c[keep]
     cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     end = len(h) if last else int(cut[-1])
-    held[:] = [k1[end:], k2[end:], doc[end:]]
-    k2, doc, h, new_c = k2[:end], doc[:end], h[:end], new_c[:end]
+    held[:] = [k1[end:], k2[end:], doc[end:], twin[end:]]
+    k2, doc, twin, h, new_c = k2[:end], doc[:end], twin[:end], h[:end], new_c[:end]
     cut = cut[cut < end]
     if not len(cut):
         return
@@ -341,58 +342,61 @@ def _settle_some(held: list[np.ndarray], more: list[np.ndarray], last: bool, row
     several = (np.add.reduceat(new_c.astype(np.int64), cut) > 1) & (np.maximum.reduceat(doc, cut) != np.minimum.reduceat(doc, cut))
     ask = np.repeat(several, size)
     if ask.any():
-        yield rows(doc[ask], k2[ask] & _RANGE, h[ask])
+        yield rows(doc[ask], twin[ask], k2[ask] & _RANGE, h[ask])
 
 
 def _send_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, ctx, doc_id, begin): the bytes of the runs of passages that must be looked at."""
+    """(h, ctx, doc_id, twin, begin): the bytes of the runs of passages that must be looked at."""
     for batch in batches:
-        h, ctx, ids, begins = [], [], [], []
-        for doc_id, raw, asked in zip(batch.column("doc_id").to_pylist(), batch.column("raw").to_pylist(), batch.column("asked").to_pylist(), strict=True):
-            for x in asked:
-                begin, count = x["at"] & ((1 << 34) - 1), x["at"] >> 34
-                run = raw[begin : begin + count + LENGTH - 1]
-                if len(run) < LENGTH:  # another, shorter text of this doc_id
-                    continue
-                h.append(x["h"])
-                ctx.append(run)
-                ids.append(doc_id)
-                begins.append(begin)
-        yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(ctx, pa.binary()), pa.array(ids, pa.int64()), pa.array(begins, pa.int64())], names=["h", "ctx", "doc_id", "begin"])
+        h, ctx, ids, twins, begins = [], [], [], [], []
+        for i, (doc_id, twin, raw) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("doc_id", "twin", "raw")), strict=True)):
+            asked = batch.column("asked")[i].values
+            at = asked.field("at").to_numpy()
+            begin = at & ((1 << 34) - 1)
+            end = begin + (at >> 34) + LENGTH - 1
+            h.append(asked.field("h").to_numpy())
+            ctx += [raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+            ids.append(np.full(len(at), doc_id))
+            twins.append(np.full(len(at), twin))
+            begins.append(begin)
+        if ctx:
+            h, ids, twins, begins = (pa.array(np.concatenate(x).astype(np.int64)) for x in (h, ids, twins, begins))
+            yield pa.RecordBatch.from_arrays([h, pa.array(ctx, pa.binary()), ids, twins, begins], names=["h", "ctx", "doc_id", "twin", "begin"])
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a partition sorted by h: ranges [lo, hi) that a document loses to one with a smaller doc_id."""
-    shard: list[tuple[bytes, int, int]] = []
+    shard: list[tuple[bytes, int, int, int]] = []
     size, last = 0, None
 
     def sort() -> Iterator[pa.RecordBatch]:
         nonlocal size
         texts: dict[bytes, int] = {}
-        for ctx, doc, _ in shard:
+        for ctx, doc, _, _ in shard:
             old = texts.get(ctx)
             texts[ctx] = doc if old is None else min(old, doc)
         least = first_holders(list(texts), np.fromiter(texts.values(), np.int64, len(texts)))
         at = dict(zip(texts, np.cumsum([0, *(len(t) - LENGTH + 1 for t in texts)]).tolist(), strict=False))
-        ids, lows, highs = [], [], []
-        for ctx, doc, begin in shard:
+        ids, twins, lows, highs = [], [], [], []
+        for ctx, doc, twin, begin in shard:
             lost = least[at[ctx] : at[ctx] + len(ctx) - LENGTH + 1] < doc
             if lost.any():
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], lost.astype(np.int8), [0]])))
                 for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
                     ids.append(doc)
+                    twins.append(twin)
                     lows.append(begin + a)
                     highs.append(begin + b - 1 + LENGTH)
         shard.clear()
         size = 0
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lows, pa.int64()), pa.array(highs, pa.int64())], names=["doc_id", "lo", "hi"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, twins, lows, highs)], names=["doc_id", "twin", "lo", "hi"])
 
     for batch in batches:
-        for h, ctx, doc, begin in zip(*(batch.column(n).to_pylist() for n in ("h", "ctx", "doc_id", "begin")), strict=True):
+        for h, ctx, doc, twin, begin in zip(*(batch.column(n).to_pylist() for n in ("h", "ctx", "doc_id", "twin", "begin")), strict=True):
             if h != last and size > SHARD:
                 yield from sort()
             last = h
-            shard.append((ctx, doc, begin))
+            shard.append((ctx, doc, twin, begin))
             size += len(ctx)
     if shard:
         yield from sort()
@@ -425,23 +429,31 @@ def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     smaller doc_id holds too.
 
     Passages are judged on the input; they never go over the end of a text, and repeats within one document, or
-    between rows of one doc_id, stay. A null text has no bytes; rows with a null doc_id keep all and remove nothing.
-    Rows of one doc_id are taken as equal: with different texts they would be cut at the same places.
+    between rows of one doc_id, stay; such rows may differ and each is cut for itself. A null or an empty text has no
+    bytes, a text shorter than a passage keeps all, long texts are read whole. Rows with a null doc_id keep all and
+    remove nothing. Ids are whole numbers. An empty table gives an empty one; other columns may have any name.
     """
-    rows = docs.select("doc_id", F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
-    named = rows.filter("doc_id IS NOT NULL")
-    found = named.filter(F.length("raw") >= LENGTH).mapInArrow(_emit_anchors, "k1 long, k2 long, doc_id long")
+    plain = docs.select("doc_id", F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
+    twins = materialize(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    named = plain.filter("doc_id IS NOT NULL")
+    if twins.isEmpty():
+        named = named.withColumn("twin", F.lit(0).cast("long"))
+    else:  # rows of one doc_id are told apart by their texts
+        alone = named.join(twins, "doc_id", "left_anti").withColumn("twin", F.lit(0).cast("long"))
+        named = alone.unionByName(named.join(twins, "doc_id", "left_semi").withColumn("twin", F.xxhash64("raw")))
+    found = named.filter(F.length("raw") >= LENGTH).mapInArrow(_emit_anchors, "k1 long, k2 long, doc_id long, twin long")
     dealt = found.repartition(F.shiftright("k1", 16)).sortWithinPartitions("k1", F.shiftrightunsigned("k2", 40), "doc_id")
-    settled = materialize(dealt.mapInArrow(_settle, "doc_id long, at long, h long"))
-
-    begin, count = F.col("at").bitwiseAND((1 << 34) - 1), F.shiftright("at", 34)
-    plain = settled.filter("h IS NULL").select("doc_id", begin.alias("lo"), (begin + count + LENGTH - 1).alias("hi"))
-    asked = settled.filter("h IS NOT NULL").groupBy("doc_id").agg(F.collect_list(F.struct("h", "at")).alias("asked"))
-    sent = named.join(asked.hint("merge"), "doc_id").mapInArrow(_send_texts, "h long, ctx binary, doc_id long, begin long")
-    judged = sent.repartition("h").sortWithinPartitions("h").mapInArrow(_judge, "doc_id long, lo long, hi long")
-    spans = plain.unionByName(judged).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    settled = materialize(dealt.mapInArrow(_settle, "doc_id long, twin long, at long, h long"))
+
+    begin, count, row = F.col("at").bitwiseAND((1 << 34) - 1), F.shiftright("at", 34), ["doc_id", "twin"]
+    lost = settled.filter("h IS NULL").select(*row, begin.alias("lo"), (begin + count + LENGTH - 1).alias("hi"))
+    asked = settled.filter("h IS NOT NULL").groupBy(*row).agg(F.collect_list(F.struct("h", "at")).alias("asked"))
+    sent = named.dropDuplicates(row) if not twins.isEmpty() else named  # equal rows send their bytes once
+    sent = sent.join(asked.hint("merge"), row).mapInArrow(_send_texts, "h long, ctx binary, doc_id long, twin long, begin long")
+    judged = sent.repartition("h").sortWithinPartitions("h").mapInArrow(_judge, "doc_id long, twin long, lo long, hi long")
+    spans = lost.unionByName(judged).groupBy(*row).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     # both joins read one shuffle of the texts
     schema = T.StructType.fromDDL("doc_id long, n_bytes long, kept binary, n_removed long, n_spans long")
-    all_ = named.join(spans.hint("merge"), "doc_id", "left").mapInArrow(_cut, schema)
-    alone = rows.filter("doc_id IS NULL").select("doc_id", F.length("raw").cast("long").alias("n_bytes"), F.col("raw").alias("kept"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"))
-    return all_.unionByName(alone)
+    all_ = named.join(spans.hint("merge"), row, "left").mapInArrow(_cut, schema)
+    none = plain.filter("doc_id IS NULL").select("doc_id", F.length("raw").cast("long").alias("n_bytes"), F.col("raw").alias("kept"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"))
+    return all_.unionByName(none)
