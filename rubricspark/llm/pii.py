@@ -26,8 +26,8 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
 #: The training sample: texts with a digit or an at sign and others, by the smallest hashes of their ids; windows cut
 #: from each, by a hash of their place in the whole text (those with a span first); windows in all.
-SAMPLE_ROWS, OTHER_ROWS, WINDOWS_A_TEXT, TRAIN_WINDOWS, EPOCHS = 3_000, 1_500, 3, 7_500, 10
-HIDDEN, EMBED = 12, 10
+SAMPLE_ROWS, OTHER_ROWS, WINDOWS_A_TEXT, TRAIN_WINDOWS, EPOCHS = 3_000, 1_500, 3, 7_500, 12
+HIDDEN, EMBED = 8, 8
 #: Characters of a training window; of a window when texts are read, and from one window to the next.
 TRAIN_WINDOW, WINDOW, STRIDE = 96, 1024, 960
 #: The share of held-back windows, and the precision that the least marginal probability of a span must reach on them.
@@ -306,8 +306,12 @@ class Tagger:
                 _squash(tc, small)
                 np.multiply(o, tc, out=h)
                 np.matmul(h, weights, out=out[t])
-        row, t = np.repeat(np.arange(n), sizes), ragged(np.zeros(n, np.int64), sizes)
-        return by_step[0][t, row] + by_step[1][sizes[row] - 1 - t, row] + p["out_b"]
+        out, done = np.empty((int(sizes.sum()), TAGS), f32), 0
+        for j, size in enumerate(sizes.tolist()):
+            np.add(by_step[0][:size, j], by_step[1][:size, j][::-1], out=out[done : done + size])
+            done += size
+        out += p["out_b"]
+        return out
 
     @property
     def transitions(self) -> np.ndarray:
@@ -440,12 +444,14 @@ def text_scores(coded: list[np.ndarray], tagger: Tagger) -> np.ndarray:
     for at in range(0, len(order), PASS_WINDOWS):
         some = order[at : at + PASS_WINDOWS]
         n = length[some]
-        column = np.arange(int(n.max()))
-        x = np.where(column < n[:, None], flat[np.minimum((base[row[some]] + begin[some])[:, None] + column, len(flat) - 1)], 0)
-        e = tagger.emissions(x, n)
-        inside = (column >= lo[some][:, None]) & (column < hi[some][:, None])
-        place = (base[row[some]] + begin[some])[:, None] + column
-        out[place[inside]] = e[inside[column < n[:, None]]]
+        x = np.zeros((len(some), int(n.max())), np.uint8)
+        at_text = base[row[some]] + begin[some]
+        for j, (a, size) in enumerate(zip(at_text.tolist(), n.tolist(), strict=True)):
+            x[j, :size] = flat[a : a + size]
+        e, done = tagger.emissions(x, n), 0
+        for a, size, u, v in zip(at_text.tolist(), n.tolist(), lo[some].tolist(), hi[some].tolist(), strict=True):
+            out[a + u : a + v] = e[done + u : done + v]
+            done += size
     return out
 
 
