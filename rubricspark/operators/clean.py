@@ -39,8 +39,8 @@ def strip_links(c: Column) -> Column:
 
 
 def redact_credentials(c: Column) -> Column:
-    """Lines with a user name, a password or an e-mail address go as a whole."""
-    hit = lambda line: reduce(or_, [line.rlike(p) for p in CREDENTIALS])
+    """Lines with a user name, a password or an e-mail address go as a whole. Blanks are those of Unicode."""
+    hit = lambda line: reduce(or_, [line.rlike("(?U)" + p) for p in CREDENTIALS])
     return F.array_join(F.filter(F.split(c, "\n"), lambda line: ~hit(line)), "\n")
 
 
@@ -100,8 +100,12 @@ def rows_to_markdown(data: DataFrame) -> DataFrame:
     return body.select("doc_id", F.array_join(F.concat(title, F.transform("rows", lambda r: r["text"])), "\n").alias("markdown"))
 
 
-def route_conversion(docs: DataFrame, is_tabular: DataFrame, tabular: DataFrame, general: DataFrame) -> DataFrame:
-    """doc_id, markdown: tabular first where so classified, else general, else tabular; null where none exists."""
+def route_conversion(docs: DataFrame, is_tabular: DataFrame, tabular: DataFrame, general: DataFrame, redact_tabular: bool = False) -> DataFrame:
+    """doc_id, markdown: tabular first where so classified, else general, else tabular; null where none exists.
+
+    The tabular route does not pass through redaction; with ``redact_tabular`` its text does here.
+    """
+    own = redact_credentials(F.col("markdown")) if redact_tabular else F.col("markdown")
     out = docs.select("doc_id").join(is_tabular, "doc_id", "left")
-    out = out.join(tabular.select("doc_id", F.col("markdown").alias("_t")), "doc_id", "left").join(general.select("doc_id", F.col("markdown").alias("_g")), "doc_id", "left")
+    out = out.join(tabular.select("doc_id", own.alias("_t")), "doc_id", "left").join(general.select("doc_id", F.col("markdown").alias("_g")), "doc_id", "left")
     return out.select("doc_id", F.coalesce(F.when(F.col("is_tabular"), F.col("_t")), F.col("_g"), F.col("_t")).alias("markdown"))

@@ -8,6 +8,7 @@ Scores are rounded to 9 places before they are ranked, so that the order of a su
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -89,6 +90,36 @@ def sparse_top(scores: DataFrame, n: int = CANDIDATES, scope_cols: list[str] | N
     return _ranked(scores, scope, [F.desc("score"), F.desc("chunk_seq"), F.desc("doc_id")], n)
 
 
+def sparse_search(chunks: DataFrame, index: DataFrame, queries: DataFrame, n: int = CANDIDATES, scope_cols: list[str] | None = None) -> DataFrame:
+    """What sparse_top gives for the scores of all pairs, without making these pairs.
+
+    Only chunks with a term of the query are scored. Chunks without one have score 0 and rank by their place, so of those
+    the last ones of a scope are enough: n, and as many more as the query has hits that do not score above 0.
+    """
+    scope = ["doc_id"] if scope_cols is None else scope_cols
+    keys = list(dict.fromkeys([*scope, *KEY]))
+    words = tokenize(queries.select("query_id", "query"), "query").groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    tf = F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
+    hits = index.join(_small(words), "term").groupBy("query_id", *keys).agg(F.round(F.sum(F.col("qtf") * F.col("idf") * tf), 9).alias("score"))
+    hits = hits.join(chunks.select(*KEY, "chunk_seq"), KEY)
+    counts = hits.groupBy("query_id", *scope).agg(F.count_if(F.col("score") > 0).alias("good"), F.count_if(F.col("score") <= 0).alias("poor"))
+    order = [F.desc("chunk_seq"), F.desc("doc_id")]
+    if scope:
+        last = chunks.select(*keys, "chunk_seq").withColumn("from_end", F.row_number().over(Window.partitionBy(*scope).orderBy(*order)))
+        asks = last.filter("from_end = 1").select(*scope).crossJoin(_small(queries.select("query_id")))  # each scope is asked each query
+    else:
+        most = counts.agg(F.max("poor")).first()[0] or 0
+        last = chunks.select(*keys, "chunk_seq").orderBy(*order).limit(n + most)
+        last = last.withColumn("from_end", F.row_number().over(Window.orderBy(*order)))  # the last few only
+        asks = queries.select("query_id")
+    need = asks.join(counts, ["query_id", *scope], "left").fillna(0, ["good", "poor"]).filter(F.col("good") < n)
+    need = need.select("query_id", *scope, (F.col("poor") + n).alias("look"))
+    fill = last.join(need, scope) if scope else last.crossJoin(_small(need))
+    fill = fill.filter(F.col("from_end") <= F.col("look")).select("query_id", *keys, "chunk_seq", F.lit(0.0).alias("score"))
+    both = hits.unionByName(fill.join(hits.select("query_id", *KEY), ["query_id", *KEY], "left_anti"))
+    return _ranked(both.select("query_id", *keys, "chunk_seq", "score"), scope, [F.desc("score"), *order], n)
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v), F.lit(0.0), lambda s, z: s + z)
     size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
@@ -98,22 +129,31 @@ def cosine(a: Column, b: Column) -> Column:
 def dense_top(vectors: DataFrame, queries: DataFrame, n: int = CANDIDATES, scope_cols: list[str] | None = None) -> DataFrame:
     """The nearest chunks by exact cosine; ties: the earlier chunk first.
 
-    Batches of chunks meet the matrix of all queries in numpy; each batch passes on its best n of a scope and query
-    only, so vectors are never shuffled. Queries are a stated set, at most SMALL_QUERIES.
+    Batches of chunks meet a matrix of queries in numpy; each batch passes on its best n of a scope and query only, so
+    vectors are never shuffled. Queries are a stated set; they are broadcast in blocks of SMALL_QUERIES.
     """
     scope = ["doc_id"] if scope_cols is None else scope_cols
-    asked = queries.select("query_id", "embedding").limit(SMALL_QUERIES + 1).toPandas()
-    if len(asked) > SMALL_QUERIES:
-        raise ValueError(f"more than {SMALL_QUERIES} queries: search in parts")
-    ids = asked["query_id"].to_numpy(np.int64)
+    spark, found, block = vectors.sparkSession, None, []
+    rows = queries.select("query_id", "embedding").toLocalIterator()
+    while True:
+        block = list(islice(rows, SMALL_QUERIES))
+        if not block and found is not None:
+            break
+        part = _dense_block(vectors, spark.sparkContext.broadcast(block), n, scope)
+        found = part if found is None else found.unionByName(part)
+        if len(block) < SMALL_QUERIES:
+            break
+    return _ranked(found, scope, [F.desc("score"), F.asc("chunk_seq"), F.asc("doc_id")], n)
 
+
+def _dense_block(vectors: DataFrame, asked, n: int, scope: list[str]) -> DataFrame:
     def unit(m: np.ndarray) -> np.ndarray:
         size = np.linalg.norm(m, axis=1, keepdims=True)
         return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
-    q = unit(np.stack([np.asarray(v, float) for v in asked["embedding"]])) if len(asked) else np.zeros((0, 1))
-
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids = np.array([r.query_id for r in asked.value], np.int64)
+        q = unit(np.stack([np.asarray(r.embedding, float) for r in asked.value])) if len(ids) else np.zeros((0, 1))
         for batch in batches:
             if not len(batch) or not len(ids):
                 continue
@@ -130,8 +170,7 @@ def dense_top(vectors: DataFrame, queries: DataFrame, n: int = CANDIDATES, scope
             yield pd.DataFrame({"query_id": ids[ask], "doc_id": docs[row], "chunk_id": names[row], "chunk_seq": seq[row], "score": scores[row, ask]})
 
     kinds = "query_id long, doc_id long, chunk_id string, chunk_seq long, score double"
-    found = vectors.select("doc_id", "chunk_id", "chunk_seq", "embedding").mapInPandas(best, kinds)
-    return _ranked(found, scope, [F.desc("score"), F.asc("chunk_seq"), F.asc("doc_id")], n)
+    return vectors.select("doc_id", "chunk_id", "chunk_seq", "embedding").mapInPandas(best, kinds)
 
 
 def rrf_fuse(sparse: DataFrame, dense: DataFrame, k: int = RRF_K, n: int = CANDIDATES, scope_cols: list[str] | None = None) -> DataFrame:
@@ -181,7 +220,7 @@ def project_hits(df: DataFrame) -> DataFrame:
 def hybrid_search(chunks: DataFrame, queries: DataFrame, top_k: int = 10, candidates: int = CANDIDATES, scorer: PairScorer = overlap_scorer, scope_cols: list[str] | None = None) -> DataFrame:
     """query_id, doc_id, chunk_id, text, rrf_score, rerank_score, rank for all queries and scopes at once."""
     index = bm25_index(chunks, scope_cols)
-    sparse = sparse_top(bm25_scores(chunks, index, queries), candidates, scope_cols)
+    sparse = sparse_search(chunks, index, queries, candidates, scope_cols)
     dense = dense_top(chunks, queries, candidates, scope_cols)
     fused = rrf_fuse(sparse, dense, n=candidates, scope_cols=scope_cols)
     found = fetch_chunks(fused, chunks.select(*KEY, "text")).join(_small(queries.select("query_id", "query")), "query_id")

@@ -25,8 +25,15 @@ def estimate_tokens(prompts: DataFrame) -> DataFrame:
 
 def rolling_usage(log: DataFrame, seconds: int = 60, size: str = "70b") -> DataFrame:
     """Requests and tokens of each model over the trailing seconds, both ends included, and whether limits are met."""
-    w = Window.partitionBy("model").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    out = log.withColumn("requests", F.count("*").over(w)).withColumn("used", F.sum("tokens").over(w))
+    span = seconds * 1_000_000
+    # a row's trailing seconds lie in its own stretch of time and the one before: every row goes to its own and to the next,
+    # so that a window is as large as two stretches of one model and not as a model's whole log
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = log.withColumn("_at", at).withColumn("_turn", F.explode(F.array(F.lit(0), F.lit(1))))
+    rows = rows.withColumn("_stretch", F.floor(F.col("_at") / span) + F.col("_turn"))
+    w = Window.partitionBy("model", "_stretch").orderBy("_at").rangeBetween(-span, 0)
+    out = rows.withColumn("requests", F.count("*").over(w)).withColumn("used", F.sum("tokens").over(w))
+    out = out.filter("_turn = 0").drop("_at", "_turn", "_stretch")
     rpm, tpm = LIMITS[size]
     return out.withColumn("over_limit", (F.col("requests") > rpm - 1) | (F.col("used") > int(0.95 * tpm)))
 

@@ -231,7 +231,40 @@ def _each(docs: DataFrame, schema: str, rows: Callable[[str], list[tuple]]) -> D
     return docs.select("doc_id", "markdown").mapInPandas(run, f"doc_id long, {schema}")
 
 
-@query()
+_ORDERS = r"""orders_text AS (
+  SELECT o_custkey AS doc_id, '# Customer ' || o_custkey || chr(10) || chr(10) || 'All orders. Prices in dollars.' || chr(10) || '## Orders' || chr(10) || '| Key | Priority | Price |' || chr(10) || '|---|---|---|' || chr(10)
+    || string_agg('| ' || o_orderkey || ' | ' || o_orderpriority || ' | ' || o_totalprice || ' |', chr(10) ORDER BY o_orderkey)
+    || CASE WHEN o_custkey % 3 = 0 THEN '' ELSE chr(10) || '### Notes' || chr(10) || 'Nothing else is known.' || chr(10) END AS md
+  FROM orders GROUP BY o_custkey
+), found AS (SELECT doc_id, md, regexp_extract(md, '\|[^\n]+\|\n\|[-| :]+\|\n(?:\|[^\n]+\|\n)*') AS t FROM orders_text),
+placed AS (SELECT *, strpos(md, t) AS place FROM found),
+segments AS (
+  SELECT doc_id, 0 AS seq, false AS is_table, substr(md, 1, place - 1) AS text FROM placed
+  UNION ALL SELECT doc_id, 1, true, t FROM placed
+  UNION ALL SELECT doc_id, 2, false, substr(md, place + length(t)) FROM placed WHERE place + length(t) <= length(md)
+)"""
+
+
+def _packed(size: int) -> str:
+    """Table rows packed under the repeated head, one after the other."""
+    return rf"""cut AS (
+  SELECT doc_id, rtrim(text, chr(10)) AS text, string_split(rtrim(text, chr(10)), chr(10)) AS parts FROM segments WHERE is_table
+), head AS (
+  SELECT doc_id, text, parts[1] || chr(10) || parts[2] AS head, length(parts[1]) + length(parts[2]) + 2 AS base, parts[3:] AS rest FROM cut WHERE length(text) + 1 > {size}
+), pack AS (
+  SELECT doc_id, 1 AS i, 0 AS chunk, base + length(rest[1]) + 1 AS used FROM head WHERE len(rest) > 0
+  UNION ALL
+  SELECT p.doc_id, p.i + 1, p.chunk + (p.used + length(h.rest[p.i + 1]) + 1 > {size})::INT,
+         CASE WHEN p.used + length(h.rest[p.i + 1]) + 1 > {size} THEN h.base ELSE p.used END + length(h.rest[p.i + 1]) + 1
+  FROM pack p JOIN head h ON p.doc_id = h.doc_id WHERE p.i < len(h.rest)
+), tables AS (
+  SELECT doc_id, 0 AS chunk, text FROM cut WHERE length(text) + 1 <= {size}
+  UNION ALL SELECT h.doc_id, p.chunk, any_value(h.head) || chr(10) || string_agg(h.rest[p.i], chr(10) ORDER BY p.i)
+  FROM pack p JOIN head h ON p.doc_id = h.doc_id GROUP BY h.doc_id, p.chunk
+)"""
+
+
+@query(f"WITH {_ORDERS} SELECT doc_id, seq, is_table, text FROM segments")
 def k1_segment_markdown(spark, sf_dir):
     return _each(X.order_markdown(spark, sf_dir), "seq int, is_table boolean, text string", lambda t: [(i, *s) for i, s in enumerate(splitting.segment_markdown(t))])
 
@@ -253,7 +286,7 @@ def k4_table_columns(spark, sf_dir):
     return X.table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(K.table_columns(head), ",").alias("columns"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_ORDERS}, {_packed(300)} SELECT doc_id, chunk AS seq, text FROM tables")
 def k5_split_table(spark, sf_dir):
     def rows(t):
         return [(i, c) for i, c in enumerate(c for is_table, s in splitting.segment_markdown(t) if is_table for c in splitting.split_table(s, 300))]
@@ -261,7 +294,11 @@ def k5_split_table(spark, sf_dir):
     return _each(X.order_markdown(spark, sf_dir), "seq int, text string", rows)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_ORDERS}, {_packed(700)}, parts AS (
+  SELECT doc_id, 0 AS seg, 0 AS chunk, false AS is_table, 'Orders' AS header FROM segments WHERE seq = 0
+  UNION ALL SELECT doc_id, 1, chunk, true, 'Orders' FROM tables
+  UNION ALL SELECT doc_id, 2, 0, false, CASE WHEN doc_id % 3 = 0 THEN 'Orders' ELSE 'Notes' END FROM segments WHERE seq = 2 AND trim(text, chr(10) || ' ') <> '')
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY seg, chunk) - 1)::INT AS seq, is_table, header FROM parts""")
 def k6_inherit_headings(spark, sf_dir):
     return _each(X.order_markdown(spark, sf_dir), "seq int, is_table boolean, header string", lambda t: [(i, c[1], c[3]) for i, c in enumerate(splitting.chunk_text(t))])
 
@@ -321,9 +358,14 @@ def r5_bm25_scores(spark, sf_dir):
     return _scores(spark, sf_dir).select("query_id", "doc_id", "chunk_id", "chunk_seq", F.round("score", 6).alias("score"))
 
 
+def _sparse(spark, sf_dir):
+    t = X.vector_chunks(spark, sf_dir)
+    return R.sparse_search(t, R.bm25_index(t), X.questions(spark, sf_dir))
+
+
 @query(f"WITH {X.SEARCH_SQL} SELECT query_id, doc_id, chunk_id, chunk_seq, round(score, 6) AS score, rank FROM sparse")
 def r6_sparse_top(spark, sf_dir):
-    return R.sparse_top(_scores(spark, sf_dir)).select("query_id", "doc_id", "chunk_id", "chunk_seq", F.round("score", 6).alias("score"), "rank")
+    return _sparse(spark, sf_dir).select("query_id", "doc_id", "chunk_id", "chunk_seq", F.round("score", 6).alias("score"), "rank")
 
 
 def _dense(spark, sf_dir):
@@ -336,7 +378,7 @@ def r7_dense_top(spark, sf_dir):
 
 
 def _fused(spark, sf_dir):
-    return R.rrf_fuse(R.sparse_top(_scores(spark, sf_dir)), _dense(spark, sf_dir))
+    return R.rrf_fuse(_sparse(spark, sf_dir), _dense(spark, sf_dir))
 
 
 @query(f"WITH {X.SEARCH_SQL} SELECT query_id, doc_id, chunk_id, round(rrf_score, 6) AS rrf_score, rank FROM fused")

@@ -1,5 +1,8 @@
 """Cases worked by hand, and properties."""
 
+import zlib
+
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -9,6 +12,7 @@ from rubricspark.operators import brands as B
 from rubricspark.operators import clean as C
 from rubricspark.operators import extract as P
 from rubricspark.operators import search as R
+from rubricspark.operators import usage as L
 from rubricspark.operators.score import access_score, flatten_params
 from rubricspark.params import PARAMS
 from rubricspark.sources import io
@@ -118,3 +122,51 @@ def test_stream_usage_is_its_table(spark, sf_dir, tmp_path):
     got = spark.table("usage_now").groupBy("start", "model").agg(F.max("requests").alias("requests"), F.max("used").alias("used"))
     want = windowed_usage(log)
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_blanks_of_a_policy_are_those_of_unicode(spark):
+    df = spark.createDataFrame([("keep\nPassword\u00a0:\u00a0abc\nlogin =\u2003me\nend",)], "t string")
+    assert df.select(C.redact_credentials(F.col("t"))).first()[0] == "keep\nend"
+
+
+def test_tabular_route_is_redacted_on_request(spark):
+    docs = spark.createDataFrame([(1,)], "doc_id long")
+    kind = docs.withColumn("is_tabular", F.lit(True))
+    text = docs.withColumn("markdown", F.lit("a\nlogin: me\nb"))
+    one = lambda **k: C.route_conversion(docs, kind, text, text, **k).first().markdown
+    assert one() == "a\nlogin: me\nb" and one(redact_tabular=True) == "a\nb"
+
+
+def test_default_encoder(spark):
+    """Against a plain count of hashed words."""
+    texts = ["One two two", "", None, "x " * 500, "ÄÖ ß"]
+    out = R.embed_chunks(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    for r in out:
+        want = [0.0] * 64
+        for w in (texts[r.doc_id] or "").lower().split():
+            h = zlib.crc32(w.encode())
+            want[h % 64] += 1 if h >> 16 & 1 else -1
+        size = sum(x * x for x in want) ** 0.5
+        assert all(abs(a - (b / size if size else 0)) < 1e-9 for a, b in zip(r.embedding, want, strict=True))
+
+
+@pytest.mark.parametrize("scope", [["doc_id"], []])
+def test_sparse_search_is_the_ranking_of_all_pairs(spark, scope):
+    """Few hits, many hits, hits that score below zero, and queries without any."""
+    rows = [(d, i, f"{d}_{i}", " ".join(w for k, w in enumerate("alpha beta gamma delta".split()) if (d * 7 + i) % (k + 2) == 0) + " common") for d, n in ((1, 1), (2, 9), (3, 40)) for i in range(n)]
+    chunks = spark.createDataFrame(rows, "doc_id long, chunk_seq long, chunk_id string, text string").cache()
+    queries = spark.createDataFrame([(1, "alpha beta"), (2, "common"), (3, "nothing here"), (4, "delta common alpha"), (5, "")], "query_id long, query string")
+    index = R.bm25_index(chunks, scope)
+    cols = ["query_id", "doc_id", "chunk_id", "chunk_seq", "score", "rank"]
+    for n in (3, 12):
+        want = R.sparse_top(R.bm25_scores(chunks, index, queries), n, scope).select(*cols).collect()
+        got = R.sparse_search(chunks, index, queries, n, scope).select(*cols).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) >= 15
+
+
+def test_rolling_usage_over_stretches(spark):
+    rows = [(m, s, s % 7) for m in "ab" for s in (0, 1, 59, 60, 60, 61, 119, 120, 121, 179, 181, 400)]
+    df = spark.createDataFrame(rows, "model string, s long, tokens long").withColumn("ts", F.timestamp_seconds("s"))
+    for r in L.rolling_usage(df).collect():
+        mine = [t for m, s, t in rows if m == r.model and r.s - 60 <= s <= r.s]
+        assert (r.requests, r.used) == (len(mine), sum(mine))
