@@ -24,10 +24,12 @@ BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without boilerplate lines. Nulls, empty texts and repeated rows as in ``dedup_lines``; one row a row. An empty table gives an empty one."""
     return dedup_lines(read_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and bytes of every whole text as digests. A null or an empty text has 0 ids; no row is dropped, repeats stay. An empty table gives an empty one."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = bpe_encode(docs, BPE_RANKS, public_tokenizers.PATTERN).drop("text")
     both = bpe_decode(encoded, BPE_RANKS)
@@ -40,6 +42,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every document. A null doc_id is scored, never learned from, and its held_out is null. An empty table gives an empty one."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_toxicity(docs, read_table(spark, sf_dir, "labels"))
     found = score_toxicity(docs, model, ["doc_id"])
@@ -47,6 +50,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A language for every document, ``und`` without a letter. A null doc_id is scored; nothing is learned from null labels. An empty table gives an empty one."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit_languages(learnable(docs))
     found = identify_language(docs, model, ["doc_id"])
@@ -54,31 +58,37 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document. Null and empty texts have fingerprint zero; equal texts one component. An empty table gives an empty one."""
     found = simhash_components(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of every document. Null and empty texts have size 0 and none taken; equal rows are documents of their own. An empty table gives an empty one."""
     return taken_words(mix_sources(read_table(spark, sf_dir, "documents")))
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of every document, those of the fixed patterns counted. Null and empty texts have none; no row is dropped. An empty table gives an empty one."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_personal_data(docs, fit_tagger(docs), ["doc_id"])
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_secret", "n_added")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document. Null and empty texts have no words and fail; equal texts have equal rows. An empty table gives an empty one."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return apply_rules(docs, fit_quality(docs, read_table(spark, sf_dir, "labels")), ["doc_id"])
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes left of every document. Null and empty texts have 0 bytes; rows with a null doc_id or one doc_id as in ``remove_repeats``. An empty table gives an empty one."""
     out = remove_repeats(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op10_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector. Null, zero and non-finite vectors link with nothing; equal vectors are copies. An empty table gives an empty one."""
     return epsilon_join(read_table(spark, sf_dir, "embeddings"))
 
 
