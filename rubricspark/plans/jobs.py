@@ -2,18 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hooks import Encoder, PairScorer, hashing_encoder, overlap_scorer
 from ..functions.scoring import access_band
-from ..operators.brands import anchor_queries, assemble_context, brand_query, collect_context, dedupe_brands, explode_brands, gate_policies, parse_brand_json
+from ..operators.brands import (
+    BRAND_PROMPT,
+    anchor_queries,
+    assemble_context,
+    brand_query,
+    collect_context,
+    complete_prompts,
+    dedupe_brands,
+    distinct_prompts,
+    explode_brands,
+    gate_policies,
+    parse_brand_json,
+    render_prompt,
+)
 from ..operators.chunk import chunk_documents
 from ..operators.extract import brand_context, drop_empty_context, parameter_prompt, parse_param_json
 from ..operators.report import rank_in_file
 from ..operators.score import access_score, flatten_params
-from ..operators.search import bm25_index, tokenize
-from ..params import BM25_B, BM25_K1, BRAND_QUERIES, BRAND_QUERY, COMMON_QUERIES
+from ..operators.search import bm25_index, cosine, embed_chunks, fetch_chunks, rerank, tokenize
+from ..params import BM25_B, BM25_K1, BRAND_QUERIES, BRAND_QUERY, CANDIDATES, COMMON_QUERIES, RRF_K
 
 
 def rank_policies(params: DataFrame) -> DataFrame:
@@ -23,46 +39,88 @@ def rank_policies(params: DataFrame) -> DataFrame:
     return out.select("filename", "brand", "pos", "access_score", "band", "rank", "brands")
 
 
-def _lexical_hits(chunks: DataFrame, index: DataFrame, asks: DataFrame, top: int) -> DataFrame:
-    """asks: doc_id, query_id, query, and more columns. The top chunks of the same document, by BM25.
+def _hybrid_hits(chunks: DataFrame, index: DataFrame, asks: DataFrame, top: int, scorer: PairScorer) -> DataFrame:
+    """asks: doc_id, query_id, query, embedding, and more columns. The top chunks of the same document by hybrid search.
 
-    Queries belong to documents here, so they meet by an equi-join on (doc_id, term); chunks without a query term are
-    ranked last with score 0, as in a search over all.
+    Queries belong to documents here, so they meet by equi-joins on doc_id and (doc_id, term). Ranks and ties are those of
+    operators.search: chunks without a query term rank last, the later first; texts are joined to the candidates only.
     """
-    extra = [c for c in asks.columns if c not in ("query", "doc_id", "query_id")]
+    extra = [c for c in asks.columns if c not in ("query", "doc_id", "query_id", "embedding")]
     keys = ["doc_id", "query_id", *extra]
-    words = tokenize(asks, "query").groupBy(*keys, "term").agg(F.count("*").alias("qtf"))
+    words = tokenize(asks.select(*keys, "query"), "query").groupBy(*keys, "term").agg(F.count("*").alias("qtf"))
     tf = F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
-    hits = index.join(words, ["doc_id", "term"]).groupBy(*keys, "chunk_id").agg(F.sum(F.col("qtf") * F.col("idf") * tf).alias("s"))
-    every = asks.select(*keys).join(chunks.select("doc_id", "chunk_id", "chunk_seq", "text"), "doc_id")
-    scored = every.join(hits, [*keys, "chunk_id"], "left").withColumn("score", F.round(F.coalesce("s", F.lit(0.0)), 9))
-    w = Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("chunk_seq"))
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select(*keys, "chunk_id", "text", "rank")
+    hits = index.join(words, ["doc_id", "term"]).groupBy(*keys, "chunk_id").agg(F.sum(F.col("qtf") * F.col("idf") * tf).alias("lexical"))
+    every = asks.select(*keys, "query", F.col("embedding").alias("asked")).join(chunks.select("doc_id", "chunk_id", "chunk_seq", "embedding"), "doc_id")
+    every = every.withColumn("near", F.round(cosine(F.col("embedding"), F.col("asked")), 9)).drop("embedding", "asked")
+    scored = every.join(hits, [*keys, "chunk_id"], "left").withColumn("lexical", F.round(F.coalesce("lexical", F.lit(0.0)), 9))
+    by = Window.partitionBy(*keys)
+    place = lambda *order: F.row_number().over(by.orderBy(*order))
+    scored = scored.withColumns({"s": place(F.desc("lexical"), F.desc("chunk_seq")), "d": place(F.desc("near"), F.asc("chunk_seq"))})
+    inside = lambda c: F.when(F.col(c) <= CANDIDATES, F.col(c))
+    both = scored.withColumns({"s": inside("s"), "d": inside("d")}).filter("s IS NOT NULL OR d IS NOT NULL")
+    term = lambda c: F.coalesce(1 / (F.lit(RRF_K) + F.col(c)), F.lit(0.0))
+    fused = both.withColumn("rrf_score", F.round(term("s") + term("d"), 9))
+    fused = fused.withColumn("rank", place(F.desc("rrf_score"), F.asc_nulls_last("s"), F.asc_nulls_last("d"))).filter(F.col("rank") <= CANDIDATES)
+    found = fetch_chunks(fused.select(*keys, "query", "chunk_id", "rank"), chunks.select("doc_id", "chunk_id", "text"))
+    return rerank(found, top, scorer, ["doc_id", *extra]).select(*keys, "chunk_id", "text", "rank")
+
+
+def _answered(prompts: DataFrame, ask: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Prompts with answer_text: one question for each distinct prompt, answers looked up by prompt key."""
+    return complete_prompts(prompts, ask(distinct_prompts(prompts))).withColumnRenamed("response", "answer_text")
 
 
-def score_policies(docs: DataFrame, brand_answers: DataFrame, param_answers: DataFrame) -> DataFrame:
-    """Job A with answers from tables in place of models.
+def score_policies(
+    docs: DataFrame,
+    brand_answers: DataFrame | None = None,
+    param_answers: DataFrame | None = None,
+    *,
+    ask: Callable[[DataFrame], DataFrame] | None = None,
+    encoder: Encoder = hashing_encoder,
+    scorer: PairScorer = overlap_scorer,
+    brand_model: str = "brands",
+    param_model: str = "parameters",
+    max_tokens: int = 1024,
+) -> DataFrame:
+    """Job A: policies to scored rows, with hybrid search for all four kinds of queries.
 
-    docs: doc_id, filename, markdown; brand_answers: doc_id, answer_text; param_answers: brand, answer_text. With a
-    client, write its responses by prompt key first (operators.brands.call_client) and pass them on in this form.
+    docs: doc_id, filename, markdown. ``ask`` takes distinct prompts (prompt_key, model, content, max_tokens) and returns a
+    written table of prompt_key, response, such as what operators.brands.call_client gives once it is stored: it is read
+    more than once. In place of models, tables of answers may be given: brand_answers (doc_id, answer_text) and
+    param_answers (brand, answer_text); these do not depend on the prompts.
     """
-    # three searches read both; a lost block is computed again. The caller may unpersist by spark.catalog.clearCache()
-    chunks = chunk_documents(docs).persist(StorageLevel.DISK_ONLY)
+    if ask is None and (brand_answers is None or param_answers is None):
+        raise ValueError("either ask, or both tables of answers")
+    # four searches read both; a lost block is computed again. The caller may unpersist by spark.catalog.clearCache()
+    chunks = embed_chunks(chunk_documents(docs), encoder).persist(StorageLevel.DISK_ONLY)
     index = bm25_index(chunks).persist(StorageLevel.DISK_ONLY)
     spark = docs.sparkSession
 
     def asked(queries: list[str]) -> DataFrame:
-        table = spark.createDataFrame(list(enumerate(queries)), "query_id long, query string")
+        table = embed_chunks(spark.createDataFrame(list(enumerate(queries)), "query_id long, query string"), encoder, "query")
         return docs.select("doc_id").crossJoin(F.broadcast(table))  # a fixed number of queries a document
 
-    context = assemble_context(collect_context(_lexical_hits(chunks, index, asked(BRAND_QUERIES), 3)), docs)
-    found = parse_brand_json(context.join(brand_answers, "doc_id"), "answer_text").filter("error IS NULL")
+    def encoded(asks: DataFrame) -> DataFrame:  # equal questions are encoded once
+        return asks.withColumn("query_id", F.lit(0).cast("long")).join(embed_chunks(asks.select("query").distinct(), encoder, "query"), "query")
+
+    def prompts_of(rows: DataFrame, model: str, content: Column) -> DataFrame:
+        return rows.withColumns({"content": content, "model": F.lit(model), "max_tokens": F.lit(max_tokens)})
+
+    context = assemble_context(collect_context(_hybrid_hits(chunks, index, asked(BRAND_QUERIES), 3, scorer)), docs)
+    if brand_answers is None:
+        context = _answered(prompts_of(context, brand_model, render_prompt(BRAND_PROMPT, policy_text=F.col("policy_text"))), ask)
+    else:
+        context = context.join(brand_answers, "doc_id")
+    found = parse_brand_json(context, "answer_text").filter("error IS NULL")
     brands = dedupe_brands(explode_brands(gate_policies(found)))
-    anchors = _lexical_hits(chunks, index, anchor_queries(brands).withColumn("query_id", F.lit(0).cast("long")), 3)
-    own = brands.select("doc_id", "brand", F.lit(0).cast("long").alias("query_id"), brand_query(BRAND_QUERY, F.col("brand")).alias("query"))
-    contexts = brand_context(anchors, _lexical_hits(chunks, index, own, 4), _lexical_hits(chunks, index, asked(COMMON_QUERIES), 2))
+    anchors = _hybrid_hits(chunks, index, encoded(anchor_queries(brands)), 3, scorer)
+    own = brands.select("doc_id", "brand", brand_query(BRAND_QUERY, F.col("brand")).alias("query"))
+    contexts = brand_context(anchors, _hybrid_hits(chunks, index, encoded(own), 4, scorer), _hybrid_hits(chunks, index, asked(COMMON_QUERIES), 2, scorer))
     prompts = drop_empty_context(contexts).join(brands, ["doc_id", "brand"])
-    prompts = prompts.withColumn("content", parameter_prompt(F.col("brand"), F.col("preferred_status"), F.col("context")))
-    answers = parse_param_json(prompts.join(param_answers.withColumn("brand", F.upper("brand")), "brand"), "answer_text")
-    rows = answers.join(docs.select("doc_id", "filename"), "doc_id")
+    prompts = prompts_of(prompts, param_model, parameter_prompt(F.col("brand"), F.col("preferred_status"), F.col("context")))
+    if param_answers is None:
+        answers = _answered(prompts, ask)
+    else:
+        answers = prompts.join(param_answers.withColumn("brand", F.upper("brand")), "brand")
+    rows = parse_param_json(answers, "answer_text").join(docs.select("doc_id", "filename"), "doc_id")
     return access_score(flatten_params(rows))

@@ -2,11 +2,15 @@
 
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
+from rubricspark.functions.hooks import overlap_scorer
 from rubricspark.operators import search as R
+from rubricspark.operators.chunk import chunk_documents
 from rubricspark.plans import fixtures as X
 from rubricspark.plans.catalog import QUERIES
+from rubricspark.plans.jobs import _hybrid_hits, score_policies
 
 
 def test_policies_scores_every_gated_document(spark, sf_dir):
@@ -19,6 +23,48 @@ def test_policies_scores_every_gated_document(spark, sf_dir):
     assert named <= 5
 
 
+def _asks(spark, folder):
+    """Answers that depend on the prompt's text: a brand for each marker that it holds, steps from its context."""
+    calls = []
+
+    def ask(prompts):
+        mark = F.regexp_extract("content", r"marker(\w+)", 1)
+        brands = F.concat(F.lit('{"policy_has_pso": "Yes", "brands_relevant_to_pso": [{"brand": "'), mark, F.lit('"}]}'))
+        steps = F.concat(F.lit('{"Number of Steps through Brands": "'), F.length("content").cast("string"), F.lit('", "brand": "'), F.upper(mark), F.lit('"}'))
+        calls.append(prompts.count())
+        out = f"{folder}/answers{len(calls)}"
+        prompts.select("prompt_key", F.when(F.col("model") == "brands", brands).otherwise(steps).alias("response")).write.parquet(out)
+        return spark.read.parquet(out)
+
+    return ask, calls
+
+
+def test_policy_answers_follow_what_was_retrieved(spark, tmp_path):
+    def run(texts, folder):
+        docs = spark.createDataFrame([(i, f"policy_{i}.pdf", t) for i, t in enumerate(texts)], "doc_id long, filename string, markdown string")
+        ask, calls = _asks(spark, str(tmp_path / folder))
+        return {r.filename: r.brand for r in score_policies(docs, ask=ask).select("filename", "brand").collect()}, calls
+
+    plain = "# Plaque psoriasis\n\nPreferred products: markeralpha is preferred for plaque psoriasis."
+    got, calls = run([plain, plain, "# Plaque psoriasis\n\nPreferred products: markerbeta for plaque psoriasis."], "a")
+    assert got == {"policy_0.pdf": "ALPHA", "policy_1.pdf": "ALPHA", "policy_2.pdf": "BETA"}
+    assert calls == [2, 2]  # equal prompts are one question
+    changed, _ = run([plain, plain.replace("markeralpha", "markergamma"), ""], "b")
+    assert changed == {"policy_0.pdf": "ALPHA", "policy_1.pdf": "GAMMA"}
+    with pytest.raises(ValueError, match="answers"):
+        score_policies(spark.createDataFrame([], "doc_id long, filename string, markdown string"))
+
+
+def test_job_search_is_hybrid_search(spark, sf_dir):
+    docs = X.docs(spark, sf_dir).filter("doc_id < 40")
+    chunks = R.embed_chunks(chunk_documents(docs))
+    queries = R.embed_chunks(spark.createDataFrame([(0, "preferred products for the policy"), (1, "the and of")], "query_id long, query string"), text_col="query")
+    want = R.hybrid_search(chunks, queries, 4).select("doc_id", "query_id", "chunk_id", "rank").collect()
+    asks = chunks.select("doc_id").distinct().crossJoin(queries)
+    got = _hybrid_hits(chunks, R.bm25_index(chunks), asks, 4, overlap_scorer).select("doc_id", "query_id", "chunk_id", "rank").collect()
+    assert sorted(got) == sorted(want) and got
+
+
 def test_search_reaches_documents_without_a_vector(spark, sf_dir, tmp_path):
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     docs = read("documents").withColumn("doc_id", F.col("doc_id") * 13)
