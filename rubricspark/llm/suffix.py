@@ -2,10 +2,9 @@
 
 A passage is a string of LENGTH bytes. Equal passages choose the same anchor inside themselves (the K-byte string of
 least hash), so only passages around anchors that two documents share can repeat. The surroundings of shared anchors,
-each different one once, are dealt into shards by anchor. A shard's suffixes are sorted by induction: suffix tuples at
-the leftmost-S positions are sorted first, then induce all others through bucket queues that go to disk when they
-outgrow memory. Neighbours in that order with a common prefix of LENGTH bytes are one passage; the smallest doc_id
-that holds it keeps it.
+each different one once, are dealt into shards by anchor. A shard's suffixes are sorted by induction (module induce),
+which carries common prefixes along. Neighbours in that order with a common prefix of LENGTH bytes are one passage; the
+smallest doc_id that holds it keeps it.
 
 The surroundings of an anchor are just the passages that choose it. Where documents agree in all of them, the later
 ones lose them without a sort; only the first document with each of several different surroundings sends its text.
@@ -13,7 +12,6 @@ ones lose them without a sort; only the first document with each of several diff
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize, ragged
+from .induce import suffixes_down
 
 LENGTH, K = 50, 16
 #: Windows of K-byte strings in a passage.
 SPAN = LENGTH - K + 1
-#: Bytes of a shard that are sorted at once, where groups allow; bytes of queues that stay in memory.
-SHARD, IN_MEMORY = 1 << 21, 1 << 27
+#: Bytes from which a shard ends, where groups allow; passages of the sorted stream that are settled together.
+SHARD, SETTLE = 1 << 21, 1 << 18
 _PIECE, _PLACE_BITS = 1 << 22, 24
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -118,135 +117,40 @@ def _digests(flat: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray
     return out
 
 
-class Queues:
-    """First-in first-out queues of positions by bucket; the fullest go to disk when memory is short."""
-
-    def __init__(self, buckets: int):
-        self.parts: list[list[np.ndarray]] = [[] for _ in range(buckets)]
-        self.files: dict[int, tempfile._TemporaryFileWrapper] = {}
-        self.held = 0
-
-    def push(self, where: np.ndarray, what: np.ndarray) -> None:
-        """Appends what[i] to queue where[i], in order."""
-        if not len(where):
-            return
-        by = np.argsort(where, kind="stable")
-        where, what = where[by], what[by]
-        cuts = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
-        for a, b in zip(cuts, [*cuts[1:], len(where)], strict=True):
-            self.parts[where[a]].append(what[a:b])
-            self.held += what[a:b].nbytes
-        if self.held > IN_MEMORY:
-            self._spill()
-
-    def _spill(self) -> None:
-        for k, parts in enumerate(self.parts):
-            if sum(p.nbytes for p in parts) * 64 > IN_MEMORY:
-                f = self.files.get(k) or self.files.setdefault(k, tempfile.TemporaryFile())
-                for p in parts:
-                    f.write(np.ascontiguousarray(p, np.int64).tobytes())
-                    self.held -= p.nbytes
-                parts.clear()
-
-    def drain(self, k: int) -> np.ndarray:
-        parts = list(self.parts[k])
-        self.held -= sum(p.nbytes for p in parts)
-        self.parts[k] = []
-        f = self.files.pop(k, None)
-        if f is not None:
-            f.seek(0)
-            parts.insert(0, np.frombuffer(f.read(), np.int64))
-            f.close()
-        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
-
-
-def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Positions of a byte array in the order of their suffixes, to a depth of LENGTH bytes at least."""
-    n = len(text)
-    s = np.concatenate([text.astype(np.int16) + 1, [0]])  # an end smaller than all
-    # S: a suffix smaller than the next one; within a run of one byte the run's end decides
-    differs = np.flatnonzero(np.concatenate([s[1:] != s[:-1], [True]]))
-    run_end = differs[np.searchsorted(differs, np.arange(n + 1))]
-    is_s = np.append(s[np.minimum(run_end[:-1] + 1, n)] > s[:-1], True)
-    left_s = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
-    # tuples of the suffixes at leftmost-S positions: their first 56 bytes as seven numbers, most significant first
-    word = _words(text).byteswap()
-    at = left_s[left_s < n]
-    keys = []
-    for k in range(0, 56, 8):
-        inside = at + k < n
-        keys.append(np.where(inside, word[np.minimum(at + k, n - 1)], np.uint64(0)))
-    order = np.argsort(keys[0], kind="stable")
-    if len(at):
-        group = keys[0][order]
-        same = np.concatenate([[False], group[1:] == group[:-1]])
-        tied = same | np.append(same[1:], False)
-        if tied.any():
-            part = order[tied]
-            part = part[np.lexsort([k[part] for k in keys[:0:-1]] + [keys[0][part]])]
-            order[tied] = part
-    tuples = np.concatenate([[n], at[order]])  # the end comes first
-    first = s[tuples]
-    cuts = np.searchsorted(first, np.arange(258))
-    # larger ones: from small buckets to large, each position puts its predecessor behind what its bucket holds
-    large, queue = [], Queues(258)
-    for c in range(257):
-        wave, own = queue.drain(c), []
-        while len(wave):
-            own.append(wave)
-            before = wave[wave > 0] - 1
-            ch = s[before]
-            up = ch > c
-            queue.push(ch[up], before[up])
-            wave = before[ch == c]
-        large.append(np.concatenate(own) if own else np.zeros(0, np.int64))
-        lms = tuples[cuts[c] : cuts[c + 1]]
-        before = lms[lms > 0] - 1
-        queue.push(s[before], before)
-    # smaller ones: from large buckets to small, from the back to the front
-    out, queue = [], Queues(258)
-    for c in range(256, -1, -1):
-        wave, own = queue.drain(c), []
-        while len(wave):
-            own.append(wave)
-            before = wave[wave > 0] - 1
-            ch = s[before]
-            down = ch < c
-            queue.push(ch[down], before[down])
-            wave = before[ch == c]
-        if own:
-            out.append(np.concatenate(own))
-        back = large[c][::-1]
-        out.append(back)
-        before = back[back > 0] - 1
-        down = s[before] < c
-        before = before[down]
-        queue.push(s[before], before)
-    return np.concatenate(out)[::-1]
-
-
 def first_holders(contexts: list[bytes], docs: np.ndarray) -> np.ndarray:
     """For each passage of each context, one after the other: the smallest doc of the contexts that hold it."""
     lengths = np.array([len(c) for c in contexts], np.int64)
     starts = np.cumsum(lengths) - lengths
     text = np.frombuffer(b"".join(contexts), np.uint8)
-    windows = np.maximum(lengths - LENGTH + 1, 0)
-    valid = ragged(starts, windows)
-    owner = np.repeat(docs, windows)
-    slot = np.full(len(text), -1, np.int64)
-    slot[valid] = np.arange(len(valid))
-    order = suffix_order(text)
-    order = order[slot[order] >= 0]
-    word, same = _words(text), np.ones(max(len(order) - 1, 0), bool)
-    for k in (*range(0, LENGTH - 8, 8), LENGTH - 8):  # the common prefix of neighbours, eight bytes at a time
-        w = word[order + k]
-        same &= w[1:] == w[:-1]
-    group = np.flatnonzero(np.concatenate([[True], ~same])) if len(order) else np.zeros(0, np.int64)
-    mine = slot[order]
-    least = np.minimum.reduceat(owner[mine], group) if len(order) else np.zeros(0, np.int64)
-    out = np.empty(len(valid), np.int64)
-    out[mine] = np.repeat(least, np.diff(np.append(group, len(order))))
-    return out
+    out = np.empty(len(text), np.int64)
+    held, size, group = [], 0, 0  # passages whose group may go on, and their groups
+
+    def close(last: bool) -> None:
+        nonlocal held, size
+        if not held:
+            return
+        at, of = (np.concatenate(x) for x in zip(*held, strict=True))
+        new = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        end = len(at) if last else int(new[-1])
+        held, size = ([] if last else [(at[end:], of[end:])]), 0
+        new = new[new < end]
+        if len(new):
+            owner = docs[np.searchsorted(starts, at[:end], side="right") - 1]
+            out[at[:end]] = np.repeat(np.minimum.reduceat(owner, new), np.diff(np.append(new, end)))
+
+    for pos, lcp in suffixes_down(text):
+        of = group + np.cumsum(lcp < LENGTH)  # a common prefix of a passage's length is the same passage
+        group = int(of[-1])
+        real = pos < len(text)
+        context = np.searchsorted(starts, pos, side="right") - 1
+        real &= pos + LENGTH <= starts[context] + lengths[context]
+        if real.any():
+            held.append((pos[real], of[real]))
+            size += int(real.sum())
+        if size > SETTLE:
+            close(False)
+    close(True)
+    return out[ragged(starts, np.maximum(lengths - LENGTH + 1, 0))]
 
 
 # --- Spark ---------------------------------------------------------------------------------------------

@@ -5,9 +5,10 @@ import hashlib
 import numpy as np
 import pytest
 
-from rubricspark.llm import suffix
+from rubricspark.llm import induce
+from rubricspark.llm.induce import suffixes_down
 from rubricspark.llm.queries import op9_suffix_dedup
-from rubricspark.llm.suffix import LENGTH, anchors, first_holders, remove_repeats, suffix_order
+from rubricspark.llm.suffix import LENGTH, anchors, first_holders, remove_repeats
 
 
 def slow_removal(rows):
@@ -29,18 +30,52 @@ def slow_removal(rows):
     return out
 
 
-@pytest.mark.parametrize("spill", [False, True])
-def test_suffix_order(monkeypatch, spill):
-    if spill:
-        monkeypatch.setattr(suffix, "IN_MEMORY", 64)
+def common_prefix(a, b):
+    return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+def shard(rng):
+    base = rng.integers(97, 110, 500).astype(np.uint8)
+    run = np.full(300, 97, np.uint8)
+    return np.concatenate([base, base[100:300], base, base[50:], run, base, run[:280], base[::-1], base])
+
+
+@pytest.mark.parametrize("limits", [{}, {"room": 64, "base": 4}, {"room": 2000, "base": 50}])
+def test_suffixes_and_prefixes_are_brute_force(limits):
     rng = np.random.default_rng(4)
-    for n, k in ((1, 2), (2, 1), (60, 2), (300, 3), (300, 1), (2000, 256), (3000, 2)):
-        text = rng.integers(0, k, n).astype(np.uint8)
-        raw = text.tobytes()
-        order = suffix_order(text)
-        assert sorted(order.tolist()) == list(range(n))
-        cut = [raw[i : i + LENGTH] for i in order]
-        assert cut == sorted(cut)
+    texts = [rng.integers(0, k, n).astype(np.uint8) for n, k in ((0, 1), (1, 2), (2, 1), (60, 2), (300, 3), (300, 1), (2000, 256), (3000, 2))]
+    for text in [*texts, shard(rng)]:
+        raw = text.tobytes() + b"\0" * 64
+        pos, lcp = (np.concatenate(x) for x in zip(*suffixes_down(text, **limits), strict=True))
+        assert sorted(pos.tolist()) == list(range(len(raw)))
+        cut = [raw[i : i + LENGTH] for i in pos]
+        assert cut == sorted(cut, reverse=True)
+        assert lcp[1:].tolist() == [common_prefix(a, b) for a, b in zip(cut, cut[1:], strict=False)]
+
+
+def test_shard_beyond_its_memory(monkeypatch):
+    """Under the limits as they are: queues and spool go to disk, seeds are ordered by their names."""
+    spills, named = [], []
+    spill, names = induce.TupleQueue._spill, induce._names
+    monkeypatch.setattr(induce.TupleQueue, "_spill", lambda self: (spills.append(1), spill(self))[1])
+    monkeypatch.setattr(induce, "_names", lambda *a: (named.append(1), names(*a))[1])
+    rng = np.random.default_rng(5)
+    block = rng.integers(97, 101, 3_500_000).astype(np.uint8)
+    text = np.concatenate([block, block[1_000_000:1_500_000]])
+    seen = np.zeros(len(text) + 64, bool)
+    raw, before, repeats = text.tobytes() + b"\0" * 64, None, 0
+    for pos, lcp in suffixes_down(text):
+        assert not seen[pos].any()
+        seen[pos] = True
+        repeats += int((lcp == LENGTH).sum())
+        for i in range(0, len(pos), 997):  # each 997th neighbour, and the first ones of each batch
+            a, b = (before if i == 0 else pos[i - 1]), pos[i]
+            if a is not None:
+                x, y = raw[a : a + LENGTH], raw[b : b + LENGTH]
+                assert x >= y and common_prefix(x, y) == lcp[i]
+        before = pos[-1]
+    assert seen.all() and spills and named
+    assert repeats == 500_000 - 49 + 14  # the copied stretch, and the padding's own zeros
 
 
 def test_first_holders():
