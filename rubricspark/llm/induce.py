@@ -37,7 +37,7 @@ class TupleQueue:
         self.spilled = 0
 
     def push(self, key: np.ndarray, pos: np.ndarray, lcp: np.ndarray) -> None:
-        """Tuples sorted by key."""
+        """Tuples whose equal keys lie together."""
         if not len(key):
             return
         cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist()
@@ -150,12 +150,13 @@ def _run(s: np.ndarray, pos: int) -> int:
 
 def _step(s: np.ndarray, prefixes: Prefixes, pos: np.ndarray, lcp: np.ndarray, keep) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbol, position, common prefix) of the predecessors whose symbols keep() takes, by symbol, then source."""
-    at = np.flatnonzero(pos > 0)
-    symbol = s[pos[at] - 1].astype(np.int64)
-    at, symbol = at[keep(symbol)], symbol[keep(symbol)]
-    by = np.argsort(symbol, kind="stable")
-    at, symbol = at[by], symbol[by]
-    return symbol, pos[at] - 1, prefixes.of(symbol, at, lcp)
+    before = pos - 1
+    symbol = s[before]  # that of the end, before the text
+    at = np.flatnonzero(keep(symbol) & (before >= 0))
+    symbol = symbol[at]
+    by = np.argsort(symbol, kind="stable")  # bytes by radix
+    at, symbol = at[by], symbol[by].astype(np.int64)
+    return symbol, before[at], prefixes.of(symbol, at, lcp)
 
 
 def _induce(s: np.ndarray, symbols: int, seeds: np.ndarray, seed_lcp: np.ndarray, room: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -193,19 +194,15 @@ def _induce(s: np.ndarray, symbols: int, seeds: np.ndarray, seed_lcp: np.ndarray
                 symbol, pos, lcp = _step(s, prefixes, *wave, lambda x: x <= c)
                 n = int(np.searchsorted(symbol, c))
                 wave = pos[n:], lcp[n:]
-                _push_down(queue, symbol[:n], pos[:n], lcp[:n])
+                queue.push(-symbol[:n], pos[:n], lcp[:n])
         if larger.symbol() == c:
             pos, up = larger.pop()
             pos, lcp = pos[::-1], np.append(0, up[::-1][:-1])
             if low is not None:
                 lcp[0] = min(_run(s, low), _run(s, int(pos[0])))
             yield pos, lcp
-            _push_down(queue, *_step(s, prefixes, pos, lcp, lambda x: x < c))
-
-
-def _push_down(queue: TupleQueue, symbol: np.ndarray, pos: np.ndarray, lcp: np.ndarray) -> None:
-    by = np.argsort(-symbol, kind="stable")
-    queue.push(-symbol[by], pos[by], lcp[by])
+            symbol, pos, lcp = _step(s, prefixes, pos, lcp, lambda x: x < c)
+            queue.push(-symbol, pos, lcp)
 
 
 def _seeds(s: np.ndarray) -> np.ndarray:
@@ -267,7 +264,8 @@ def _words(text: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
         yield word
 
 
-def _sort_seeds(s: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+def _sort_seeds(s: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Seeds in order by their first DEPTH bytes, and the common prefix of each with the one before."""
     words = list(_words(s, seeds[:-1]))  # padding makes all of them whole
     order = np.argsort(words[0], kind="stable")
     same = np.diff(words[0][order]) == 0
@@ -275,7 +273,22 @@ def _sort_seeds(s: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     if tied.any():
         part = order[tied]
         order[tied] = part[np.lexsort([w[part] for w in words[::-1]])]
-    return np.append(seeds[-1:], seeds[:-1][order])
+    lcp, ask = np.zeros(len(seeds), np.int64), np.arange(1, len(order))
+    for word in words:
+        other = word[order[ask - 1]] ^ word[order[ask]]
+        for bits in range(56, -8, -8):
+            lcp[ask + 1] += other < np.uint64(1 << bits)
+        ask = ask[other == 0]
+    return np.append(seeds[-1:], seeds[:-1][order]), np.minimum(lcp, DEPTH)
+
+
+def _compare(s: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Common prefix of each seed with the one before; the end comes first."""
+    lcp, ask = np.zeros(len(order), np.int64), np.arange(2, len(order))
+    for k in range(DEPTH):
+        ask = ask[s[order[ask - 1] + k] == s[order[ask] + k]]
+        lcp[ask] += 1
+    return lcp
 
 
 def suffixes_down(text: np.ndarray, room: int = ROOM, base: int = BASE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -294,9 +307,9 @@ def suffixes_down(text: np.ndarray, room: int = ROOM, base: int = BASE) -> Itera
         s[lo : min(lo + _BLOCK, n)] = text[lo : lo + _BLOCK].astype(np.int16) + 1
     s[n:], s[-1] = 1, 0  # a seed is followed by all the bytes it is compared by
     seeds = _seeds(s)
-    order = _sort_seeds(s, seeds) if len(seeds) <= base else seeds[_order(_names(s, 257, seeds, room), room, 2 * base)]
-    lcp, ask = np.zeros(len(order), np.int64), np.arange(2, len(order))
-    for k in range(DEPTH):  # prefixes of seeds are compared, all others are induced from them
-        ask = ask[s[order[ask - 1] + k] == s[order[ask] + k]]
-        lcp[ask] += 1
+    if len(seeds) <= base:
+        order, lcp = _sort_seeds(s, seeds)
+    else:
+        order = seeds[_order(_names(s, 257, seeds, room), room, 2 * base)]
+        lcp = _compare(s, order)  # those of seeds are compared, all others are induced from them
     yield from _induce(s, 257, order, lcp, room)

@@ -120,8 +120,9 @@ def _digests(flat: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray
 def first_holders(contexts: list[bytes], docs: np.ndarray) -> np.ndarray:
     """For each passage of each context, one after the other: the smallest doc of the contexts that hold it."""
     lengths = np.array([len(c) for c in contexts], np.int64)
-    starts = np.cumsum(lengths) - lengths
+    ends = np.cumsum(lengths)
     text = np.frombuffer(b"".join(contexts), np.uint8)
+    context = np.repeat(np.arange(len(contexts), dtype=np.int32), lengths)
     out = np.empty(len(text), np.int64)
     held, size, group = [], 0, 0  # passages whose group may go on, and their groups
 
@@ -135,22 +136,22 @@ def first_holders(contexts: list[bytes], docs: np.ndarray) -> np.ndarray:
         held, size = ([] if last else [(at[end:], of[end:])]), 0
         new = new[new < end]
         if len(new):
-            owner = docs[np.searchsorted(starts, at[:end], side="right") - 1]
+            owner = docs[context[at[:end]]]
             out[at[:end]] = np.repeat(np.minimum.reduceat(owner, new), np.diff(np.append(new, end)))
 
     for pos, lcp in suffixes_down(text):
         of = group + np.cumsum(lcp < LENGTH)  # a common prefix of a passage's length is the same passage
         group = int(of[-1])
-        real = pos < len(text)
-        context = np.searchsorted(starts, pos, side="right") - 1
-        real &= pos + LENGTH <= starts[context] + lengths[context]
+        real = pos <= len(text) - LENGTH
+        pos, of = pos[real], of[real]
+        real = pos + LENGTH <= ends[context[pos]]
         if real.any():
             held.append((pos[real], of[real]))
-            size += int(real.sum())
+            size += len(held[-1][0])
         if size > SETTLE:
             close(False)
     close(True)
-    return out[ragged(starts, np.maximum(lengths - LENGTH + 1, 0))]
+    return out[ragged(ends - lengths, np.maximum(lengths - LENGTH + 1, 0))]
 
 
 # --- Spark ---------------------------------------------------------------------------------------------
