@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .align import align_tokenizers
 from .bpe import bpe_decode, bpe_encode, ids_digest
 from .common import held_out, read_table
 from .ego import OP10_SQL, epsilon_join
@@ -16,11 +17,14 @@ from .lines import OP1_SQL, dedup_lines
 from .mix import mix_sources, taken_words
 from .pii import find_personal_data, fit_tagger
 from .quality import apply_rules, fit_quality
+from .shard import shard_documents
 from .simhash import simhash_components
 from .suffix import remove_repeats
 from .toxicity import fit_toxicity, score_toxicity
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+BPE_JSON, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+SHARDS = 24
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +96,17 @@ def op10_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return epsilon_join(read_table(spark, sf_dir, "embeddings"))
 
 
+def op12_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers in every whole text. Null and empty texts have zeros and ''; repeats count as often as they are. An empty table gives an empty one."""
+    return align_tokenizers(read_table(spark, sf_dir, "documents"), BPE_JSON, PIECES)
+
+
+def op13_shard_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document by the law ``rows``. Nulls, empty texts and equal rows are rows like others. An empty table gives an empty one."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return shard_documents(docs, SHARDS).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -103,6 +118,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_embedding_join": op10_embedding_join,
+    "op12_align_tokenizers": op12_align_tokenizers,
+    "op13_shard_ring": op13_shard_ring,
 }
 
 SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op10_embedding_join": OP10_SQL}
