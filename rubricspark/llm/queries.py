@@ -21,6 +21,7 @@ from .shard import shard_documents
 from .simhash import simhash_components
 from .suffix import remove_repeats
 from .toxicity import fit_toxicity, score_toxicity
+from .trie import OP11_SQL, conversation_trie
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 BPE_JSON, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -96,6 +97,11 @@ def op10_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return epsilon_join(read_table(spark, sf_dir, "embeddings"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each prefix of the rebuilt conversations. Null turns come first, ties go by role and text, rows without conv_id belong to none. An empty table gives an empty one."""
+    return conversation_trie(read_table(spark, sf_dir, "conversations"))
+
+
 def op12_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links of two tokenizers in every whole text. Null and empty texts have zeros and ''; repeats count as often as they are. An empty table gives an empty one."""
     return align_tokenizers(read_table(spark, sf_dir, "documents"), BPE_JSON, PIECES)
@@ -118,8 +124,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_embedding_join": op10_embedding_join,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_align_tokenizers": op12_align_tokenizers,
     "op13_shard_ring": op13_shard_ring,
 }
 
-SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op10_embedding_join": OP10_SQL}
+SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op10_embedding_join": OP10_SQL, "op11_conversation_trie": OP11_SQL}
