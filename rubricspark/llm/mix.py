@@ -142,15 +142,9 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int =
     drawn = np.zeros(len(sizes), np.int64)
     for r in counts.groupBy("source_no").agg(F.sum("n").alias("n")).collect():
         drawn[r.source_no] = r.n
-    gap = np.maximum(quota - drawn, 0)
+    gap, excess = np.maximum(quota - drawn, 0), np.maximum(drawn - quota, 0)
     ends, over = np.cumsum(gap), int(gap.sum())
-    caps = spark.createDataFrame([(i, int(q)) for i, q in enumerate(quota)], "source_no int, quota long")
-    kept = F.greatest(F.lit(0), F.least(F.col("n"), F.col("quota") - F.col("first")))
-    split = counts.join(F.broadcast(caps), "source_no").withColumn("kept", kept)
-    rest = split.groupBy("shard").agg(F.sum(F.col("n") - F.col("kept")).alias("n")).filter("n > 0").withColumn("all", F.lit(0))
-    rest = running_offset(rest, ["all"], ["shard"], "n", "first")
-    runs = split.filter("kept > 0").select("shard", "source_no", F.col("kept").alias("n"), "first")
-    runs = runs.unionByName(rest.select("shard", F.lit(-1).alias("source_no"), "n", "first"))
+    beyond = np.cumsum(excess) - excess
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -159,9 +153,13 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int =
                 n = part["n"].to_numpy()
                 no = np.repeat(part["source_no"].to_numpy(), n)
                 slot = np.repeat(part["first"].to_numpy() - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                dealt = np.flatnonzero(no < 0)  # slot is here the number among all that were drawn beyond a quota
+                # which of a source's draws go beyond its quota is a matter of a permutation over all of them, not of their shard
+                for key in np.unique(no):
+                    here = np.flatnonzero(no == key)
+                    slot[here] = permute(slot[here], int(drawn[key]), seed * 1_000_003 - 2 - int(key))
+                dealt = np.flatnonzero(slot >= quota[no])
                 if len(dealt):
-                    at = permute(slot[dealt], over, seed * 1_000_003 - 1)
+                    at = permute(beyond[no[dealt]] + slot[dealt] - quota[no[dealt]], over, seed * 1_000_003 - 1)
                     no[dealt] = np.searchsorted(ends, at, side="right")
                     slot[dealt] = drawn[no[dealt]] + at - (ends - gap)[no[dealt]]
                 passes, at = slot // blocks[no], slot % blocks[no]
@@ -172,7 +170,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int =
                     put[here] = permute(at[here], int(blocks[key // most]), seed * 1_000_003 + int(key))
                 yield pd.DataFrame({"shard": np.repeat(part["shard"].to_numpy(), n), "source_no": no, "slot": slot, "block": put})
 
-    slots = runs.mapInPandas(place, "shard long, source_no int, slot long, block long")
+    slots = counts.mapInPandas(place, "shard long, source_no int, slot long, block long")
     times = slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
     of = F.col("start") + F.col("size")
     parts = documents.filter("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))))

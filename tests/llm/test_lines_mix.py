@@ -122,6 +122,20 @@ def test_mix_is_brute_force(spark, sf_dir):
     assert slots == Counter((s, j) for s, q in enumerate(quota) for j in range(q))
 
 
+def test_every_tenth_of_the_shards_has_the_shares_of_the_whole(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    slots = mix_sources(docs, block=4, shard_slots=32).slots.groupBy("shard", "source_no").count().collect()
+    shards = max(r.shard for r in slots) + 1
+    of_source, tenths = Counter(), Counter()
+    for r in slots:
+        of_source[r.source_no] += r["count"]
+        tenths[r.source_no, r.shard * 10 // shards] += r["count"]
+    assert shards > 200 and len(of_source) > 5
+    for s, n in of_source.items():
+        for t in range(10):
+            assert abs(tenths[s, t] - n / 10) <= 5 * (n / 10) ** 0.5 + 2, (s, t, n, tenths[s, t])
+
+
 def test_offsets_of_many_groups(spark):
     df = spark.range(6000).select((F.col("id") % 2).alias("k"), "id", (F.col("id") % 7).alias("v"), F.lit(0).alias("_group"))
     out = running_offset(df, ["k"], ["id"], "v", "at", per_group=2)
