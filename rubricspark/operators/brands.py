@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hooks import outermost_object
 from ..params import ANCHOR_QUERY, CONTEXT_CHARS, CONTEXT_JOIN
+from ..sources.shared import path_exists, stored
 
 #: A default prompt. Slots are named in braces, doubled braces are literal.
 BRAND_PROMPT = (
     "List the brands in this policy that concern plaque psoriasis, in capitals and without generic names. Answer with one JSON object: "
     '{{"policy_has_pso": "Yes | No", "brands_relevant_to_pso": [{{"brand": "", "preferred_status": "Preferred | Non-preferred | Unspecified"}}]}}\n\n{policy_text}'
 )
+ANSWERS = "prompt_key string, response string"
 BRANDS = "policy_has_pso string, brands_relevant_to_pso array<struct<brand:string,preferred_status:string>>"
 
 
@@ -60,12 +65,58 @@ def distinct_prompts(prompts: DataFrame) -> DataFrame:
     return keyed.groupBy("prompt_key").agg(F.first("model").alias("model"), F.first("content").alias("content"), F.max("max_tokens").alias("max_tokens"))
 
 
-def call_client(prompts: DataFrame, client: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], parallel: int) -> DataFrame:
-    """prompt_key, response: one call for each distinct prompt from ``parallel`` tasks at once.
+def read_answers(spark: SparkSession, store: str) -> DataFrame | None:
+    """prompt_key, response of an answer store; None if there is none yet."""
+    return spark.read.schema(ANSWERS).parquet(store) if path_exists(spark, store) else None
 
-    Write the result before using it: a retried task calls again.
+
+def call_client(prompts: DataFrame, client: Callable[[list[str]], list[str]], store: str, parallel: int = 8, together: int = 64) -> DataFrame:
+    """prompt_key, response of every distinct prompt, asking only what the store (a folder's URI) does not hold.
+
+    ``client`` takes up to ``together`` contents. What it says is stored, as a file of its own, before the next are asked. The
+    prompts are stored first and dealt by key, so a task that runs again sees the same ones in the same order, finds the files of those that
+    were answered, and asks the rest; a job that is begun again leaves out all that is stored.
     """
-    return distinct_prompts(prompts).repartition(parallel).mapInPandas(client, "prompt_key string, response string")
+    spark = prompts.sparkSession
+    asked = stored(distinct_prompts(prompts))
+    known = read_answers(spark, store)
+    fresh = asked if known is None else asked.join(known.select("prompt_key"), "prompt_key", "left_anti")
+    # one answer for each key, even if two jobs have asked it at once
+    return _asked(fresh, client, store, parallel, together).join(asked.select("prompt_key"), "prompt_key", "left_semi").groupBy("prompt_key").agg(F.min("response").alias("response"))
+
+
+def _asked(fresh: DataFrame, client: Callable[[list[str]], list[str]], store: str, parallel: int, together: int) -> DataFrame:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs, parquet
+
+        place, root = fs.FileSystem.from_uri(store if "://" in store else f"file://{store}")
+        place.create_dir(root, recursive=True)
+
+        def answer(keys: list[str], contents: list[str]) -> pa.RecordBatch:
+            at = f"{root}/{hashlib.md5(''.join(keys).encode()).hexdigest()}.parquet"
+            if place.get_file_info(at).type == fs.FileType.NotFound:
+                hidden = f"{root}/.{uuid.uuid4().hex}"
+                table = pa.table({"prompt_key": pa.array(keys, pa.string()), "response": pa.array(client(contents), pa.string())})
+                with place.open_output_stream(hidden) as f:
+                    parquet.write_table(table, f)
+                place.move(hidden, at)
+            return pa.RecordBatch.from_arrays([pa.array([len(keys)], pa.int64())], names=["n"])
+
+        keys, contents = [], []
+        for batch in batches:
+            for key, content in zip(batch.column("prompt_key").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                keys.append(key)
+                contents.append(content or "")
+                if len(keys) == together:
+                    yield answer(keys, contents)
+                    keys, contents = [], []
+        if keys:
+            yield answer(keys, contents)
+
+    dealt = fresh.select("prompt_key", "content").repartition(parallel, "prompt_key").sortWithinPartitions("prompt_key")
+    dealt.mapInArrow(ask, "n long").agg(F.sum("n")).collect()
+    out = read_answers(fresh.sparkSession, store)
+    return fresh.select("prompt_key", F.lit(None).cast("string").alias("response")).limit(0) if out is None else out
 
 
 def complete_prompts(prompts: DataFrame, responses: DataFrame) -> DataFrame:
@@ -91,6 +142,8 @@ def parse_brand_json(df: DataFrame, col: str = "response") -> DataFrame:
                 found = json.loads(outermost_object(text))
             except ValueError:
                 found = answer
+            except RecursionError:  # braces nested beyond any answer's form
+                found, error = answer, "nested too deeply"
             try:
                 gate = found.get("policy_has_pso")
                 brands = []

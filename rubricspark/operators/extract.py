@@ -45,7 +45,10 @@ def parameter_prompt(brand: Column, status: Column, chunks: Column, template: st
 
 
 def parse_param_json(df: DataFrame, col: str = "response") -> DataFrame:
-    """Adds params, map<string,string>: values as text (null None, true True). Rows without a readable object go."""
+    """Adds params, map<string,string>: values as text (null None, true True). Rows without a readable object go.
+
+    An answer nested too deeply to be read is no readable object either.
+    """
 
     @F.pandas_udf("map<string,string>")
     def parse(raw: pd.Series) -> pd.Series:
@@ -53,7 +56,7 @@ def parse_param_json(df: DataFrame, col: str = "response") -> DataFrame:
         for text in raw.fillna(""):
             try:
                 found = json.loads(outermost_object(text))
-            except ValueError:
+            except (ValueError, RecursionError):
                 found = {}
             out.append({k: str(v) for k, v in found.items()})
         return pd.Series(out)

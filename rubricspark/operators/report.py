@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..params import PARAMS
+from .order import rank_by_ranges
 
 DASH = "—"
 
@@ -15,9 +16,9 @@ def brands_per_file(df: DataFrame) -> DataFrame:
 
 
 def rank_in_file(df: DataFrame, order_col: str = "pos") -> DataFrame:
-    """Adds rank: by score within a file, the best first; ties by detection place, then brand."""
+    """Adds rank: by score within a file, the best first; ties by detection place, then brand. One file may hold all rows."""
     score = F.col("access_score").cast("int").desc_nulls_last()
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy("filename").orderBy(score, order_col, "brand")))
+    return rank_by_ranges(df, ["filename"], [score, F.col(order_col), F.col("brand")], "rank")
 
 
 def report_totals(df: DataFrame) -> DataFrame:

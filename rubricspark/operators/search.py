@@ -51,8 +51,15 @@ def tokenize(chunks: DataFrame, text_col: str = "text") -> DataFrame:
     return chunks.withColumn("term", F.explode(tokens(F.col(text_col))))
 
 
-def bm25_index(chunks: DataFrame, scope_cols: list[str] | None = None) -> DataFrame:
-    """Postings: scope, key, term, tf, dl, df, n, avgdl, idf, with negative idf replaced by epsilon times the mean."""
+def query_terms(queries: DataFrame) -> DataFrame:
+    return tokenize(queries.select("query"), "query").select("term").distinct()
+
+
+def bm25_index(chunks: DataFrame, scope_cols: list[str] | None = None, only: DataFrame | None = None) -> DataFrame:
+    """Postings: scope, key, term, tf, dl, df, n, avgdl, idf, with negative idf replaced by epsilon times the mean.
+
+    ``only`` (term) leaves out all other terms' postings before they meet statistics and sizes; statistics are over all.
+    """
     scope = ["doc_id"] if scope_cols is None else scope_cols
     keys = list(dict.fromkeys([*scope, *KEY]))
     posts = tokenize(chunks.select(*keys, "text")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
@@ -65,6 +72,9 @@ def bm25_index(chunks: DataFrame, scope_cols: list[str] | None = None) -> DataFr
     terms = terms.join(mean, scope) if scope else terms.crossJoin(F.broadcast(mean))  # one row
     idf = F.when(F.col("raw") < 0, BM25_EPSILON * F.col("mean_idf")).otherwise(F.col("raw"))
     terms = terms.select(*scope, "term", "df", "n", "avgdl", idf.alias("idf"))
+    if only is not None:
+        only = _small(only)
+        posts, terms = posts.join(only, "term", "left_semi"), terms.join(only, "term", "left_semi")
     return posts.join(terms, [*scope, "term"]).join(sizes, keys)
 
 
@@ -101,23 +111,27 @@ def sparse_search(chunks: DataFrame, index: DataFrame, queries: DataFrame, n: in
     words = tokenize(queries.select("query_id", "query"), "query").groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     tf = F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
     hits = index.join(_small(words), "term").groupBy("query_id", *keys).agg(F.round(F.sum(F.col("qtf") * F.col("idf") * tf), 9).alias("score"))
-    hits = hits.join(chunks.select(*KEY, "chunk_seq"), KEY)
-    counts = hits.groupBy("query_id", *scope).agg(F.count_if(F.col("score") > 0).alias("good"), F.count_if(F.col("score") <= 0).alias("poor"))
+    places = chunks.select(*keys, "chunk_seq")
+    hits = hits.join(places, keys)
+    group = scope or ["_all"]
+    if not scope:  # one scope of all
+        hits, places = hits.withColumn("_all", F.lit(0)), places.withColumn("_all", F.lit(0))
+    counts = hits.groupBy("query_id", *group).agg(F.count_if(F.col("score") > 0).alias("good"), F.count_if(F.col("score") <= 0).alias("poor"))
     order = [F.desc("chunk_seq"), F.desc("doc_id")]
-    if scope:
-        last = chunks.select(*keys, "chunk_seq").withColumn("from_end", F.row_number().over(Window.partitionBy(*scope).orderBy(*order)))
-        asks = last.filter("from_end = 1").select(*scope).crossJoin(_small(queries.select("query_id")))  # each scope is asked each query
-    else:
-        most = counts.agg(F.max("poor")).first()[0] or 0
-        last = chunks.select(*keys, "chunk_seq").orderBy(*order).limit(n + most)
-        last = last.withColumn("from_end", F.row_number().over(Window.orderBy(*order)))  # the last few only
-        asks = queries.select("query_id")
-    need = asks.join(counts, ["query_id", *scope], "left").fillna(0, ["good", "poor"]).filter(F.col("good") < n)
-    need = need.select("query_id", *scope, (F.col("poor") + n).alias("look"))
-    fill = last.join(need, scope) if scope else last.crossJoin(_small(need))
-    fill = fill.filter(F.col("from_end") <= F.col("look")).select("query_id", *keys, "chunk_seq", F.lit(0.0).alias("score"))
-    both = hits.unionByName(fill.join(hits.select("query_id", *KEY), ["query_id", *KEY], "left_anti"))
-    return _ranked(both.select("query_id", *keys, "chunk_seq", "score"), scope, [F.desc("score"), *order], n)
+    # the last n of each scope; a scope in which some query has hits without a score gets as many more. Both are cut before
+    # they meet queries, so no chunk is tried with a query that it does not fill
+    from_end = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    last = places.withColumn("from_end", from_end).filter(F.col("from_end") <= n)
+    deep = counts.filter("poor > 0").groupBy(*group).agg((F.max("poor") + n).alias("reach"))
+    more = places.join(deep, group).withColumn("from_end", from_end).filter((F.col("from_end") > n) & (F.col("from_end") <= F.col("reach"))).drop("reach")
+    asks = last.filter("from_end = 1").select(*group).crossJoin(_small(queries.select("query_id")))  # each scope is asked each query
+    need = asks.join(counts, ["query_id", *group], "left").fillna(0, ["good", "poor"]).filter(F.col("good") < n)
+    fill = last.unionByName(more).groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("from_end", "chunk_seq", *[k for k in keys if k not in group]))).alias("ends"))
+    fill = need.join(fill, group).select("query_id", *group, F.explode(F.slice("ends", 1, (F.col("poor") + n).cast("int"))).alias("e"))
+    fill = fill.select("query_id", *group, *[F.col(f"e.{k}").alias(k) for k in ["chunk_seq", *[k for k in keys if k not in group]]], F.lit(0.0).alias("score"))
+    fill = fill.select("query_id", *keys, "chunk_seq", "score")
+    both = hits.select("query_id", *keys, "chunk_seq", "score").unionByName(fill.join(hits.select("query_id", *keys), ["query_id", *keys], "left_anti"))
+    return _ranked(both, scope, [F.desc("score"), *order], n)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -219,7 +233,7 @@ def project_hits(df: DataFrame) -> DataFrame:
 
 def hybrid_search(chunks: DataFrame, queries: DataFrame, top_k: int = 10, candidates: int = CANDIDATES, scorer: PairScorer = overlap_scorer, scope_cols: list[str] | None = None) -> DataFrame:
     """query_id, doc_id, chunk_id, text, rrf_score, rerank_score, rank for all queries and scopes at once."""
-    index = bm25_index(chunks, scope_cols)
+    index = bm25_index(chunks, scope_cols, query_terms(queries))
     sparse = sparse_search(chunks, index, queries, candidates, scope_cols)
     dense = dense_top(chunks, queries, candidates, scope_cols)
     fused = rrf_fuse(sparse, dense, n=candidates, scope_cols=scope_cols)

@@ -23,19 +23,38 @@ def estimate_tokens(prompts: DataFrame) -> DataFrame:
     return out
 
 
+#: Microseconds of a cell of time; stretches of the trailing seconds are cut into cells.
+CELL = 10_000
+
+
 def rolling_usage(log: DataFrame, seconds: int = 60, size: str = "70b") -> DataFrame:
-    """Requests and tokens of each model over the trailing seconds, both ends included, and whether limits are met."""
+    """Requests and tokens of each model over the trailing seconds, both ends included, and whether limits are met.
+
+    Rows are added up by moment, moments by cell, cells by stretch (as long as the window). What lies in a window is then
+    what its own stretch holds up to the row, and what the stretch before holds from the window's start on: sums within
+    a cell, and of whole cells within a stretch. So no group is larger than a cell's moments or a stretch's cells, even if all
+    of a model's rows fall into one minute or one moment. A null time is a moment of its own.
+    """
     span = seconds * 1_000_000
-    # a row's trailing seconds lie in its own stretch of time and the one before: every row goes to its own and to the next,
-    # so that a window is as large as two stretches of one model and not as a model's whole log
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = log.withColumn("_at", at).withColumn("_turn", F.explode(F.array(F.lit(0), F.lit(1))))
-    rows = rows.withColumn("_stretch", F.floor(F.col("_at") / span) + F.col("_turn"))
-    w = Window.partitionBy("model", "_stretch").orderBy("_at").rangeBetween(-span, 0)
-    out = rows.withColumn("requests", F.count("*").over(w)).withColumn("used", F.sum("tokens").over(w))
-    out = out.filter("_turn = 0").drop("_at", "_turn", "_stretch")
+    rows = log.withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")))
+    moments = rows.groupBy("model", "_at").agg(F.count("*").alias("_n"), F.sum("tokens").alias("_t"))
+    ends = moments.select("model", "_at", F.col("_at").alias("_p"), F.lit(1).alias("_own"), "_n", "_t")
+    starts = moments.filter("_at IS NOT NULL").select("model", "_at", (F.col("_at") - span).alias("_p"), F.lit(0).alias("_own"), F.lit(0).cast("long").alias("_n"), F.lit(0).cast("long").alias("_t"))
+    points = ends.unionByName(starts).withColumn("_cell", F.floor(F.col("_p") / CELL))
+    # a start comes before the rows of its moment, which lie inside the window
+    upto = Window.partitionBy("model", "_cell").orderBy("_p", "_own").rowsBetween(Window.unboundedPreceding, 0)
+    cells = points.groupBy("model", "_cell").agg(F.sum("_n").alias("_cn"), F.sum("_t").alias("_ct")).withColumn("_stretch", F.floor(F.col("_cell") * CELL / span))
+    whole = Window.partitionBy("model", "_stretch")
+    before = whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    cells = cells.select("model", "_cell", *[x for c in ("_cn", "_ct") for x in (zero(F.sum(c).over(before)).alias(f"{c}_before"), F.sum(c).over(whole).alias(f"{c}_whole"))])
+    points = points.withColumns({"_in": F.sum("_n").over(upto), "_it": F.sum("_t").over(upto)})
+    placed = points.alias("p").join(cells.alias("c"), F.col("p.model").eqNullSafe(F.col("c.model")) & F.col("p._cell").eqNullSafe(F.col("c._cell")))
+    part = lambda c, i: F.when(F.col("_own") == 1, F.col(f"{c}_before") + F.col(i)).otherwise(F.col(f"{c}_whole") - F.col(f"{c}_before") - F.col(i))
+    used = placed.groupBy(F.col("p.model").alias("model"), F.col("p._at").alias("_at")).agg(F.sum(part("_cn", "_in")).alias("requests"), F.sum(part("_ct", "_it")).alias("used"))
+    out = rows.alias("l").join(used.alias("r"), F.col("l.model").eqNullSafe(F.col("r.model")) & F.col("l._at").eqNullSafe(F.col("r._at")))
     rpm, tpm = LIMITS[size]
-    return out.withColumn("over_limit", (F.col("requests") > rpm - 1) | (F.col("used") > int(0.95 * tpm)))
+    return out.select("l.*", "r.requests", "r.used").drop("_at").withColumn("over_limit", (F.col("requests") > rpm - 1) | (F.col("used") > int(0.95 * tpm)))
 
 
 def prompt_reuse(prompts: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -22,9 +20,10 @@ from ..operators import search as R
 from ..operators import usage as L
 from ..params import COMMON_QUERIES, KINDS, PARAMS, WEIGHTS
 from ..sources import io
+from ..sources.shared import shared_folder, stored
 from ..streaming import stream as T
 from . import fixtures as X
-from .jobs import rank_policies
+from .jobs import rank_policies, score_policies
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,6 +47,23 @@ def bars(c: str | Column) -> Column:
 # --- sources and sinks -------------------------------------------------------------------------------
 
 
+@query(f"WITH {X.BUNDLES_SQL} SELECT 'policy_' || bundle || '.pdf' AS filename, strlen(markdown) AS length FROM bundles WHERE bundle % 3 <> 2")
+def s1_read_manifest(spark, sf_dir):
+    """Documents as files, a hundred in each, of which a third are no PDF files; the manifest of what was written."""
+    folder = shared_folder(spark)
+    kind = F.when(F.col("bundle") % 3 == 0, "pdf").when(F.col("bundle") % 3 == 1, "PDF").otherwise("pdf.txt")
+    io.write_texts(X.bundles(spark, sf_dir, kind), folder)
+    return io.read_manifest(spark, folder).select("filename", "length")
+
+
+@query(f"WITH {X.BUNDLES_SQL} SELECT 'policy_' || bundle AS stem, 'policy_' || bundle || '.pdf' AS filename, length(markdown) AS chars, strlen(markdown) AS size, md5(markdown) AS digest FROM bundles WHERE bundle % 4 <> 3")
+def s2_read_markdown(spark, sf_dir):
+    """Documents as files, a hundred in each, and the Markdown ones read back whole."""
+    folder = shared_folder(spark)
+    io.write_texts(X.bundles(spark, sf_dir, F.when(F.col("bundle") % 4 == 3, "html").otherwise("md")), folder)
+    return io.read_markdown(spark, folder).select("stem", "filename", F.length("markdown").cast("long").alias("chars"), "size", F.md5("markdown").alias("digest"))
+
+
 @query("SELECT doc_id, 'policy_' || doc_id AS stem, 'policy_' || doc_id || '.pdf' AS filename FROM documents")
 def s3_doc_names(spark, sf_dir):
     t = X.table(spark, sf_dir, "documents").select("doc_id", F.format_string("file:/in/policy_%d.md", "doc_id").alias("path"))
@@ -66,6 +82,28 @@ def s5_pending_documents(spark, sf_dir):
     return C.pending_documents(d, d.filter("doc_id % 3 = 0")).select("doc_id", "filename", F.length("markdown").alias("chars"))
 
 
+@query("SELECT doc_id, 'policy_' || doc_id || '.pdf' AS filename, length(text) AS chars, CASE WHEN doc_id % 3 = 0 THEN 'first' ELSE 'second' END AS batch FROM documents")
+def s5_document_store(spark, sf_dir):
+    """A store that gets a third of the documents, then all, then all again: each is there once, under the run that brought it."""
+    path, d = shared_folder(spark), X.docs(spark, sf_dir)
+    io.append_documents(d.filter("doc_id % 3 = 0"), path, "first")
+    io.append_documents(d, path, "second")
+    io.append_documents(d, path, "second")
+    return io.read_store(spark, path).select("doc_id", "filename", F.length("markdown").alias("chars"), "batch")
+
+
+@query(f"WITH {X.LINES_SQL} SELECT doc_id, chunk_id, text, filename AS pdf, CASE WHEN chunk_seq % 3 = 1 THEN 'first' ELSE 'second' END AS batch FROM chunks")
+def s6_chunk_store(spark, sf_dir):
+    """Chunks appended in two runs that overlap, the second one twice."""
+    path = shared_folder(spark)
+    t = K.assign_chunk_ids(X.line_chunks(spark, sf_dir), "line_no").withColumn("columns", F.array().cast("array<string>"))
+    t = t.withColumn("metadata", F.struct(F.lit(False).alias("table"), F.col("filename").alias("pdf"), F.lit("Introduction").alias("header")))
+    io.append_chunks(t.filter("chunk_seq % 3 = 1"), path, "first")
+    io.append_chunks(t, path, "second")
+    io.append_chunks(t, path, "second")
+    return io.read_store(spark, path).select("doc_id", "chunk_id", "text", "pdf", "batch")
+
+
 @query(f"""WITH {X.LINES_SQL} SELECT doc_id, chunk_id, text, CASE WHEN chunk_seq % 2 = 0 THEN 'a|b' ELSE '' END AS columns,
 CASE WHEN chunk_seq % 2 = 0 THEN 'True' ELSE 'False' END AS "table", filename AS pdf, 'Introduction' AS header FROM chunks""")
 def s6_flat_chunks(spark, sf_dir):
@@ -104,7 +142,7 @@ def s7_report_columns(spark, sf_dir):
 
 @query(f"{_SCORED} SELECT filename, brand, {_NAMES}, access_score::VARCHAR AS access_score FROM scored")
 def s8_json_round_trip(spark, sf_dir):
-    path = f"{_folder(spark)}/scores"
+    path = f"{shared_folder(spark)}/scores"
     io.write_scores_json(scored(spark, sf_dir), path)
     return spark.read.schema(", ".join(f"`{c}` string" for c in io.CSV_COLUMNS)).json(path)
 
@@ -315,6 +353,20 @@ def k8_chunk_documents(spark, sf_dir):
     return flat
 
 
+@query(rf"""WITH RECURSIVE {_ORDERS}, {_packed(700)}, parts AS (
+  SELECT doc_id, 0 AS seg, 0 AS chunk, false AS is_table, 'Orders' AS header, trim(text, chr(10) || ' ') AS text FROM segments WHERE seq = 0
+  UNION ALL SELECT doc_id, 1, chunk, true, 'Orders', text FROM tables
+  UNION ALL SELECT doc_id, 2, 0, false, CASE WHEN doc_id % 3 = 0 THEN 'Orders' ELSE 'Notes' END, trim(text, chr(10) || ' ') FROM segments WHERE seq = 2 AND trim(text, chr(10) || ' ') <> ''),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seg, chunk) - 1 AS seq FROM parts)
+SELECT doc_id, seq::INT AS chunk_seq, printf('customer_%d_%04d', doc_id, seq) AS chunk_id, text, CASE WHEN is_table THEN 'Key|Priority|Price' ELSE '' END AS columns, is_table, 'customer_' || doc_id || '.pdf' AS pdf, header FROM numbered""")
+def k8_chunk_function(spark, sf_dir):
+    """The chunker as a table function of SQL, over customers' order lists."""
+    K.register_chunker(spark)
+    X.order_markdown(spark, sf_dir).createOrReplaceTempView("customer_texts")
+    cut = spark.sql("SELECT c.* FROM customer_texts AS t, LATERAL chunk_policy(t.doc_id, t.filename, t.markdown) AS c")
+    return cut.select("doc_id", "chunk_seq", "chunk_id", "text", bars("columns").alias("columns"), F.col("metadata.table").alias("is_table"), F.col("metadata.pdf").alias("pdf"), F.col("metadata.header").alias("header"))
+
+
 @query(f"WITH {X.LINES_SQL} SELECT doc_id, count(*) AS chunks, max(length(text)) AS longest FROM chunks GROUP BY doc_id")
 def k9_chunk_stats(spark, sf_dir):
     return K.chunk_stats(X.line_chunks(spark, sf_dir))
@@ -454,6 +506,17 @@ def b4_complete_prompts(spark, sf_dir):
     return B.complete_prompts(t, answers).select("conv_id", "turn", "model", "response")
 
 
+@query(f"WITH {X.PROMPTS_SQL} SELECT conv_id, turn, model, 'answer to ' || length(content) AS response, 1::BIGINT AS times_stored FROM prompts")
+def b4_call_client(spark, sf_dir):
+    """Prompts asked twice of a client behind an answer store: the second time nothing is left to ask."""
+    t, store = X.prompts(spark, sf_dir), shared_folder(spark)
+    for _ in range(2):
+        answers = B.call_client(t, lambda contents: [f"  answer to {len(c)}\n" for c in contents], store)
+    times = B.read_answers(spark, store).groupBy("prompt_key").agg(F.count("*").alias("times_stored"))
+    out = B.complete_prompts(t, answers).join(times, "prompt_key", "left")
+    return out.select("conv_id", "turn", "model", "response", "times_stored")
+
+
 def _answers(spark, sf_dir):
     return B.parse_brand_json(X.brand_responses(spark, sf_dir))
 
@@ -530,10 +593,10 @@ def p1_brand_context(spark, sf_dir):
     return _contexts(spark, sf_dir)
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE source END AS context FROM documents WHERE doc_id % 5 <> 0")
+@query("SELECT doc_id, text AS context FROM documents WHERE doc_id % 5 <> 0 AND trim(text, ' ' || chr(10) || chr(9)) <> ''")
 def p2_drop_empty_context(spark, sf_dir):
     i = F.col("doc_id")
-    text = F.when(i % 10 == 0, "").when(i % 5 == 0, " \n\t ").when(i % 3 == 0, F.col("text")).otherwise(F.col("source"))
+    text = F.when(i % 10 == 0, "").when(i % 5 == 0, " \n\t ").otherwise(F.col("text"))
     return P.drop_empty_context(X.table(spark, sf_dir, "documents").select("doc_id", text.alias("context")))
 
 
@@ -654,19 +717,13 @@ def l3_prompt_reuse(spark, sf_dir):
 # --- streams -----------------------------------------------------------------------------------------
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or a temporary one where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/jobs/{uuid.uuid4().hex}"
-
-
 _BAD = "filename IN (SELECT filename FROM scored WHERE pos % 97 = 5)"
 
 
 @query(f"{_SCORED} SELECT filename, brand, pos, access_score, NULL AS error FROM scored WHERE NOT {_BAD} UNION ALL SELECT DISTINCT filename, NULL, NULL, NULL, 'unreadable' FROM scored WHERE {_BAD}")
 def t1_stream_scores(spark, sf_dir):
     """Parameter rows in four dropped files, scored as a stream: the rows and errors that it wrote."""
-    base = _folder(spark)
+    base = shared_folder(spark)
     rows = X.param_rows(spark, sf_dir)
     # a file's rows arrive together: files are dealt whole
     rows.repartition(4, "filename").write.parquet(f"{base}/in")
@@ -686,6 +743,28 @@ def t2_windowed_usage(spark, sf_dir):
     return T.windowed_usage(X.usage(spark, sf_dir)).withColumn("start", F.unix_seconds("start"))
 
 
+@query(f"""WITH {X.USAGE_SQL}, last AS (SELECT max(ts) AS ts FROM usage),
+kept AS (SELECT u.* FROM usage u, last WHERE NOT (event_id % 10 = 3 AND u.ts < last.ts - INTERVAL 1 DAY)),
+spread AS (SELECT model, tokens, (epoch_us(ts) // 10000000 - k) * 10 AS start FROM kept CROSS JOIN (SELECT unnest(range(0, 6)) AS k))
+SELECT start::BIGINT AS start, model, count(*) AS requests, sum(tokens)::BIGINT AS used FROM spread, last WHERE (start + 180) * 1000 <= epoch_ms(last.ts) GROUP BY ALL""")
+def t2_stream_usage(spark, sf_dir):
+    """A log in two drops. The second brings the last ten minutes, and a tenth of the rows more than a day late: these are left out.
+
+    The stream ends after each drop and goes on from its checkpoint, with the windows that were open.
+    """
+    base, log = shared_folder(spark), X.usage(spark, sf_dir)
+    last = log.agg(F.max("ts")).first()[0]
+    if last is None:
+        return T.windowed_usage(log).withColumn("start", F.unix_seconds("start"))
+    at = F.lit(last)
+    late = (F.col("event_id") % 10 == 3) & (F.col("ts") < at - F.expr("INTERVAL 1 DAY"))
+    fresh = F.col("ts") >= at - F.expr("INTERVAL 10 MINUTES")
+    for drop in (log.filter(~late & ~fresh), log.filter(late | fresh)):
+        drop.write.mode("append").parquet(f"{base}/in")
+        T.stream_usage(spark, f"{base}/in", log.schema, f"{base}/out", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/out").withColumn("start", F.unix_seconds("start"))
+
+
 @query(f"""{_SCORED}, ranked AS (SELECT filename, brand, pos, access_score, CASE WHEN access_score >= 70 THEN 'Good Access' WHEN access_score >= 40 THEN 'Moderate Access' ELSE 'Limited Access' END AS band,
 row_number() OVER (PARTITION BY filename ORDER BY access_score DESC, pos, brand) AS rank, count(*) OVER (PARTITION BY filename) AS brands FROM scored) SELECT * FROM ranked""")
 def workload_report(spark, sf_dir):
@@ -694,15 +773,8 @@ def workload_report(spark, sf_dir):
 
 @query()
 def workload_policies(spark, sf_dir):
-    """Documents to scored brand rows with the default hooks and a stand-in answer for every document."""
-    from .jobs import score_policies
-
-    docs = X.docs(spark, sf_dir)
-    asked = X.policy_answers(spark, sf_dir)
-    values = X.param_rows(spark, sf_dir)
-    cells = [F.concat(F.lit(f', "{p}": "'), F.col(f"`{p}`"), F.lit('"')) for p in PARAMS]
-    answers = values.groupBy("brand").agg(F.min_by(F.concat(F.lit('{"brand": "'), F.col("brand"), F.lit('"'), *cells, F.lit("}")), "pos").alias("answer_text"))
-    return score_policies(docs, asked, answers)
+    """Documents to scored brand rows with the default hooks and a stand-in model that answers by the prompt's text."""
+    return score_policies(X.docs(spark, sf_dir), ask=lambda prompts: stored(X.answers_from_prompts(prompts)))
 
 
 @query()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..params import KINDS, PARAMS
@@ -145,12 +145,19 @@ def order_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(F.col("o_custkey").alias("doc_id"), F.format_string("customer_%d.pdf", "o_custkey").alias("filename"), F.concat(head, "rows", tail).alias("markdown"))
 
 
+#: Documents of one scope of the search tables: scopes grow in number with the table, not in size.
+SCOPE = 250
+
+
 def vector_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a chunk of its scope; the vectors are dealt out in turn, since there are fewer of them."""
     d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
-    t = d.join(e, F.col("doc_id") == F.col("vec_id"))
+    d = d.crossJoin(F.broadcast(e.agg(F.count("*").alias("m"))))  # one row
+    t = d.join(e, F.col("doc_id") % F.col("m") == F.col("vec_id"))
+    scope = F.floor(F.col("doc_id") / SCOPE)
     return t.select(
-        (F.col("doc_id") % 10).alias("doc_id"), F.col("doc_id").alias("chunk_seq"),
-        F.format_string("policy_%d_%04d", F.col("doc_id") % 10, F.col("doc_id")).alias("chunk_id"), "text", F.col("embedding").cast("array<double>").alias("embedding"),
+        scope.alias("doc_id"), F.col("doc_id").alias("chunk_seq"),
+        F.format_string("policy_%d_%04d", scope, F.col("doc_id")).alias("chunk_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("embedding").cast("array<double>").alias("embedding"),
     )
 
 
@@ -170,9 +177,9 @@ def all_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-SEARCH_SQL = r"""tv AS (
-  SELECT d.doc_id % 10 AS doc_id, d.doc_id AS chunk_seq, printf('policy_%d_%04d', d.doc_id % 10, d.doc_id) AS chunk_id,
-         d.text, e.embedding::DOUBLE[] AS embedding FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id
+SEARCH_SQL = rf"""tv AS (
+  SELECT d.doc_id // {SCOPE} AS doc_id, d.doc_id AS chunk_seq, printf('policy_%d_%04d', d.doc_id // {SCOPE}, d.doc_id) AS chunk_id,
+         coalesce(d.text, '') AS text, e.embedding::DOUBLE[] AS embedding FROM documents d JOIN embeddings e ON d.doc_id % (SELECT count(*) FROM embeddings) = e.vec_id
 ), q AS (
   SELECT b.item_id AS query_id, b.text AS query, e.embedding::DOUBLE[] AS embedding FROM benchmark b JOIN embeddings e ON b.item_id = e.vec_id
 ), words AS (SELECT doc_id, chunk_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM tv),
@@ -208,23 +215,55 @@ reranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY
 
 
 def brand_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, response: an answer with prose around it for each document; documents divisible by 4 are gated out."""
+    """doc_id, response: an answer with prose around it for each scope of documents; those divisible by 4 are gated out."""
     key = F.col("p_partkey")
     status = F.when(key % 3 == 0, ', "preferred_status": "Preferred"').when(key % 3 == 1, ', "preferred_status": "Non-preferred"').otherwise("")
     one = F.concat(F.lit('{"brand": "'), F.col("p_brand"), F.lit(" ("), F.col("p_type"), F.lit(')"'), status, F.lit("}"))
-    rows = table(spark, sf_dir, "part").groupBy((key % 50).alias("doc_id")).agg(
+    scopes = table(spark, sf_dir, "documents").agg((F.floor(F.max("doc_id") / SCOPE) + 1).alias("scopes"))
+    rows = table(spark, sf_dir, "part").crossJoin(F.broadcast(scopes)).groupBy((key % F.col("scopes")).alias("doc_id")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), one.alias("t")))), lambda x: x["t"]), ", ").alias("list")
     )
     gate = F.when(F.col("doc_id") % 4 == 0, "No").otherwise("Yes")
     return rows.select("doc_id", F.concat(F.lit('Here it is: {"policy_has_pso": "'), gate, F.lit('", "brands_relevant_to_pso": ['), "list", F.lit("]} Done.")).alias("response"))
 
 
-BRANDS_SQL = """mentions AS (
-  SELECT p_partkey % 50 AS doc_id, (row_number() OVER (PARTITION BY p_partkey % 50 ORDER BY p_partkey) - 1)::INT AS pos, upper(p_brand) AS brand,
-         CASE p_partkey % 3 WHEN 0 THEN 'Preferred' WHEN 1 THEN 'Non-preferred' ELSE 'Unspecified' END AS preferred_status FROM part
+BRANDS_SQL = f"""keyed AS (SELECT *, p_partkey % (SELECT max(doc_id) // {SCOPE} + 1 FROM documents) AS doc_id FROM part),
+mentions AS (
+  SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY p_partkey) - 1)::INT AS pos, upper(p_brand) AS brand,
+         CASE p_partkey % 3 WHEN 0 THEN 'Preferred' WHEN 1 THEN 'Non-preferred' ELSE 'Unspecified' END AS preferred_status FROM keyed
 ), brands AS (SELECT * FROM mentions WHERE doc_id % 4 <> 0)"""
 
 
+def bundles(spark: SparkSession, sf_dir: str, kind: Column) -> DataFrame:
+    """filename, markdown: a file for every hundred documents, their texts in a row; ``kind`` gives the ending for each ``bundle``."""
+    t = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 100).alias("bundle"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"])
+    return t.groupBy("bundle").agg(F.array_join(texts, "\n").alias("markdown")).select(F.concat(F.lit("policy_"), "bundle", F.lit("."), kind).alias("filename"), "markdown")
+
+
+BUNDLES_SQL = "bundles AS (SELECT doc_id // 100 AS bundle, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id, coalesce(text, '')) AS markdown FROM documents GROUP BY ALL)"
+
+
+def answers_from_prompts(prompts: DataFrame) -> DataFrame:
+    """prompt_key, response: what a stand-in model says, by the prompt's text and nothing else.
+
+    A brand prompt gets one to three brands (every fifth is no policy of the kind), a parameter prompt a value for each parameter.
+    """
+    h = F.crc32(F.col("content").cast("binary"))
+    digit = lambda k: (F.pmod(F.floor(h / k), F.lit(5)) + 1).cast("int")
+    brand = lambda k: F.format_string('{"brand": "Brand#%d%d (%d)"}', digit(k), digit(5 * k), digit(7 * k))
+    named = F.concat_ws(", ", F.slice(F.array(brand(1), brand(11), brand(131)), F.lit(1), (h % 3 + 1).cast("int")))
+    gate = F.when(h % 5 == 0, "No").otherwise("Yes")
+    brands = F.concat(F.lit('Found {"policy_has_pso": "'), gate, F.lit('", "brands_relevant_to_pso": ['), named, F.lit("]}"))
+    cells = []
+    for p, k in zip(PARAMS, STEPS, strict=True):
+        values = VALUES[KINDS[p]]
+        cells.append(F.concat(F.lit(f', "{p}": "'), F.get(F.array(*map(F.lit, values)), (F.floor(h / k) % len(values)).cast("int")), F.lit('"')))
+    own = F.regexp_extract("content", r"(Brand#\d+|BRAND#\d+)", 1)
+    values = F.concat(F.lit('{"brand": "'), own, F.lit('"'), *cells, F.lit("}"))
+    return prompts.select("prompt_key", F.when(F.col("model") == "brands", brands).otherwise(values).alias("response"))
+
+
 def policy_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, answer_text: an answer for every document, with one to five mentions by arithmetic; documents divisible by 4 are gated out."""
     part = table(spark, sf_dir, "part")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hooks import Encoder, PairScorer, hashing_encoder, overlap_scorer
+from ..functions.ranking import hybrid_ranks
 from ..functions.scoring import access_band
 from ..operators.brands import (
     BRAND_PROMPT,
@@ -26,43 +28,53 @@ from ..operators.brands import (
 )
 from ..operators.chunk import chunk_documents
 from ..operators.extract import brand_context, drop_empty_context, parameter_prompt, parse_param_json
-from ..operators.report import rank_in_file
+from ..operators.report import brands_per_file, rank_in_file
 from ..operators.score import access_score, flatten_params
-from ..operators.search import bm25_index, cosine, embed_chunks, fetch_chunks, rerank, tokenize
-from ..params import BM25_B, BM25_K1, BRAND_QUERIES, BRAND_QUERY, CANDIDATES, COMMON_QUERIES, RRF_K
+from ..operators.search import embed_chunks
+from ..params import BRAND_QUERIES, BRAND_QUERY, COMMON_QUERIES
+from ..sources.shared import stored
 
 
 def rank_policies(params: DataFrame) -> DataFrame:
-    """Parameter rows to the report: score, band, rank in the file, brands of the file; one shuffle by filename."""
-    out = rank_in_file(access_score(params))
-    out = out.withColumn("band", access_band(F.col("access_score"))).withColumn("brands", F.count("*").over(Window.partitionBy("filename")))
+    """Parameter rows to the report: score, band, rank in the file, brands of the file. One file may hold all rows."""
+    out = rank_in_file(access_score(params)).withColumn("band", access_band(F.col("access_score")))
+    counts = brands_per_file(out.select("filename"))
+    out = out.alias("l").join(counts.alias("r"), F.col("l.filename").eqNullSafe(F.col("r.filename"))).select("l.*", "r.brands")
     return out.select("filename", "brand", "pos", "access_score", "band", "rank", "brands")
 
 
-def _hybrid_hits(chunks: DataFrame, index: DataFrame, asks: DataFrame, top: int, scorer: PairScorer) -> DataFrame:
-    """asks: doc_id, query_id, query, embedding, and more columns. The top chunks of the same document by hybrid search.
+def search_documents(chunks: DataFrame, asks: DataFrame, scorer: PairScorer = overlap_scorer) -> DataFrame:
+    """Each document's questions in its own chunks by hybrid search: doc_id, query_id, chunk_id, text, rank, and further columns of ``asks``.
 
-    Queries belong to documents here, so they meet by equi-joins on doc_id and (doc_id, term). Ranks and ties are those of
-    operators.search: chunks without a query term rank last, the later first; texts are joined to the candidates only.
+    asks: doc_id, query_id, query, embedding, top (ranks asked for), more. A document's chunks and its questions meet
+    once, by doc_id, as Arrow tables: one matrix product for all its questions, nothing sorted by Spark. A group is one document.
+    Ranks and ties are those of operators.search.hybrid_search.
     """
-    extra = [c for c in asks.columns if c not in ("query", "doc_id", "query_id", "embedding")]
-    keys = ["doc_id", "query_id", *extra]
-    words = tokenize(asks.select(*keys, "query"), "query").groupBy(*keys, "term").agg(F.count("*").alias("qtf"))
-    tf = F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
-    hits = index.join(words, ["doc_id", "term"]).groupBy(*keys, "chunk_id").agg(F.sum(F.col("qtf") * F.col("idf") * tf).alias("lexical"))
-    every = asks.select(*keys, "query", F.col("embedding").alias("asked")).join(chunks.select("doc_id", "chunk_id", "chunk_seq", "embedding"), "doc_id")
-    every = every.withColumn("near", F.round(cosine(F.col("embedding"), F.col("asked")), 9)).drop("embedding", "asked")
-    scored = every.join(hits, [*keys, "chunk_id"], "left").withColumn("lexical", F.round(F.coalesce("lexical", F.lit(0.0)), 9))
-    by = Window.partitionBy(*keys)
-    place = lambda *order: F.row_number().over(by.orderBy(*order))
-    scored = scored.withColumns({"s": place(F.desc("lexical"), F.desc("chunk_seq")), "d": place(F.desc("near"), F.asc("chunk_seq"))})
-    inside = lambda c: F.when(F.col(c) <= CANDIDATES, F.col(c))
-    both = scored.withColumns({"s": inside("s"), "d": inside("d")}).filter("s IS NOT NULL OR d IS NOT NULL")
-    term = lambda c: F.coalesce(1 / (F.lit(RRF_K) + F.col(c)), F.lit(0.0))
-    fused = both.withColumn("rrf_score", F.round(term("s") + term("d"), 9))
-    fused = fused.withColumn("rank", place(F.desc("rrf_score"), F.asc_nulls_last("s"), F.asc_nulls_last("d"))).filter(F.col("rank") <= CANDIDATES)
-    found = fetch_chunks(fused.select(*keys, "query", "chunk_id", "rank"), chunks.select("doc_id", "chunk_id", "text"))
-    return rerank(found, top, scorer, ["doc_id", *extra]).select(*keys, "chunk_id", "text", "rank")
+    extra = [c for c in asks.columns if c not in ("query", "embedding", "top")]
+    kinds = {f.name: f.dataType.simpleString() for f in asks.schema.fields}
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in extra), "chunk_id string, text string, rank int"])
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
+        return flat.reshape(len(column), -1)
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        asked = right.select([*extra])
+        if left.num_rows and right.num_rows:
+            texts = [t or "" for t in left.column("text").to_pylist()]
+            queries, tops = ([x or d for x in right.column(c).to_pylist()] for c, d in (("query", ""), ("top", 0)))
+            found = hybrid_ranks(texts, left.column("chunk_seq").to_numpy(), matrix(left.column("embedding")), queries, matrix(right.column("embedding")), tops, scorer)
+        else:
+            found = [[] for _ in range(right.num_rows)]
+        ask = pa.array([k for k, f in enumerate(found) for _ in f], pa.int64())
+        row = pa.array([c for f in found for c in f], pa.int64())
+        out = asked.take(ask)
+        for name, column in (("chunk_id", left.column("chunk_id").take(row)), ("text", left.column("text").take(row)), ("rank", pa.array([r for f in found for r in range(1, len(f) + 1)], pa.int32()))):
+            out = out.append_column(name, column)
+        return out
+
+    chunks = chunks.select("doc_id", "chunk_id", F.col("chunk_seq").cast("long").alias("chunk_seq"), "text", "embedding")
+    return chunks.groupBy("doc_id").cogroup(asks.groupBy("doc_id")).applyInArrow(search, schema)
 
 
 def _answered(prompts: DataFrame, ask: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -91,31 +103,32 @@ def score_policies(
     """
     if ask is None and (brand_answers is None or param_answers is None):
         raise ValueError("either ask, or both tables of answers")
-    # four searches read both; a lost block is computed again. The caller may unpersist by spark.catalog.clearCache()
-    chunks = embed_chunks(chunk_documents(docs), encoder).persist(StorageLevel.DISK_ONLY)
-    index = bm25_index(chunks).persist(StorageLevel.DISK_ONLY)
+    # two searches read the chunks: what a document is asked from the start, and what its brands ask
+    chunks = embed_chunks(chunk_documents(docs), encoder).select("doc_id", "chunk_id", "chunk_seq", "text", "embedding")
+    chunks = stored(chunks)
     spark = docs.sparkSession
-
-    def asked(queries: list[str]) -> DataFrame:
-        table = embed_chunks(spark.createDataFrame(list(enumerate(queries)), "query_id long, query string"), encoder, "query")
-        return docs.select("doc_id").crossJoin(F.broadcast(table))  # a fixed number of queries a document
+    fixed = [(q, t, "brands", 3) for q, t in enumerate(BRAND_QUERIES)] + [(q, t, "common", 2) for q, t in enumerate(COMMON_QUERIES)]
 
     def encoded(asks: DataFrame) -> DataFrame:  # equal questions are encoded once
-        return asks.withColumn("query_id", F.lit(0).cast("long")).join(embed_chunks(asks.select("query").distinct(), encoder, "query"), "query")
+        return asks.join(embed_chunks(asks.select("query").distinct(), encoder, "query"), "query")
+
+    table = embed_chunks(spark.createDataFrame(fixed, "query_id long, query string, kind string, top int"), encoder, "query")
+    first = stored(search_documents(chunks, docs.select("doc_id").crossJoin(F.broadcast(table)), scorer))  # a fixed number of queries a document
 
     def prompts_of(rows: DataFrame, model: str, content: Column) -> DataFrame:
         return rows.withColumns({"content": content, "model": F.lit(model), "max_tokens": F.lit(max_tokens)})
 
-    context = assemble_context(collect_context(_hybrid_hits(chunks, index, asked(BRAND_QUERIES), 3, scorer)), docs)
+    context = assemble_context(collect_context(first.filter("kind = 'brands'")), docs)
     if brand_answers is None:
         context = _answered(prompts_of(context, brand_model, render_prompt(BRAND_PROMPT, policy_text=F.col("policy_text"))), ask)
     else:
         context = context.join(brand_answers, "doc_id")
     found = parse_brand_json(context, "answer_text").filter("error IS NULL")
-    brands = dedupe_brands(explode_brands(gate_policies(found)))
-    anchors = _hybrid_hits(chunks, index, encoded(anchor_queries(brands)), 3, scorer)
-    own = brands.select("doc_id", "brand", brand_query(BRAND_QUERY, F.col("brand")).alias("query"))
-    contexts = brand_context(anchors, _hybrid_hits(chunks, index, encoded(own), 4, scorer), _hybrid_hits(chunks, index, asked(COMMON_QUERIES), 2, scorer))
+    brands = stored(dedupe_brands(explode_brands(gate_policies(found))))
+    asks = anchor_queries(brands).withColumns({"kind": F.lit("anchor"), "top": F.lit(3)})
+    asks = asks.unionByName(brands.select("doc_id", "brand", brand_query(BRAND_QUERY, F.col("brand")).alias("query"), F.lit("brand").alias("kind"), F.lit(4).alias("top")))
+    hits = stored(search_documents(chunks, encoded(asks.withColumn("query_id", F.lit(0).cast("long"))), scorer))
+    contexts = brand_context(hits.filter("kind = 'anchor'"), hits.filter("kind = 'brand'"), first.filter("kind = 'common'"))
     prompts = drop_empty_context(contexts).join(brands, ["doc_id", "brand"])
     prompts = prompts_of(prompts, param_model, parameter_prompt(F.col("brand"), F.col("preferred_status"), F.col("context")))
     if param_answers is None:

@@ -2,32 +2,109 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.clean import with_doc_name
 from ..params import CSV_COLUMNS
+from .shared import path_exists, stored
 
 BUCKETS = 64
 
 
+def write_texts(texts: DataFrame, folder: str, name_col: str = "filename", text_col: str = "markdown") -> DataFrame:
+    """Each row as a file of that name; returns path and length of what was written, once it is.
+
+    Files go to the folder's own store from the tasks (any URI that pyarrow opens). A file is written under a hidden name and
+    then moved, so a task that runs again replaces it and a reader never sees half of one. Names are to be distinct; a null text is
+    an empty file.
+    """
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            paths, sizes = [], []
+            for name, text in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
+                raw, hidden = (text or "").encode(), f"{root}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(hidden) as f:
+                    f.write(raw)
+                store.move(hidden, f"{root}/{name}")
+                paths.append(f"{folder}/{name}")
+                sizes.append(len(raw))
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], names=["path", "length"])
+
+    return stored(texts.select(name_col, text_col).mapInArrow(put, "path string, length long"))
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """path, filename, length of the .pdf files (any case) of a folder; an error if there is none."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length")
-    out = with_doc_name(files.filter(F.lower("path").endswith(".pdf"))).select("path", "filename", "length")
-    if out.isEmpty():
+    """path, filename, length of the .pdf files (any case) of a folder; an error if there is none.
+
+    Other files are left out while the folder is listed, and no file is opened: the content is not selected.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(path).select("path", "length")
+    if files.isEmpty():
         raise ValueError(f"no PDF file in {path}")
-    return out
+    return with_doc_name(files).select("path", "filename", "length")
+
+
+def read_markdown(spark: SparkSession, path: str, stems: list[str] | None = None) -> DataFrame:
+    """stem, filename, markdown, size: one row for each .md file of a folder; only those of ``stems`` if given.
+
+    The condition is on the file's metadata, so other files are not read. An empty file has no row.
+    """
+    texts = spark.read.text(path, wholetext=True, pathGlobFilter="*.md")
+    if stems is not None:
+        texts = texts.filter(F.col("_metadata.file_name").isin([f"{s}.md" for s in stems]))
+    texts = texts.select("value", F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("size"))
+    return with_doc_name(texts, "name").select("stem", "filename", F.col("value").alias("markdown"), "size")
+
+
+def bucket_of(id_col: str) -> Column:
+    return F.pmod(F.xxhash64(id_col), F.lit(BUCKETS)).cast("int")
+
+
+def read_store(spark: SparkSession, path: str, buckets: list[int] | None = None, schema: T.StructType | None = None) -> DataFrame | None:
+    """What a store holds, only some of its buckets if they are named; None if there is none yet."""
+    if not path_exists(spark, path):
+        return None
+    out = spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
+    return out if buckets is None else out.filter(F.col("bucket").isin(buckets))
+
 
+def append_new(rows: DataFrame, path: str, batch: str, keys: list[str], id_col: str = "doc_id") -> DataFrame:
+    """Adds rows whose keys the store does not hold yet, under the name of this batch; returns them as stored.
 
-def read_markdown(spark: SparkSession, path: str) -> DataFrame:
-    """stem, filename, markdown: one row a file."""
-    texts = spark.read.text(path, wholetext=True).select("*", F.col("_metadata.file_name").alias("name"))
-    return with_doc_name(texts, "name").select("stem", "filename", F.col("value").alias("markdown"))
+    The store is Parquet in folders by bucket (a hash of the id) and batch. Only buckets that these rows touch are
+    read: their numbers, ``BUCKETS`` at most, are known before the store is planned. A batch overwrites its own folders in those
+    buckets and looks past them, so running it again changes nothing, nor does adding known rows under another name.
+    Within ``rows`` one of equal keys stays.
+    """
+    spark = rows.sparkSession
+    keyed = rows.withColumn("bucket", bucket_of(id_col)).dropDuplicates(["bucket", *keys])
+    touched = sorted(r.bucket for r in keyed.select("bucket").distinct().collect())
+    schema = T.StructType([*keyed.schema.fields, T.StructField("batch", T.StringType())])
+    held = read_store(spark, path, touched, schema)
+    if held is not None:
+        held = held.filter(F.col("batch") != batch).select("bucket", *keys)
+        same = [F.col(f"n.{k}").eqNullSafe(F.col(f"h.{k}")) for k in ["bucket", *keys]]
+        keyed = keyed.alias("n").join(held.alias("h"), same, "left_anti")
+    fresh = keyed.withColumn("batch", F.lit(batch)).repartition("bucket")
+    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
+    out = read_store(spark, path, touched, schema)
+    return out.filter(F.col("batch") == batch)
 
 
-def append_documents(docs: DataFrame, path: str) -> None:
-    docs.write.mode("append").parquet(path)
+def append_documents(docs: DataFrame, path: str, batch: str) -> DataFrame:
+    """Documents that are not stored yet, by doc_id."""
+    return append_new(docs, path, batch, ["doc_id"])
 
 
 def flat_chunks(chunks: DataFrame) -> DataFrame:
@@ -43,9 +120,9 @@ def flat_chunks(chunks: DataFrame) -> DataFrame:
     )
 
 
-def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Parquet in folders by a hash of doc_id, so that a later anti-join reads few of them."""
-    flat_chunks(chunks).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))).write.mode("append").partitionBy("bucket").parquet(path)
+def append_chunks(chunks: DataFrame, path: str, batch: str) -> DataFrame:
+    """Chunks that are not stored yet, in their stored form, by document and chunk."""
+    return append_new(flat_chunks(chunks), path, batch, ["doc_id", "chunk_id"])
 
 
 def report_columns(df: DataFrame) -> DataFrame:

@@ -16,7 +16,6 @@ from rubricspark.operators import usage as L
 from rubricspark.operators.score import access_score, flatten_params
 from rubricspark.params import PARAMS
 from rubricspark.sources import io
-from rubricspark.streaming.stream import stream_usage, windowed_usage
 
 
 def test_splits():
@@ -100,7 +99,7 @@ def test_files(spark, tmp_path):
     assert [r.filename for r in io.read_manifest(spark, str(tmp_path)).collect()] == ["a.pdf"]
     (tmp_path / "md").mkdir()
     (tmp_path / "md" / "p.q.md").write_text("é\nb")
-    assert [tuple(r) for r in io.read_markdown(spark, str(tmp_path / "md")).collect()] == [("p.q", "p.q.pdf", "é\nb")]
+    assert [tuple(r) for r in io.read_markdown(spark, str(tmp_path / "md")).collect()] == [("p.q", "p.q.pdf", "é\nb", 4)]
     try:
         io.read_manifest(spark, str(tmp_path / "md"))
     except ValueError as e:
@@ -113,17 +112,6 @@ def test_files(spark, tmp_path):
     assert back.columns == io.CSV_COLUMNS and back.first().brand == 'B "q", r'
 
 
-def test_stream_usage_is_its_table(spark, sf_dir, tmp_path):
-    from rubricspark.plans.fixtures import usage
-
-    log = usage(spark, sf_dir).select("ts", "model", "tokens")
-    log.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream_usage(spark, str(tmp_path / "in"), log.schema, "usage_now", str(tmp_path / "state")).awaitTermination()
-    got = spark.table("usage_now").groupBy("start", "model").agg(F.max("requests").alias("requests"), F.max("used").alias("used"))
-    want = windowed_usage(log)
-    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
-
-
 def test_blanks_of_a_policy_are_those_of_unicode(spark):
     df = spark.createDataFrame([("keep\nPassword\u00a0:\u00a0abc\nlogin =\u2003me\nend",)], "t string")
     assert df.select(C.redact_credentials(F.col("t"))).first()[0] == "keep\nend"
