@@ -21,6 +21,8 @@ from ..params import BM25_B, BM25_EPSILON, BM25_K1, CANDIDATES, RRF_K
 KEY = ["doc_id", "chunk_id"]
 #: Query tables up to so many rows are broadcast; larger ones are joined by shuffling.
 SMALL_QUERIES = 10_000
+#: Queries whose words meet the chunks at once, as a matrix of so many columns.
+QUERY_BLOCK = 512
 
 
 def _small(queries: DataFrame) -> DataFrame:
@@ -62,8 +64,10 @@ def bm25_index(chunks: DataFrame, scope_cols: list[str] | None = None, only: Dat
     """
     scope = ["doc_id"] if scope_cols is None else scope_cols
     keys = list(dict.fromkeys([*scope, *KEY]))
-    posts = tokenize(chunks.select(*keys, "text")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
-    sizes = chunks.select(*keys, F.size(tokens(F.col("text"))).alias("dl"))
+    # texts are dealt by chunk once; counting terms, sizes, and the join of both then need no further shuffle
+    dealt = chunks.select(*keys, "text").repartition(*keys)
+    posts = tokenize(dealt).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    sizes = dealt.select(*keys, F.size(tokens(F.col("text"))).alias("dl"))
     corpus = sizes.groupBy(*scope).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     terms = posts.groupBy(*scope, "term").agg(F.count("*").alias("df"))
     terms = terms.join(corpus, scope) if scope else terms.crossJoin(F.broadcast(corpus))  # one row
@@ -100,38 +104,83 @@ def sparse_top(scores: DataFrame, n: int = CANDIDATES, scope_cols: list[str] | N
     return _ranked(scores, scope, [F.desc("score"), F.desc("chunk_seq"), F.desc("doc_id")], n)
 
 
+def _best_in_batch(batch: pd.DataFrame, scores: np.ndarray, ids: np.ndarray, n: int, scope: list[str], latest: bool) -> pd.DataFrame:
+    """Each scope's best n rows of the batch for each query (a column of scores); ties: the later chunk first, or the earlier."""
+    seq, docs = batch["chunk_seq"].to_numpy(), batch["doc_id"].to_numpy()
+    groups = batch.groupby(scope).indices.values() if scope else [np.arange(len(batch))]
+    found, asks = [], []
+    for rows in groups:
+        rows = rows[np.lexsort((-docs[rows], -seq[rows]) if latest else (docs[rows], seq[rows]))]
+        top = np.argsort(-scores[rows], axis=0, kind="stable")[:n]
+        found.append(rows[top].T.ravel())
+        asks.append(np.repeat(np.arange(len(ids)), len(top)))
+    row, ask = np.concatenate(found), np.concatenate(asks)
+    return pd.DataFrame({"query_id": ids[ask]} | {c: batch[c].to_numpy()[row] for c in ("doc_id", "chunk_id", "chunk_seq")} | {"score": scores[row, ask]})
+
+
+FOUND = "query_id long, doc_id long, chunk_id string, chunk_seq long, score double"
+
+
+def _in_blocks(queries: DataFrame, size: int) -> Iterator[list]:
+    """Rows of a stated set of queries, so many at a time; at least one block, which may be empty."""
+    rows, first = queries.toLocalIterator(), True
+    while (block := list(islice(rows, size))) or first:
+        yield block
+        first = False
+        if len(block) < size:
+            break
+
+
 def sparse_search(chunks: DataFrame, index: DataFrame, queries: DataFrame, n: int = CANDIDATES, scope_cols: list[str] | None = None) -> DataFrame:
     """What sparse_top gives for the scores of all pairs, without making these pairs.
 
-    Only chunks with a term of the query are scored. Chunks without one have score 0 and rank by their place, so of those
-    the last ones of a scope are enough: n, and as many more as the query has hits that do not score above 0.
+    Postings of query terms are gathered by chunk, chunks are dealt by ranges of (scope, place), and a batch of chunks
+    meets a matrix of queries (QUERY_BLOCK at a time) in numpy. A batch passes on its best n of a scope and query only, so what is shuffled
+    is n rows for each query, scope and range that a scope has chunks in, however large it is.
     """
     scope = ["doc_id"] if scope_cols is None else scope_cols
-    keys = list(dict.fromkeys([*scope, *KEY]))
-    words = tokenize(queries.select("query_id", "query"), "query").groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    found = None
+    for block in _in_blocks(queries.select("query_id", tokens(F.col("query")).alias("words")), QUERY_BLOCK):
+        part = _sparse_block(chunks, index, block, n, scope)
+        found = part if found is None else found.unionByName(part)
+    return _ranked(found, scope, [F.desc("score"), F.desc("chunk_seq"), F.desc("doc_id")], n)
+
+
+def _sparse_block(chunks: DataFrame, index: DataFrame, block: list, n: int, scope: list[str]) -> DataFrame:
+    spark = chunks.sparkSession
+    ids = np.array([r.query_id for r in block], np.int64)
+    place: dict[str, int] = {}
+    for r in block:
+        for w in r.words or ():
+            place.setdefault(w, len(place))
+    weight = np.zeros((len(place), len(block)))
+    for k, r in enumerate(block):
+        for w in r.words or ():
+            weight[place[w], k] += 1
+    held = spark.sparkContext.broadcast((ids, weight))
+    terms = F.broadcast(spark.createDataFrame(list(place.items()), "term string, no int"))  # the block's words
     tf = F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
-    hits = index.join(_small(words), "term").groupBy("query_id", *keys).agg(F.round(F.sum(F.col("qtf") * F.col("idf") * tf), 9).alias("score"))
-    places = chunks.select(*keys, "chunk_seq")
-    hits = hits.join(places, keys)
-    group = scope or ["_all"]
-    if not scope:  # one scope of all
-        hits, places = hits.withColumn("_all", F.lit(0)), places.withColumn("_all", F.lit(0))
-    counts = hits.groupBy("query_id", *group).agg(F.count_if(F.col("score") > 0).alias("good"), F.count_if(F.col("score") <= 0).alias("poor"))
-    order = [F.desc("chunk_seq"), F.desc("doc_id")]
-    # the last n of each scope; a scope in which some query has hits without a score gets as many more. Both are cut before
-    # they meet queries, so no chunk is tried with a query that it does not fill
-    from_end = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    last = places.withColumn("from_end", from_end).filter(F.col("from_end") <= n)
-    deep = counts.filter("poor > 0").groupBy(*group).agg((F.max("poor") + n).alias("reach"))
-    more = places.join(deep, group).withColumn("from_end", from_end).filter((F.col("from_end") > n) & (F.col("from_end") <= F.col("reach"))).drop("reach")
-    asks = last.filter("from_end = 1").select(*group).crossJoin(_small(queries.select("query_id")))  # each scope is asked each query
-    need = asks.join(counts, ["query_id", *group], "left").fillna(0, ["good", "poor"]).filter(F.col("good") < n)
-    fill = last.unionByName(more).groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("from_end", "chunk_seq", *[k for k in keys if k not in group]))).alias("ends"))
-    fill = need.join(fill, group).select("query_id", *group, F.explode(F.slice("ends", 1, (F.col("poor") + n).cast("int"))).alias("e"))
-    fill = fill.select("query_id", *group, *[F.col(f"e.{k}").alias(k) for k in ["chunk_seq", *[k for k in keys if k not in group]]], F.lit(0.0).alias("score"))
-    fill = fill.select("query_id", *keys, "chunk_seq", "score")
-    both = hits.select("query_id", *keys, "chunk_seq", "score").unionByName(fill.join(hits.select("query_id", *keys), ["query_id", *keys], "left_anti"))
-    return _ranked(both, scope, [F.desc("score"), *order], n)
+    hits = index.join(terms, "term").groupBy(*KEY).agg(F.collect_list("no").alias("nos"), F.collect_list(F.col("idf") * tf).alias("weights"))
+    rows = chunks.select(*KEY, F.col("chunk_seq").cast("long").alias("chunk_seq")).join(hits, KEY, "left")
+    order = [*scope, "chunk_seq"]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, weight = held.value
+        step = max(1, (1 << 22) // max(1, len(weight)))  # rows of a dense slice
+        for batch in batches:
+            if not len(batch) or not len(ids):
+                continue
+            scores = np.zeros((len(batch), len(ids)))
+            lists = [(nos, ws) if nos is not None else ((), ()) for nos, ws in zip(batch["nos"], batch["weights"], strict=True)]
+            for lo in range(0, len(batch), step):
+                dense = np.zeros((min(step, len(batch) - lo), len(weight)))
+                for i, (nos, ws) in enumerate(lists[lo : lo + step]):
+                    dense[i, np.asarray(nos, np.int64)] = ws
+                scores[lo : lo + step] = dense @ weight
+            yield _best_in_batch(batch, np.round(scores, 9), ids, n, scope, True)
+
+    return rows.mapInPandas(best, FOUND)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -147,16 +196,10 @@ def dense_top(vectors: DataFrame, queries: DataFrame, n: int = CANDIDATES, scope
     vectors are never shuffled. Queries are a stated set; they are broadcast in blocks of SMALL_QUERIES.
     """
     scope = ["doc_id"] if scope_cols is None else scope_cols
-    spark, found, block = vectors.sparkSession, None, []
-    rows = queries.select("query_id", "embedding").toLocalIterator()
-    while True:
-        block = list(islice(rows, SMALL_QUERIES))
-        if not block and found is not None:
-            break
+    spark, found = vectors.sparkSession, None
+    for block in _in_blocks(queries.select("query_id", "embedding"), SMALL_QUERIES):
         part = _dense_block(vectors, spark.sparkContext.broadcast(block), n, scope)
         found = part if found is None else found.unionByName(part)
-        if len(block) < SMALL_QUERIES:
-            break
     return _ranked(found, scope, [F.desc("score"), F.asc("chunk_seq"), F.asc("doc_id")], n)
 
 
@@ -169,22 +212,11 @@ def _dense_block(vectors: DataFrame, asked, n: int, scope: list[str]) -> DataFra
         ids = np.array([r.query_id for r in asked.value], np.int64)
         q = unit(np.stack([np.asarray(r.embedding, float) for r in asked.value])) if len(ids) else np.zeros((0, 1))
         for batch in batches:
-            if not len(batch) or not len(ids):
-                continue
-            scores = np.round(unit(np.stack([np.asarray(v, float) for v in batch["embedding"]])) @ q.T, 9)
-            docs, names, seq = (batch[c].to_numpy() for c in ("doc_id", "chunk_id", "chunk_seq"))
-            groups = batch.groupby(scope).indices.values() if scope else [np.arange(len(batch))]
-            found, asks = [], []
-            for rows in groups:
-                rows = rows[np.argsort(seq[rows], kind="stable")]
-                top = np.argsort(-scores[rows], axis=0, kind="stable")[:n]  # ties: the earlier chunk first
-                found.append(rows[top].T.ravel())
-                asks.append(np.repeat(np.arange(len(ids)), len(top)))
-            row, ask = np.concatenate(found), np.concatenate(asks)
-            yield pd.DataFrame({"query_id": ids[ask], "doc_id": docs[row], "chunk_id": names[row], "chunk_seq": seq[row], "score": scores[row, ask]})
-
-    kinds = "query_id long, doc_id long, chunk_id string, chunk_seq long, score double"
-    return vectors.select("doc_id", "chunk_id", "chunk_seq", "embedding").mapInPandas(best, kinds)
+            if len(batch) and len(ids):
+                scores = np.round(unit(np.stack([np.asarray(v, float) for v in batch["embedding"]])) @ q.T, 9)
+                yield _best_in_batch(batch, scores, ids, n, scope, False)
+
+    return vectors.select("doc_id", "chunk_id", "chunk_seq", "embedding").mapInPandas(best, FOUND)
 
 
 def rrf_fuse(sparse: DataFrame, dense: DataFrame, k: int = RRF_K, n: int = CANDIDATES, scope_cols: list[str] | None = None) -> DataFrame:

@@ -73,7 +73,9 @@ def search_documents(chunks: DataFrame, asks: DataFrame, scorer: PairScorer = ov
             out = out.append_column(name, column)
         return out
 
-    chunks = chunks.select("doc_id", "chunk_id", F.col("chunk_seq").cast("long").alias("chunk_seq"), "text", "embedding")
+    # new names for all columns: both tables may come from one
+    chunks = chunks.select(*[F.col(c).alias(c) for c in ("doc_id", "chunk_id", "text", "embedding")], F.col("chunk_seq").cast("long").alias("chunk_seq"))
+    asks = asks.select(*[F.col(f"`{c}`").alias(c) for c in asks.columns])
     return chunks.groupBy("doc_id").cogroup(asks.groupBy("doc_id")).applyInArrow(search, schema)
 
 
