@@ -27,11 +27,8 @@ def hashing_encoder(texts: list[str]) -> np.ndarray:
 
 def overlap_scorer(queries: list[str], texts: list[str]) -> list[float]:
     """The share of a query's distinct words that a text holds."""
-    out = []
-    for q, t in zip(queries, texts, strict=True):
-        words = set(q.lower().split())
-        out.append(len(words & set(t.lower().split())) / max(1, len(words)))
-    return out
+    known = {t: set(t.lower().split()) for t in {*queries, *texts}}
+    return [len(known[q] & known[t]) / max(1, len(known[q])) for q, t in zip(queries, texts, strict=True)]
 
 
 def echo_client(prompts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -24,18 +24,20 @@ def words(text: str) -> list[str]:
 def bm25(chunks: list[Counter], queries: list[Counter]) -> np.ndarray:
     """Scores of every query (rows) in every chunk; idf below 0 becomes epsilon times the mean over the document's terms."""
     n, out = len(chunks), np.zeros((len(queries), len(chunks)))
-    seen = Counter(t for c in chunks for t in c)
+    seen: Counter = Counter()
+    for c in chunks:
+        seen.update(c.keys())
     if not seen:
         return out
-    raw = {t: np.log(n - d + 0.5) - np.log(d + 0.5) for t, d in seen.items()}
-    low = BM25_EPSILON * float(np.mean(list(raw.values())))
+    idf = lambda d: np.log(n - d + 0.5) - np.log(d + 0.5)
+    low = BM25_EPSILON * float(idf(np.fromiter(seen.values(), float, len(seen))).mean())
     size = np.array([c.total() for c in chunks], float)
     damp = BM25_K1 * (1 - BM25_B + BM25_B * size / size.mean())
     for k, query in enumerate(queries):
         for term, times in query.items():
-            if term in raw:
-                tf = np.array([c[term] for c in chunks], float)
-                out[k] += times * (low if raw[term] < 0 else raw[term]) * tf * (BM25_K1 + 1) / (tf + damp)
+            if d := seen.get(term):
+                tf, raw = np.array([c.get(term, 0) for c in chunks], float), idf(d)
+                out[k] += times * (low if raw < 0 else raw) * tf * (BM25_K1 + 1) / (tf + damp)
     return np.round(out, 9)
 
 
@@ -49,15 +51,19 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def hybrid_ranks(texts: list[str], seq: np.ndarray, vectors: np.ndarray, queries: list[str], asked: np.ndarray, tops: list[int], scorer: PairScorer) -> list[list[int]]:
     """For each query the chunks that rank first, best first, as many as its entry of ``tops`` says."""
-    counts = [Counter(words(t)) for t in texts]
-    lexical, near = bm25(counts, [Counter(words(q)) for q in queries]), cosines(asked, vectors)
-    out = []
-    for k, query in enumerate(queries):
-        sparse = np.lexsort((-seq, -lexical[k]))[:CANDIDATES]
-        dense = np.lexsort((seq, -near[k]))[:CANDIDATES]
-        ranks = [{int(c): r for r, c in enumerate(side, 1)} for side in (sparse, dense)]
+    if not texts:
+        return [[] for _ in queries]
+    lexical, near = bm25([Counter(words(t)) for t in texts], [Counter(words(q)) for q in queries]), cosines(asked, vectors)
+    found: list[list[int]] = []
+    for k in range(len(queries)):
+        sides = [np.lexsort((-seq, -lexical[k]))[:CANDIDATES].tolist(), np.lexsort((seq, -near[k]))[:CANDIDATES].tolist()]
+        ranks = [{c: r for r, c in enumerate(side, 1)} for side in sides]
         fused = {c: round(sum(1 / (RRF_K + side[c]) for side in ranks if c in side), 9) for c in ranks[0] | ranks[1]}
-        found = sorted(fused, key=lambda c: (-fused[c], *(side.get(c, np.inf) for side in ranks)))[:CANDIDATES]
-        scores = np.round(np.asarray(scorer([query] * len(found), [texts[c] for c in found]), float), 9)
-        out.append([found[i] for i in np.argsort(-scores, kind="stable")[: tops[k]]])
+        far = len(texts) + 1
+        found.append(sorted(fused, key=lambda c: (-fused[c], ranks[0].get(c, far), ranks[1].get(c, far)))[:CANDIDATES])
+    scores = iter(np.round(np.asarray(scorer([q for q, f in zip(queries, found, strict=True) for _ in f], [texts[c] for f in found for c in f]), float), 9).tolist())
+    out = []
+    for f, top in zip(found, tops, strict=True):
+        own = [next(scores) for _ in f]
+        out.append([f[i] for i in sorted(range(len(f)), key=lambda i: -own[i])[:top]])
     return out

@@ -147,7 +147,7 @@ def s8_json_round_trip(spark, sf_dir):
     return spark.read.schema(", ".join(f"`{c}` string" for c in io.CSV_COLUMNS)).json(path)
 
 
-@query("""WITH t AS (SELECT 'policy_' || (p_partkey % 50) || '.pdf' AS filename, p_brand AS brand, p_partkey % 97 = 5 AS bad FROM part)
+@query("""WITH t AS (SELECT 'policy_' || (p_partkey // 40) || '.pdf' AS filename, p_brand AS brand, p_partkey % 97 = 5 AS bad FROM part)
 SELECT filename, brand, NULL AS error FROM t WHERE filename NOT IN (SELECT filename FROM t WHERE bad)
 UNION ALL SELECT filename, NULL, 'unreadable' FROM t WHERE bad GROUP BY filename""")
 def s9_split_failures(spark, sf_dir):
@@ -156,7 +156,7 @@ def s9_split_failures(spark, sf_dir):
     return rows.withColumn("error", F.lit(None).cast("string")).unionByName(errors.withColumn("brand", F.lit(None).cast("string")))
 
 
-@query("""WITH t AS (SELECT p_partkey % 5 AS run_id, 'policy_' || (p_partkey % 50) || '.pdf' AS filename, p_partkey % 50 AS k FROM part),
+@query("""WITH t AS (SELECT p_partkey % 5 AS run_id, 'policy_' || (p_partkey // 40) || '.pdf' AS filename, p_partkey % 50 AS k FROM part),
 m AS (SELECT run_id, count(DISTINCT filename) AS total FROM t GROUP BY ALL),
 r AS (SELECT run_id, count(*) AS result_count FROM t WHERE k % 7 <> 0 GROUP BY ALL),
 p AS (SELECT run_id, count(DISTINCT filename) AS processed FROM t WHERE k % 11 <> 1 OR k % 7 = 0 GROUP BY ALL),
@@ -387,6 +387,22 @@ def r2_embed_chunks(spark, sf_dir):
     return R.embed_chunks(t).select("doc_id", "chunk_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
 
 
+#: CRC-32 of a word's UTF-8 bytes: bit by bit over its hexadecimal digits.
+_WORD_CRC = """xor(list_reduce([4294967295] || list_transform(range(0, strlen(w)), lambda i: (strpos('0123456789ABCDEF', substr(hex(w), 2 * i + 1, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(hex(w), 2 * i + 2, 1)) - 1),
+  lambda a, b: list_reduce([xor(a::BIGINT, b::BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v::BIGINT >> 1, 3988292384 * (v::BIGINT & 1)))), 4294967295)"""
+
+
+@query(rf"""WITH {X.LINES_SQL}, t AS (SELECT doc_id, chunk_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS w FROM chunks),
+hashed AS (SELECT w, {_WORD_CRC} AS h FROM (SELECT DISTINCT w FROM t)),
+sums AS (SELECT doc_id, chunk_id, h % 64 AS dim, sum(CASE WHEN (h >> 16) & 1 = 1 THEN 1 ELSE -1 END) AS v FROM t JOIN hashed ON t.w = hashed.w GROUP BY ALL),
+norms AS (SELECT doc_id, chunk_id, sqrt(sum(v * v)) AS norm FROM sums GROUP BY ALL)
+SELECT s.doc_id, s.chunk_id, s.dim::INT AS dim, round((v / norm)::DOUBLE, 6) AS value FROM sums s JOIN norms n ON s.doc_id = n.doc_id AND s.chunk_id = n.chunk_id WHERE v <> 0""")
+def r2_encoded_words(spark, sf_dir):
+    """What the default encoder makes of every line: the components that are not zero."""
+    t = R.embed_chunks(K.assign_chunk_ids(X.line_chunks(spark, sf_dir), "line_no"))
+    return t.select("doc_id", "chunk_id", F.posexplode("embedding").alias("dim", "v")).filter("v <> 0").select("doc_id", "chunk_id", "dim", F.round("v", 6).alias("value"))
+
+
 @query(rf"""WITH {X.LINES_SQL}, t AS (SELECT doc_id, chunk_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS term FROM chunks)
 SELECT doc_id, chunk_id, term, count(*) AS tf FROM t GROUP BY ALL""")
 def r3_tokenize(spark, sf_dir):

@@ -33,7 +33,7 @@ def param_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         values = VALUES[KINDS[p]]
         at = (F.col("p_partkey") + 1) * k % 1009 % len(values)
         cells.append(F.get(F.array(*map(F.lit, values)), at.cast("int")).alias(p))
-    name = F.format_string("policy_%d.pdf", F.col("p_partkey") % 50)
+    name = F.format_string("policy_%d.pdf", F.floor(F.col("p_partkey") / 40))
     return table(spark, sf_dir, "part").select(name.alias("filename"), F.col("p_brand").alias("brand"), F.col("p_partkey").alias("pos"), *cells)
 
 
@@ -98,22 +98,23 @@ def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cell_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as table rows of one document a brand; a header every 20 rows, an empty and a short row now and then."""
+    """Parts as table rows, forty to a document; a header every 20 rows (none in some documents), an empty and a short row now and then."""
     key = F.col("p_partkey")
+    doc = F.floor(key / 40)
     cells = (
-        F.when((key % 20 == 1) & (F.col("p_brand") != "Brand#11"), F.array(F.lit(" Group"), F.lit("Required  Medical\nInformation"), F.lit("Quantity")))
+        F.when((key % 20 == 1) & (doc % 11 != 3), F.array(F.lit(" Group"), F.lit("Required  Medical\nInformation"), F.lit("Quantity")))
         .when(key % 23 == 0, F.array(F.lit(None).cast("string"), F.lit(" "), F.lit("")))
         .when(key % 29 == 0, F.array("p_name"))
         .otherwise(F.array("p_name", "p_type", F.col("p_size").cast("string")))
     )
     return table(spark, sf_dir, "part").select(
-        F.substring("p_brand", 7, 2).cast("long").alias("doc_id"), F.lit(0).alias("page_no"), F.lit(0).alias("table_no"), key.alias("row_no"), cells.alias("cells")
+        doc.alias("doc_id"), F.lit(0).alias("page_no"), F.lit(0).alias("table_no"), key.alias("row_no"), cells.alias("cells")
     )
 
 
 CELLS_SQL = r"""cells AS (
-  SELECT substr(p_brand, 7, 2)::BIGINT AS doc_id, p_partkey AS row_no, CASE
-    WHEN p_partkey % 20 = 1 AND p_brand <> 'Brand#11' THEN [' Group', 'Required  Medical' || chr(10) || 'Information', 'Quantity']
+  SELECT p_partkey // 40 AS doc_id, p_partkey AS row_no, CASE
+    WHEN p_partkey % 20 = 1 AND p_partkey // 40 % 11 <> 3 THEN [' Group', 'Required  Medical' || chr(10) || 'Information', 'Quantity']
     WHEN p_partkey % 23 = 0 THEN [NULL, ' ', ''] WHEN p_partkey % 29 = 0 THEN [p_name]
     ELSE [p_name, p_type, p_size::VARCHAR] END AS raw FROM part
 ), clean AS (
@@ -303,4 +304,4 @@ def params_sql() -> str:
     for p, k in zip(PARAMS, STEPS, strict=True):
         values = VALUES[KINDS[p]]
         cells.append(f"([{', '.join(map(quoted, values))}])[((p_partkey + 1) * {k} % 1009 % {len(values)} + 1)::INT] AS \"{p}\"")
-    return "params AS (SELECT 'policy_' || (p_partkey % 50) || '.pdf' AS filename, p_brand AS brand, p_partkey AS pos, " + ", ".join(cells) + " FROM part)"
+    return "params AS (SELECT 'policy_' || (p_partkey // 40) || '.pdf' AS filename, p_brand AS brand, p_partkey AS pos, " + ", ".join(cells) + " FROM part)"

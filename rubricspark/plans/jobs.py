@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,12 +12,9 @@ from pyspark.sql import functions as F
 from ..functions.hooks import Encoder, PairScorer, hashing_encoder, overlap_scorer
 from ..functions.ranking import hybrid_ranks
 from ..functions.scoring import access_band
+from ..functions.splitting import chunk_text
 from ..operators.brands import (
     BRAND_PROMPT,
-    anchor_queries,
-    assemble_context,
-    brand_query,
-    collect_context,
     complete_prompts,
     dedupe_brands,
     distinct_prompts,
@@ -26,15 +23,17 @@ from ..operators.brands import (
     parse_brand_json,
     render_prompt,
 )
-from ..operators.chunk import chunk_documents
-from ..operators.extract import brand_context, drop_empty_context, parameter_prompt, parse_param_json
+from ..operators.extract import drop_empty_context, parameter_prompt, parse_param_json
 from ..operators.report import brands_per_file, rank_in_file
 from ..operators.score import access_score, flatten_params
-from ..operators.search import embed_chunks
-from ..params import BRAND_QUERIES, BRAND_QUERY, COMMON_QUERIES
+from ..params import ANCHOR_QUERY, BRAND_QUERIES, BRAND_QUERY, COMMON_QUERIES, CONTEXT_CHARS, CONTEXT_CHUNKS, CONTEXT_JOIN
 from ..sources.shared import stored
 
 
+#: Documents that a worker reads at once.
+READ_ROWS = 256
+
+
 def rank_policies(params: DataFrame) -> DataFrame:
     """Parameter rows to the report: score, band, rank in the file, brands of the file. One file may hold all rows."""
     out = rank_in_file(access_score(params)).withColumn("band", access_band(F.col("access_score")))
@@ -43,40 +42,63 @@ def rank_policies(params: DataFrame) -> DataFrame:
     return out.select("filename", "brand", "pos", "access_score", "band", "rank", "brands")
 
 
-def search_documents(chunks: DataFrame, asks: DataFrame, scorer: PairScorer = overlap_scorer) -> DataFrame:
-    """Each document's questions in its own chunks by hybrid search: doc_id, query_id, chunk_id, text, rank, and further columns of ``asks``.
+def read_policies(docs: DataFrame, encoder: Encoder = hashing_encoder, scorer: PairScorer = overlap_scorer) -> DataFrame:
+    """doc_id, policy_text, common, texts, vectors: each document cut into chunks, encoded and searched for what all are asked.
 
-    asks: doc_id, query_id, query, embedding, top (ranks asked for), more. A document's chunks and its questions meet
-    once, by doc_id, as Arrow tables: one matrix product for all its questions, nothing sorted by Spark. A group is one document.
-    Ranks and ties are those of operators.search.hybrid_search.
+    A document is one row, and all that it is asked concerns its own chunks: nothing is shuffled. ``policy_text`` is what
+    ``collect_context`` and ``assemble_context`` give for the brand queries, ``common`` the best two chunks of each common query in order,
+    ``texts`` and ``vectors`` (float32, row by row) the chunks. Ranks are those of operators.search.hybrid_search.
+    """
+    queries = [*BRAND_QUERIES, *COMMON_QUERIES]
+    tops = [3] * len(BRAND_QUERIES) + [2] * len(COMMON_QUERIES)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = np.asarray(encoder(queries), float)
+        for batch in (b.slice(lo, READ_ROWS) for b in batches for lo in range(0, b.num_rows, READ_ROWS)):
+            ids, markdown = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("markdown").to_pylist()]
+            chunks = [[c[0] for c in chunk_text(t)] if t else [] for t in markdown]
+            vectors = np.asarray(encoder([c for own in chunks for c in own]), np.float32).reshape(sum(map(len, chunks)), asked.shape[1])
+            rows, at = [], 0
+            for own, text in zip(chunks, markdown, strict=True):
+                mine = vectors[at : at + len(own)]
+                at += len(own)
+                found = hybrid_ranks(own, np.arange(len(own)), mine.astype(float), queries, asked, tops, scorer)
+                first = dict.fromkeys(c for f in found[: len(BRAND_QUERIES)] for c in f)
+                context = CONTEXT_JOIN.join(own[c] for c in first) if first else text
+                rows.append((context[:CONTEXT_CHARS], list(dict.fromkeys(c for f in found[len(BRAND_QUERIES) :] for c in f)), own, mine.tobytes()))
+            cells = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.string(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *cells], names=["doc_id", "policy_text", "common", "texts", "vectors"])
+
+    return docs.select("doc_id", "markdown").mapInArrow(read, "doc_id long, policy_text string, common array<int>, texts array<string>, vectors binary")
+
+
+def brand_contexts(read: DataFrame, brands: DataFrame, encoder: Encoder = hashing_encoder, scorer: PairScorer = overlap_scorer) -> DataFrame:
+    """doc_id, brand, preferred_status, context: of each brand the first chunks among its anchors, its own hits and the common ones.
+
+    ``read``: doc_id, common, texts, vectors of ``read_policies``; ``brands``: doc_id, pos, brand, preferred_status, each brand once.
+    They meet once, one row a document. The order is that of ``brand_context``.
     """
-    extra = [c for c in asks.columns if c not in ("query", "embedding", "top")]
-    kinds = {f.name: f.dataType.simpleString() for f in asks.schema.fields}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in extra), "chunk_id string, text string, rank int"])
-
-    def matrix(column: pa.ChunkedArray) -> np.ndarray:
-        flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
-        return flat.reshape(len(column), -1)
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        asked = right.select([*extra])
-        if left.num_rows and right.num_rows:
-            texts = [t or "" for t in left.column("text").to_pylist()]
-            queries, tops = ([x or d for x in right.column(c).to_pylist()] for c, d in (("query", ""), ("top", 0)))
-            found = hybrid_ranks(texts, left.column("chunk_seq").to_numpy(), matrix(left.column("embedding")), queries, matrix(right.column("embedding")), tops, scorer)
-        else:
-            found = [[] for _ in range(right.num_rows)]
-        ask = pa.array([k for k, f in enumerate(found) for _ in f], pa.int64())
-        row = pa.array([c for f in found for c in f], pa.int64())
-        out = asked.take(ask)
-        for name, column in (("chunk_id", left.column("chunk_id").take(row)), ("text", left.column("text").take(row)), ("rank", pa.array([r for f in found for r in range(1, len(f) + 1)], pa.int32()))):
-            out = out.append_column(name, column)
-        return out
-
-    # new names for all columns: both tables may come from one
-    chunks = chunks.select(*[F.col(c).alias(c) for c in ("doc_id", "chunk_id", "text", "embedding")], F.col("chunk_seq").cast("long").alias("chunk_seq"))
-    asks = asks.select(*[F.col(f"`{c}`").alias(c) for c in asks.columns])
-    return chunks.groupBy("doc_id").cogroup(asks.groupBy("doc_id")).applyInArrow(search, schema)
+    named = brands.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "brand", "preferred_status"))).alias("brands"))  # a document's brands: one answer's
+    fill = lambda template, brand: template.replace("{brand}", brand)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(lo, READ_ROWS) for b in batches for lo in range(0, b.num_rows, READ_ROWS)):
+            rows = batch.to_pylist()
+            asks = sorted({fill(t, b["brand"]) for r in rows for b in r["brands"] for t in (ANCHOR_QUERY, BRAND_QUERY)})
+            place, encoded = {q: i for i, q in enumerate(asks)}, np.asarray(encoder(asks), float)
+            out = []
+            for r in rows:
+                own = [fill(t, b["brand"]) for b in r["brands"] for t in (ANCHOR_QUERY, BRAND_QUERY)]
+                vectors = np.frombuffer(r["vectors"], np.float32).reshape(len(r["texts"]), -1) if r["texts"] else np.zeros((0, 1))
+                found = hybrid_ranks(r["texts"], np.arange(len(r["texts"])), vectors.astype(float), own, encoded[[place[q] for q in own]], [3, CONTEXT_CHUNKS] * len(r["brands"]), scorer)
+                for b, anchors, hits in zip(r["brands"], found[::2], found[1::2], strict=True):
+                    chosen = list(dict.fromkeys([*anchors, *hits, *(r["common"] if anchors or hits else ())]))[:CONTEXT_CHUNKS]
+                    out.append((r["doc_id"], b["brand"], b["preferred_status"], CONTEXT_JOIN.join(r["texts"][c] for c in chosen)))
+            cells = [pa.array(c, kind) for c, kind in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays(cells, names=["doc_id", "brand", "preferred_status", "context"])
+
+    met = read.select("doc_id", "common", "texts", "vectors").join(named, "doc_id")
+    return met.mapInArrow(search, "doc_id long, brand string, preferred_status string, context string")
 
 
 def _answered(prompts: DataFrame, ask: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -105,33 +127,19 @@ def score_policies(
     """
     if ask is None and (brand_answers is None or param_answers is None):
         raise ValueError("either ask, or both tables of answers")
-    # two searches read the chunks: what a document is asked from the start, and what its brands ask
-    chunks = embed_chunks(chunk_documents(docs), encoder).select("doc_id", "chunk_id", "chunk_seq", "text", "embedding")
-    chunks = stored(chunks)
-    spark = docs.sparkSession
-    fixed = [(q, t, "brands", 3) for q, t in enumerate(BRAND_QUERIES)] + [(q, t, "common", 2) for q, t in enumerate(COMMON_QUERIES)]
-
-    def encoded(asks: DataFrame) -> DataFrame:  # equal questions are encoded once
-        return asks.join(embed_chunks(asks.select("query").distinct(), encoder, "query"), "query")
-
-    table = embed_chunks(spark.createDataFrame(fixed, "query_id long, query string, kind string, top int"), encoder, "query")
-    first = stored(search_documents(chunks, docs.select("doc_id").crossJoin(F.broadcast(table)), scorer))  # a fixed number of queries a document
+    read = stored(read_policies(docs, encoder, scorer))
 
     def prompts_of(rows: DataFrame, model: str, content: Column) -> DataFrame:
         return rows.withColumns({"content": content, "model": F.lit(model), "max_tokens": F.lit(max_tokens)})
 
-    context = assemble_context(collect_context(first.filter("kind = 'brands'")), docs)
+    context = read.select("doc_id", "policy_text")
     if brand_answers is None:
         context = _answered(prompts_of(context, brand_model, render_prompt(BRAND_PROMPT, policy_text=F.col("policy_text"))), ask)
     else:
         context = context.join(brand_answers, "doc_id")
     found = parse_brand_json(context, "answer_text").filter("error IS NULL")
-    brands = stored(dedupe_brands(explode_brands(gate_policies(found))))
-    asks = anchor_queries(brands).withColumns({"kind": F.lit("anchor"), "top": F.lit(3)})
-    asks = asks.unionByName(brands.select("doc_id", "brand", brand_query(BRAND_QUERY, F.col("brand")).alias("query"), F.lit("brand").alias("kind"), F.lit(4).alias("top")))
-    hits = stored(search_documents(chunks, encoded(asks.withColumn("query_id", F.lit(0).cast("long"))), scorer))
-    contexts = brand_context(hits.filter("kind = 'anchor'"), hits.filter("kind = 'brand'"), first.filter("kind = 'common'"))
-    prompts = drop_empty_context(contexts).join(brands, ["doc_id", "brand"])
+    brands = dedupe_brands(explode_brands(gate_policies(found)))
+    prompts = drop_empty_context(brand_contexts(read, brands, encoder, scorer))
     prompts = prompts_of(prompts, param_model, parameter_prompt(F.col("brand"), F.col("preferred_status"), F.col("context")))
     if param_answers is None:
         answers = _answered(prompts, ask)

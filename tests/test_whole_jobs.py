@@ -13,12 +13,11 @@ from rubricspark.functions.ranking import hybrid_ranks
 from rubricspark.functions.splitting import chunk_text
 from rubricspark.operators import search as R
 from rubricspark.operators.brands import BRAND_PROMPT
-from rubricspark.operators.chunk import chunk_documents
 from rubricspark.operators.extract import PARAM_PROMPT
 from rubricspark.params import ANCHOR_QUERY, BRAND_QUERIES, BRAND_QUERY, COMMON_QUERIES, CONTEXT_JOIN, KINDS, PARAMS
 from rubricspark.plans import fixtures as X
 from rubricspark.plans.catalog import QUERIES
-from rubricspark.plans.jobs import score_policies, search_documents
+from rubricspark.plans.jobs import score_policies
 
 
 def test_tables_of_answers_reach_every_gated_document(spark, sf_dir):
@@ -37,7 +36,7 @@ def slow_policies(docs):
     for name, text in docs:
         if not (chunks := [c[0] for c in chunk_text(text or "")]):
             chunks = []
-        vectors = hashing_encoder(chunks)
+        vectors = hashing_encoder(chunks).astype(np.float32).astype(float)
 
         def search(query, top, chunks=chunks, vectors=vectors):
             return hybrid_ranks(chunks, np.arange(len(chunks)), vectors, [query], hashing_encoder([query]), [top], overlap_scorer)[0] if chunks else []
@@ -122,16 +121,6 @@ def test_policy_answers_follow_what_was_retrieved(spark, tmp_path):
         score_policies(spark.createDataFrame([], "doc_id long, filename string, markdown string"))
 
 
-def test_job_search_is_hybrid_search(spark, sf_dir):
-    docs = X.docs(spark, sf_dir).filter("doc_id < 40")
-    chunks = R.embed_chunks(chunk_documents(docs))
-    queries = R.embed_chunks(spark.createDataFrame([(0, "preferred products for the policy"), (1, "the and of")], "query_id long, query string"), text_col="query")
-    want = R.hybrid_search(chunks, queries, 4).select("doc_id", "query_id", "chunk_id", "rank").collect()
-    asks = chunks.select("doc_id").distinct().crossJoin(queries).withColumn("top", F.lit(4))
-    got = search_documents(chunks, asks, overlap_scorer).select("doc_id", "query_id", "chunk_id", "rank").collect()
-    assert sorted(got) == sorted(want) and got
-
-
 def test_search_reaches_documents_without_a_vector(spark, sf_dir, tmp_path):
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     docs = read("documents").withColumn("doc_id", F.col("doc_id") * 13)
