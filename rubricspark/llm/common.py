@@ -89,6 +89,15 @@ def drop_tables(spark: SparkSession) -> int:
     return len(paths)
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A scanned table's rows dealt evenly, where it comes in fewer partitions than there are cores.
+
+    For work on single rows that costs far more than moving them; a table of many files stays as it is.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the quarter of the rows that no model learns from."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2

@@ -544,8 +544,26 @@ def decode(scores: np.ndarray, sizes: np.ndarray, tagger: Tagger) -> list[tuple[
     return sorted(out)
 
 
+def plausible(text: str, a: int, kind: int, b: int) -> bool:
+    """Whether what the network found may be of its kind. Words that repeat, plain words, and numbers run together are not.
+
+    A span loses if its words are all one, if it begins or ends inside a run of equal words, if it is letters and
+    blanks only (a secret: one word of letters in one case that no = or : comes before), or a card of over 19 digits.
+    """
+    span, words = text[a:b], text[a:b].split()
+    near, far = text[max(0, a - 64) : a].split(), text[b : b + 64].split()
+    if not words or len(words) > 1 and len(set(words)) == 1 or near[-1:] == words[:1] or far[:1] == words[-1:]:
+        return False
+    if KINDS[kind] == "secret":
+        one_case = span.isalpha() and (span.isupper() or span.islower() or span.istitle())
+        return not one_case or text[max(0, a - 4) : a].rstrip(" \"'")[-1:] in ("=", ":")
+    if KINDS[kind] == "card" and sum(c.isdigit() for c in span) > 19:
+        return False
+    return not all(c.isalpha() or c.isspace() for c in span)
+
+
 def added_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, int]]]:
-    """What the network finds in each whole text with every character as sure as the tagger asks."""
+    """What the network finds in each whole text with every character as sure as the tagger asks, if it is plausible."""
     out: list[list[tuple[int, int, int]]] = []
     lo = 0
     while lo < len(texts):
@@ -556,7 +574,7 @@ def added_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, i
         coded = [symbols(t) for t in texts[lo:hi]]
         own: list[list[tuple[int, int, int]]] = [[] for _ in coded]
         for i, a, k, b, sure in decode(text_scores(coded, tagger), np.array([len(c) for c in coded]), tagger):
-            if sure >= tagger.sure:
+            if sure >= tagger.sure and plausible(texts[lo + i], a, k, b):
                 own[i].append((a, k, b))
         out += own
         lo = hi

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .align import align_tokenizers
 from .bpe import bpe_decode, bpe_encode, ids_digest
-from .common import held_out, read_table
+from .common import held_out, read_table, spread
 from .ego import OP10_SQL, epsilon_join
 from .langid import fit_languages, identify_language, learnable
 from .lines import OP1_SQL, dedup_lines
@@ -76,7 +76,7 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of every document, those of the fixed patterns counted. Null and empty texts have none; no row is dropped. An empty table gives an empty one."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = find_personal_data(docs, fit_tagger(docs), ["doc_id"])
+    found = find_personal_data(spread(docs), fit_tagger(docs), ["doc_id"])
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_secret", "n_added")
 
 
@@ -104,7 +104,7 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links of two tokenizers in every whole text. Null and empty texts have zeros and ''; repeats count as often as they are. An empty table gives an empty one."""
-    return align_tokenizers(read_table(spark, sf_dir, "documents"), BPE_JSON, PIECES)
+    return align_tokenizers(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")), BPE_JSON, PIECES)
 
 
 def op13_shard_ring(spark: SparkSession, sf_dir: str) -> DataFrame:

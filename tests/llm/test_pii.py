@@ -200,3 +200,17 @@ def test_odd_rows(spark, tagger):
         assert all(parts(r.base) <= parts(r.spans) for r in out)
     assert find_personal_data(df.limit(0), None, ["doc_id"]).count() == 0
     assert fit_tagger(df.limit(0)) is None
+
+
+def test_what_is_not_plausible():
+    def judged(text, span, kind):
+        a = text.index(span)
+        return pii.plausible(text, a, pii.KINDS.index(kind), a + len(span))
+
+    run = "osjaque osjaque osjaque osjaque"
+    assert not judged(run, "osjaque osjaque", "email") and not judged(run, "osjaque", "secret")
+    assert not judged("so QUEASARJARR said", "QUEASARJARR", "secret") and judged("token=QUEASARJARR", "QUEASARJARR", "secret")
+    assert judged("key: 'abcdefghijkl'", "abcdefghijkl", "secret") and judged("see aZ09-kk_qwe12 there", "aZ09-kk_qwe12", "secret")
+    assert not judged("4111 1111 1111 1111 4222 2222 2222 2222", "4111 1111 1111 1111 4222 2222 2222 2222", "card")
+    assert judged("pay 4111 1111 1111 1112 now", "4111 1111 1111 1112", "card") and judged("to ann (at) ex.org", "ann (at) ex.org", "email")
+    assert not judged("mail ann at home", "ann at home", "email")
