@@ -176,7 +176,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int =
     parts = documents.filter("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))))
     begin = F.greatest(F.col("start"), F.col("block") * block)
     parts = parts.select(*KEY, "source_no", "block", (begin - F.col("start")).alias("offset"), (F.least(of, (F.col("block") + 1) * block) - begin).alias("words"))
-    taken = parts.join(times, ["source_no", "block"]).select(*KEY, "offset", "words", "times")
+    # never broadcast: the few draws that slots are made of tell the planner nothing of the slots' number
+    taken = parts.join(times.hint("merge"), ["source_no", "block"]).select(*KEY, "offset", "words", "times")
     return Mix(documents, slots, taken)
 
 
