@@ -142,7 +142,8 @@ def score_policies(
     prompts = drop_empty_context(brand_contexts(read, brands, encoder, scorer))
     prompts = prompts_of(prompts, param_model, parameter_prompt(F.col("brand"), F.col("preferred_status"), F.col("context")))
     if param_answers is None:
-        answers = _answered(prompts, ask)
+        # stored, for it is read twice: for the questions, and to give each row its answer
+        answers = _answered(stored(prompts.select("doc_id", "brand", "content", "model", "max_tokens")), ask)
     else:
         answers = prompts.join(param_answers.withColumn("brand", F.upper("brand")), "brand")
     rows = parse_param_json(answers, "answer_text").join(docs.select("doc_id", "filename"), "doc_id")

@@ -20,7 +20,7 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as a table and read back: its lineage ends there, and every reader sees the same rows in the same files."""
     path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _STORED.add(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
