@@ -131,9 +131,9 @@ def slow_added(text, tagger):
             while path[end] == path[t] + 1:
                 end += 1
             if min(sure[q, path[q]] for q in range(t, end)) >= tagger.sure:
-                out.append((t, (path[t] - 1) // 2, end))
+                out.append((t, int(path[t] - 1) // 2, end))
         t = end
-    return out
+    return [s for s in out if pii.plausible(text, *s)]
 
 
 def test_spans_are_brute_force(spark, sf_dir, tagger):
