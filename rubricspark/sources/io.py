@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,15 +88,17 @@ def append_new(rows: DataFrame, path: str, batch: str, keys: list[str], id_col:
     Within ``rows`` one of equal keys stays.
     """
     spark = rows.sparkSession
-    keyed = rows.withColumn("bucket", bucket_of(id_col)).dropDuplicates(["bucket", *keys])
+    keyed = rows.withColumn("bucket", bucket_of(id_col))
     touched = sorted(r.bucket for r in keyed.select("bucket").distinct().collect())
     schema = T.StructType([*keyed.schema.fields, T.StructField("batch", T.StringType())])
     held = read_store(spark, path, touched, schema)
+    keyed = keyed.withColumn("_held", F.lit(False))
     if held is not None:
-        held = held.filter(F.col("batch") != batch).select("bucket", *keys)
-        same = [F.col(f"n.{k}").eqNullSafe(F.col(f"h.{k}")) for k in ["bucket", *keys]]
-        keyed = keyed.alias("n").join(held.alias("h"), same, "left_anti")
-    fresh = keyed.withColumn("batch", F.lit(batch)).repartition("bucket")
+        held = held.filter(F.col("batch") != batch).select("bucket", *keys, F.lit(True).alias("_held"))
+        keyed = keyed.unionByName(held, allowMissingColumns=True)
+    # rows are dealt by bucket once: equal keys, those that are held, and the files of a bucket meet there
+    first = F.row_number().over(Window.partitionBy("bucket", *keys).orderBy(F.desc("_held")))
+    fresh = keyed.repartition("bucket").withColumn("_n", first).filter("_n = 1 AND NOT _held").drop("_n", "_held").withColumn("batch", F.lit(batch))
     fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
     out = read_store(spark, path, touched, schema)
     return out.filter(F.col("batch") == batch)
