@@ -33,7 +33,11 @@ TRAIN_WINDOW, WINDOW, STRIDE = 96, 1024, 960
 #: The share of held-back windows, and the precision that the least marginal probability of a span must reach on them.
 HELD_BACK, PRECISION = 0.15, 0.98
 #: Characters that a worker reads and decodes at once, and windows of one pass of the network.
-READ_CHARS, PASS_WINDOWS = 1 << 19, 512
+READ_CHARS, PASS_WINDOWS = 1 << 19, 320
+#: Steps of the network whose scores are turned to rows at once; characters whose certain "none" is looked for at once.
+TURNED, SURE_CHARS = 32, 1 << 15
+#: Steps times stretches that are decoded together whatever their lengths.
+DECODED = 1 << 16
 _TRIGGER = re.compile(r"[0-9@]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
@@ -284,17 +288,19 @@ class Tagger:
         """x: (batch, time) symbols, padded at the end. Scores of all valid positions, row after row: (sum of sizes, tags).
 
         Both directions run at once, gate by gate in arrays of their own, so that every operation reads whole ranges of
-        memory. Longest rows come first; when a quarter of the running rows has ended, the arrays shrink.
+        memory. Longest rows come first; when a quarter of the running rows has ended, the arrays shrink. Gates and hidden
+        states are held at twice their value, which the weights behind them make up for.
         """
         p, f32, half = self.p, np.float32, np.float32(0.5)
         by = np.argsort(-sizes, kind="stable")
         rows, ends = x[by], sizes[by]
         n, long = len(rows), int(ends[0]) if len(ends) else 0
         rows = rows[:, :long]
-        steps = np.stack([rows, turned(rows, ends).astype(np.int64) + SYMBOLS]).transpose(2, 0, 1)  # (time, direction, row)
+        steps = np.empty((long, 2, n), np.uint8)
+        steps[:, 0], steps[:, 1] = rows.T, (turned(rows, ends) + np.uint8(SYMBOLS)).T
         by_gate = lambda m: m.reshape(len(m), 4, HIDDEN).transpose(1, 0, 2)
-        table = np.concatenate([by_gate(p["embed"] @ p[f"w{d}"] + p[f"b{d}"]) for d in "fr"], axis=1).astype(f32)
-        u = np.ascontiguousarray(np.stack([by_gate(p[f"u{d}"]) for d in "fr"], axis=1), f32)
+        table = np.ascontiguousarray(np.concatenate([by_gate(p["embed"] @ p[f"w{d}"] + p[f"b{d}"]) for d in "fr"], axis=1), f32)
+        u = np.ascontiguousarray(np.stack([by_gate(p[f"u{d}"]) for d in "fr"], axis=1), f32) * half
         hidden = np.zeros((2, long, n, HIDDEN), f32)
         h, c, t = np.zeros((2, n, HIDDEN), f32), np.zeros((2, n, HIDDEN), f32), 0
         running = n - np.searchsorted(ends[::-1], np.arange(long), side="right")
@@ -310,21 +316,27 @@ class Tagger:
                 np.matmul(h, u, out=more)
                 np.add(z, more, out=z)
                 _squash(z, more)
-                np.multiply(gates, half, out=gates)
-                np.add(gates, half, out=gates)
+                np.add(gates, 1, out=gates)
                 np.multiply(c, f, out=c)
                 np.multiply(i, g, out=tc)
                 np.add(c, tc, out=c)
-                np.copyto(tc, c)
-                _squash(tc, small)
+                np.multiply(c, half, out=c)
+                np.abs(c, out=small)
+                np.add(small, 1, out=small)
+                np.divide(c, small, out=tc)
                 h = hidden[:, t, :m]
                 np.multiply(o, tc, out=h)
             t = stop
+        # scores of each direction row by row, turned from steps in blocks that stay in the cache
+        scored = np.empty((2, n, long, TAGS), f32)
+        for d, w in enumerate((p["out"][:HIDDEN], p["out"][HIDDEN:])):
+            w = w.astype(f32) * half
+            for lo in range(0, long, TURNED):
+                some = hidden[d, lo : lo + TURNED]
+                scored[d, :, lo : lo + TURNED] = (some.reshape(-1, HIDDEN) @ w).reshape(len(some), n, TAGS).transpose(1, 0, 2)
         out, begin = np.empty((int(sizes.sum()), TAGS), f32), np.cumsum(sizes) - sizes
-        ahead, back = p["out"][:HIDDEN].astype(f32), p["out"][HIDDEN:].astype(f32)
-        scored = [(hidden[d].reshape(-1, HIDDEN) @ w).reshape(long, n, TAGS) for d, w in ((0, ahead), (1, back))]
         for j, (a, size) in enumerate(zip(begin[by].tolist(), ends.tolist(), strict=True)):
-            np.add(scored[0][:size, j], scored[1][:size, j][::-1], out=out[a : a + size])
+            np.add(scored[0, j, :size], scored[1, j, :size][::-1], out=out[a : a + size])
         out += p["out_b"]
         return out
 
@@ -456,8 +468,7 @@ def text_scores(coded: list[np.ndarray], tagger: Tagger) -> np.ndarray:
     lo = np.where(begin > 0, overlap // 2, 0)
     hi = np.where(begin + length < sizes[row], length - (overlap - overlap // 2), length)
     order = np.argsort(-length, kind="stable")
-    for at in range(0, len(order), PASS_WINDOWS):
-        some = order[at : at + PASS_WINDOWS]
+    for some in np.array_split(order, -(-len(order) // PASS_WINDOWS)):  # about as many in each: a pass of few rows costs as much
         n = length[some]
         x = np.zeros((len(some), int(n.max())), np.uint8)
         at_text = base[row[some]] + begin[some]
@@ -475,22 +486,51 @@ def undecided(scores: np.ndarray, sizes: np.ndarray, trans: np.ndarray) -> np.nd
 
     A span is part of the best path only if it wins over "none" all along. What a span that reaches a position can win
     at most, from any beginning before and to any end behind, comes from running sums; no position of a better path is
-    left out.
+    left out. Spans that touch cost less than each between "none": of spans in a row one at least wins without the rest
+    but for what one touch saves, so a stretch in which none does is not searched either.
     """
     first = np.zeros(len(scores), bool)
     first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
-    some = np.zeros(len(scores), bool)
-    others = [0, *range(1, TAGS, 2)]  # what may follow a span
-    for k in range(1, TAGS, 2):
-        begin, more = scores[:, k] - scores[:, 0], (scores[:, k + 1] - scores[:, 0]).astype(np.float64)
-        start = begin + (trans[:, k] - trans[:, 0]).max()
-        start[first] = np.maximum(begin, more)[first]
-        leave = (trans[k : k + 2, others] - trans[0, others]).max()
-        total = np.cumsum(more + trans[k : k + 2, k + 1].max() - trans[0, 0])
-        reach = total + np.maximum.accumulate(start - total)
-        ahead = np.maximum.accumulate(total[::-1])[::-1] - total
-        some |= reach + ahead + leave >= -1e-3
-    return np.flatnonzero(some)
+    some, core = np.zeros(len(scores), bool), np.zeros(len(scores), bool)
+    begins = range(1, TAGS, 2)
+    others = [0, *begins]  # what may follow a span
+    alone = {k: (trans[0, k] - trans[0, 0], trans[k : k + 2, 0].max() - trans[0, 0]) for k in begins}
+    saved = max(0.0, *(trans[j : j + 2, k].max() - trans[0, 0] - alone[j][1] - alone[k][0] for j in begins for k in begins))
+    ends, lo = np.cumsum(sizes), 0
+    while lo < len(scores):  # whole texts, as many as stay in the cache
+        hi = int(ends[max(np.searchsorted(ends, lo + SURE_CHARS, side="right") - 1, np.searchsorted(ends, lo, side="right"))])
+        e, starts = np.ascontiguousarray(scores[lo:hi].T, np.float64), first[lo:hi]
+        e[1:] -= e[0]
+        for k in begins:
+            enter = (trans[:, k] - trans[:, 0]).max()
+            start = e[k] + enter
+            start[starts] = np.maximum(e[k], e[k + 1])[starts] + max(enter, enter - alone[k][0])
+            leave = (trans[k : k + 2, others] - trans[0, others]).max()
+            total = e[k + 1]
+            total += trans[k : k + 2, k + 1].max() - trans[0, 0]
+            np.cumsum(total, out=total)
+            start -= total
+            np.maximum.accumulate(start, out=start)
+            start += np.maximum.accumulate(total[::-1])[::-1]
+            some[lo:hi] |= start >= -1e-3 - leave
+            core[lo:hi] |= start >= -1e-3 - saved + enter - sum(alone[k])
+        lo = hi
+    at = np.flatnonzero(some)
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(at) > 1) | first[at[1:]]])) if len(at) else at
+    return at[np.repeat(np.logical_or.reduceat(core[at], new), np.diff(np.append(new, len(at))))] if len(at) else at
+
+
+def best_is_none(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Which of e (time, batch, tags) have "none" all along as their best path, by the scores of best paths without their tags."""
+    by_tag = np.ascontiguousarray(e.transpose(0, 2, 1))
+    score, none, into = by_tag[0].copy(), by_tag[0, 0].copy(), np.ascontiguousarray(trans.T)[:, :, None]
+    every, best = np.empty((TAGS, TAGS, e.shape[1])), np.empty_like(score)
+    for t in range(1, len(e)):
+        np.add(score, into, out=every)
+        every.max(axis=1, out=best)
+        np.add(best, by_tag[t], out=score)
+        none = none + trans[0, 0] + by_tag[t, 0]
+    return score.max(axis=0) <= none
 
 
 def decode(scores: np.ndarray, sizes: np.ndarray, tagger: Tagger) -> list[tuple[int, int, int, int, float]]:
@@ -510,24 +550,26 @@ def decode(scores: np.ndarray, sizes: np.ndarray, tagger: Tagger) -> list[tuple[
     # with the certain "none" before, but for a text's beginning
     lo = np.maximum(begin[row], at[new] - 1)
     hi = at[np.append(new[1:], len(at)) - 1] + 1
-    out, order, k = [], np.argsort(hi - lo, kind="stable"), 0
-    while k < len(order):
-        shortest = int((hi - lo)[order[k]])
-        some = order[k : k + 256]
-        some = some[(hi - lo)[some] <= 1.25 * shortest + 8]
-        k += len(some)
-        length = (hi - lo)[some]
-        e = np.full((int(length.max()) + 1, len(some), TAGS), -1e4)
-        e[:, :, 0] = 0
-        step, col = ragged(np.zeros(len(some), np.int64), length), np.repeat(np.arange(len(some)), length)
-        e[step, col] = scores[ragged(lo[some], length)]
-        known = np.flatnonzero(lo[some] < at[new[some]])
-        e[0, known] = np.where(np.arange(TAGS) > 0, -1e4, 0)
+
+    def together(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Stretches of about one length, or few of any, and their scores (time, stretch, tags)."""
+        rows = rows[np.argsort((hi - lo)[rows], kind="stable")]
+        while len(rows):
+            some = rows[:512]
+            length = (hi - lo)[some]
+            some = some[(length <= 1.25 * length[0] + 8) | (length * np.arange(1, len(some) + 1) <= DECODED)]
+            rows, length = rows[len(some) :], length[: len(some)]
+            e = np.full((int(length.max()) + 1, len(some), TAGS), -1e4)
+            e[:, :, 0] = 0
+            step, col = ragged(np.zeros(len(some), np.int64), length), np.repeat(np.arange(len(some)), length)
+            e[step, col] = scores[ragged(lo[some], length)]
+            known = np.flatnonzero(lo[some] < at[new[some]])
+            e[0, known] = np.where(np.arange(TAGS) > 0, -1e4, 0)
+            yield some, e
+
+    out, hits = [], [some[~best_is_none(e, trans)] for some, e in together(np.arange(len(lo)))]
+    for some, e in together(np.concatenate(hits)):
         path = best_paths(e, trans)
-        hit = np.flatnonzero(path.any(axis=0))
-        if not len(hit):
-            continue
-        e, path, some = e[:, hit], path[:, hit], some[hit]
         sure = crf_passes(e, trans)[0]
         for j, w in enumerate(some.tolist()):
             tags, t, base = path[:, j], 0, int(lo[w] - begin[row[w]])

@@ -214,3 +214,32 @@ def test_what_is_not_plausible():
     assert not judged("4111 1111 1111 1111 4222 2222 2222 2222", "4111 1111 1111 1111 4222 2222 2222 2222", "card")
     assert judged("pay 4111 1111 1111 1112 now", "4111 1111 1111 1112", "card") and judged("to ann (at) ex.org", "ann (at) ex.org", "email")
     assert not judged("mail ann at home", "ann at home", "email")
+
+
+def test_stretches_left_out_hold_no_span():
+    """Random scores and transitions, spans that touch among them: each tag of the best path is searched, and "none" paths are known."""
+    rng = np.random.default_rng(11)
+    sizes = np.array([1, 40, 0, 25, 3] * 12)
+    for bias, spread in ((0.0, 2), (1.5, 2), (3.0, 2), (8.0, 0.3)):
+        tagger = Tagger.fresh()
+        tagger.p["trans"] = rng.normal(size=(TAGS, TAGS)).astype(np.float32) * spread
+        scores = rng.normal(size=(sizes.sum(), TAGS)).astype(np.float32) * 2
+        scores[:, 0] += bias
+        at, lo = set(pii.undecided(scores, sizes, tagger.transitions).tolist()), 0
+        for n in sizes.tolist():
+            e = np.concatenate([scores[lo : lo + n], [[0.0] + [-1e4] * (TAGS - 1)]])[:, None]
+            path = best_paths(e, tagger.transitions)[:n, 0]
+            assert {lo + int(i) for i in np.flatnonzero(path)} <= at
+            assert pii.best_is_none(e, tagger.transitions)[0] == (not path.any())
+            lo += n
+    assert len(at) < sizes.sum()
+
+
+def test_passes_have_about_as_many_windows(monkeypatch):
+    seen = []
+    monkeypatch.setattr(pii, "PASS_WINDOWS", 8)
+    tagger = Tagger.fresh()
+    whole = Tagger.emissions
+    monkeypatch.setattr(Tagger, "emissions", lambda self, x, n: (seen.append(len(x)), whole(self, x, n))[1])
+    pii.text_scores([symbols("ab" * 20)] * 9, tagger)
+    assert seen == [5, 4]
