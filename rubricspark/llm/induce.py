@@ -257,27 +257,41 @@ def _order(s: np.ndarray, room: int, base: int) -> np.ndarray:
 
 def _words(text: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
     """The first DEPTH bytes and some more from each place on, eight bytes a number, the first byte highest."""
+    raw = np.empty(len(text), np.uint8)
+    for lo in range(0, len(text), _BLOCK):
+        raw[lo : lo + _BLOCK] = np.asarray(text[lo : lo + _BLOCK]) - 1
+    every = np.ndarray(len(raw) - 7, ">u8", raw, strides=(1,))
     for k in range(0, DEPTH, 8):
-        word = np.zeros(len(at), np.uint64)
-        for b in range(8):
-            word = (word << np.uint64(8)) | (text[at + k + b] - 1).astype(np.uint64)
-        yield word
+        yield every[at + k].astype(np.uint64)
 
 
 def _sort_seeds(s: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Seeds in order by their first DEPTH bytes, and the common prefix of each with the one before."""
+    """Seeds in order by their first DEPTH bytes, and the common prefix of each with the one before.
+
+    Word by word, each time only those that agree in all words before; their group and the rank of the next word are one number.
+    """
     words = list(_words(s, seeds[:-1]))  # padding makes all of them whole
-    order = np.argsort(words[0], kind="stable")
-    same = np.diff(words[0][order]) == 0
-    tied = np.append(False, same) | np.append(same, False) if len(order) else np.zeros(0, bool)
-    if tied.any():
-        part = order[tied]
-        order[tied] = part[np.lexsort([w[part] for w in words[::-1]])]
+    order = np.argsort(words[0])
+    differs = np.append(True, np.diff(words[0][order]) != 0) if len(order) else np.zeros(0, bool)
+    for word in words[1:]:
+        at = np.flatnonzero(~(differs & np.append(differs[1:], True)))
+        if not len(at):
+            break
+        mine, group = word[order[at]], np.cumsum(differs[at])
+        by = np.argsort(mine)
+        rank = np.empty(len(at), np.int64)
+        rank[by] = np.cumsum(np.append(False, np.diff(mine[by]) != 0))
+        by = np.argsort((group << 32) | rank)
+        order[at] = order[at][by]
+        key, group = rank[by], group[by]
+        differs[at] = np.append(True, (np.diff(group) != 0) | (np.diff(key) != 0))
     lcp, ask = np.zeros(len(seeds), np.int64), np.arange(1, len(order))
     for word in words:
         other = word[order[ask - 1]] ^ word[order[ask]]
+        same = np.zeros(len(ask), np.int8)
         for bits in range(56, -8, -8):
-            lcp[ask + 1] += other < np.uint64(1 << bits)
+            same += other < np.uint64(1 << bits)
+        lcp[ask + 1] += same
         ask = ask[other == 0]
     return np.append(seeds[-1:], seeds[:-1][order]), np.minimum(lcp, DEPTH)
 

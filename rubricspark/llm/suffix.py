@@ -28,17 +28,17 @@ LENGTH, K = 50, 16
 SPAN = LENGTH - K + 1
 #: Bytes from which a shard ends, where groups allow; passages of the sorted stream that are settled together.
 SHARD, SETTLE = 1 << 21, 1 << 18
-_PIECE, _PLACE_BITS = 1 << 22, 24
+#: Rows that are settled together.
+TOGETHER = 1 << 16
+#: Bytes that are hashed at once: arrays of a piece stay in the cache.
+_PIECE, _PLACE_BITS = 1 << 15, 24
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def _words(text: np.ndarray) -> np.ndarray:
     """The eight bytes from each position on, as one number; zeros follow the end."""
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    out = padded[: len(text)].astype(np.uint64)
-    for k in range(1, 8):
-        out |= padded[k : len(text) + k].astype(np.uint64) << np.uint64(8 * k)
-    return out
+    return np.ndarray(len(text), "<u8", padded, strides=(1,)).astype(np.uint64)
 
 
 def _anchors_of(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,30 +66,37 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
     begin is the place of the first of count passages; digest is of all bytes of the run.
     """
-    rows, begins, counts, hashes = [], [], [], []
+    rows, begins, counts, hashes, places = [], [], [], [], []
     ends = np.cumsum([len(t) for t in texts])
     flat = np.frombuffer(b"".join(texts), np.uint8)
     for lo in range(0, len(flat), _PIECE):
         at, h = _anchors_of(flat[lo : lo + _PIECE + LENGTH - 1])
         if not len(at):
             continue
-        begin = lo + np.arange(len(at))
+        # runs end where the anchor changes and where a text ends; passages do not go over that end
+        last = int(np.searchsorted(ends, lo + len(at)))
+        cuts = ends[int(np.searchsorted(ends, lo, side="right")) : last] - lo
+        new = np.flatnonzero(at[1:] != at[:-1]) + 1
+        new = np.unique(np.concatenate([[0], new, cuts[cuts < len(at)]])) if len(cuts) else np.concatenate([[0], new])
+        begin = lo + new
         row = np.searchsorted(ends, begin, side="right")
-        inside = begin + LENGTH <= ends[row]  # passages do not go over the end of a text
-        at, row, begin = at[inside], row[inside], begin[inside]
-        if not len(at):
-            continue
-        new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (row[1:] != row[:-1])]))
-        rows.append(row[new])
-        begins.append(begin[new])
-        counts.append(np.diff(np.append(new, len(at))))
-        hashes.append(h[at[new]])
+        count = np.minimum(np.append(begin[1:], lo + len(at)), ends[row] - LENGTH + 1) - begin
+        some = count > 0
+        rows.append(row[some])
+        begins.append(begin[some])
+        counts.append(count[some])
+        hashes.append(h[at[new[some]]])
+        places.append(lo + at[new[some]])
     if not rows:
         none = np.zeros(0, np.int64)
         return none, none, none, none.view(np.uint64), none.view(np.uint64)
-    row, begin, count = np.concatenate(rows), np.concatenate(begins), np.concatenate(counts)
+    row, begin, count, h, place = (np.concatenate(x) for x in (rows, begins, counts, hashes, places))
+    if len(rows) > 1 and len(row):  # a run that goes on in the next piece is one
+        new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (row[1:] != row[:-1])]))
+        count = np.add.reduceat(count, new)
+        row, begin, h = row[new], begin[new], h[new]
     context = _digests(flat, begin, begin + count + LENGTH - 1)
-    return row, begin - np.where(row > 0, ends[row - 1], 0), count, np.concatenate(hashes), context
+    return row, begin - np.where(row > 0, ends[row - 1], 0), count, h, context
 
 
 _ROOT = np.uint64(0xD6E8FEB86659FD93)
@@ -99,15 +106,16 @@ _BYTE = np.random.default_rng(50).integers(0, 1 << 63, 256, dtype=np.uint64) * n
 
 def _digests(flat: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of the ranges [begin, end), from running sums of a polynomial."""
-    out = np.empty(len(begin), np.uint64)
+    out, power, back = np.empty(len(begin), np.uint64), np.ones(1, np.uint64), np.ones(1, np.uint64)
     lo = 0
     while lo < len(begin):
         hi = int(np.searchsorted(begin, begin[lo] + _PIECE))
         base, stop = int(begin[lo]), int(end[lo:hi].max())
         part = flat[base:stop]
-        power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(part), _ROOT)]))
-        back = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(part), _BACK)]))
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[part] * power[:-1])])
+        if len(part) >= len(power):
+            power, back = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(part), x)])) for x in (_ROOT, _BACK))
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTE[part] * power[: len(part)], out=total[1:])
         b, e = begin[lo:hi] - base, end[lo:hi] - base
         x = (total[e] - total[b]) * back[b] + (e - b).astype(np.uint64) * _B
         x ^= x >> np.uint64(31)
@@ -200,7 +208,7 @@ _RANGE = (1 << 40) - 1
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition sorted by (hash, digest, doc_id): what is settled, and what must be looked at.
+    """Of a partition sorted by k1, which begins with the hash: what is settled, and what must be looked at.
 
     Rows behind the first document with the same surroundings lose them (h null). Where one hash has several
     surroundings, in more than one document, the first document with each must be looked at (h not null). Of the last
@@ -212,21 +220,28 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = pa.nulls(len(doc), pa.int64()) if h is None else pa.array(h)
         return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(twin), place, of], names=["doc_id", "twin", "at", "h"])
 
-    held = [np.zeros(0, np.int64)] * 4
+    held, parts, size = [np.zeros(0, np.int64)] * 4, [], 0
     for batch in batches:
-        more = [batch.column(n).to_numpy() for n in ("k1", "k2", "doc_id", "twin")]
-        done = more[1] < 0
-        if done.any():
-            yield rows(more[2][done], more[3][done], more[1][done] & ((1 << 63) - 1), None)
-            more = [x[~done] for x in more]
-        yield from _settle_some(held, more, False, rows)
-    yield from _settle_some(held, [np.zeros(0, np.int64)] * 4, True, rows)
-
-
-def _settle_some(held: list[np.ndarray], more: list[np.ndarray], last: bool, rows) -> Iterator[pa.RecordBatch]:
-    k1, k2, doc, twin = (np.concatenate([a, b]) for a, b in zip(held, more, strict=True))
+        parts.append([batch.column(n).to_numpy() for n in ("k1", "k2", "doc_id", "twin")])
+        size += batch.num_rows
+        if size >= TOGETHER:
+            yield from _settle_some(held, parts, False, rows)
+            parts, size = [], 0
+    yield from _settle_some(held, parts, True, rows)
+
+
+def _settle_some(held: list[np.ndarray], parts: list[list[np.ndarray]], last: bool, rows) -> Iterator[pa.RecordBatch]:
+    k1, k2, doc, twin = (np.concatenate(x) for x in zip(held, *parts, strict=True))
+    done = k2 < 0
+    if done.any():
+        yield rows(doc[done], twin[done], k2[done] & ((1 << 63) - 1), None)
+        k1, k2, doc, twin = (x[~done] for x in (k1, k2, doc, twin))
     if not len(k1):
         return
+    same = k1[1:] == k1[:-1]
+    at = np.flatnonzero(np.append(False, same) | np.append(same, False))
+    by = at[np.lexsort((doc[at], k2[at] >> 40, k1[at]))]
+    k2[at], doc[at], twin[at] = k2[by], doc[by], twin[by]
     h, c = k1 >> 16, ((k1 & 0xFFFF) << 23) | (k2 >> 40)
     new_h = np.concatenate([[True], h[1:] != h[:-1]])
     new_c = new_h | np.concatenate([[True], c[1:] != c[:-1]])
@@ -271,38 +286,50 @@ def _send_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a partition sorted by h: ranges [lo, hi) that a document loses to one with a smaller doc_id."""
-    shard: list[tuple[bytes, int, int, int]] = []
+    shard: list[tuple] = []  # (contexts, their lengths, doc_id, twin, begin)
     size, last = 0, None
 
     def sort() -> Iterator[pa.RecordBatch]:
         nonlocal size
-        texts: dict[bytes, int] = {}
-        for ctx, doc, _, _ in shard:
-            old = texts.get(ctx)
-            texts[ctx] = doc if old is None else min(old, doc)
-        least = first_holders(list(texts), np.fromiter(texts.values(), np.int64, len(texts)))
-        at = dict(zip(texts, np.cumsum([0, *(len(t) - LENGTH + 1 for t in texts)]).tolist(), strict=False))
-        ids, twins, lows, highs = [], [], [], []
-        for ctx, doc, twin, begin in shard:
-            lost = least[at[ctx] : at[ctx] + len(ctx) - LENGTH + 1] < doc
-            if lost.any():
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], lost.astype(np.int8), [0]])))
-                for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                    ids.append(doc)
-                    twins.append(twin)
-                    lows.append(begin + a)
-                    highs.append(begin + b - 1 + LENGTH)
+        place: dict[bytes, int] = {}
+        of = np.array([place.setdefault(c, len(place)) for some in shard for c in some[0]], np.int64)
+        length, doc, twin, begin = (np.concatenate(x) for x in list(zip(*shard, strict=True))[1:])
+        owner = np.full(len(place), np.iinfo(np.int64).max)
+        np.minimum.at(owner, of, doc)
+        texts = list(place)
+        least = first_holders(texts, owner)
+        count = length - LENGTH + 1
+        first = np.cumsum([0, *(len(t) - LENGTH + 1 for t in texts)])[of]
         shard.clear()
         size = 0
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, twins, lows, highs)], names=["doc_id", "twin", "lo", "hi"])
+        for lo in range(0, len(of), 1 << 16):
+            n, d = count[lo : lo + (1 << 16)], doc[lo : lo + (1 << 16)]
+            ends = np.cumsum(n)
+            row, lost = np.repeat(np.arange(len(n)), n), least[ragged(first[lo : lo + (1 << 16)], n)] < np.repeat(d, n)
+            before, behind = np.append(False, lost[:-1]), np.append(lost[1:], False)
+            before[(ends - n)[n > 0]] = behind[ends[n > 0] - 1] = False
+            a, b = np.flatnonzero(lost & ~before), np.flatnonzero(lost & ~behind)
+            own = row[a]
+            start = begin[lo : lo + (1 << 16)][own] - (ends - n)[own]
+            cells = d[own], twin[lo : lo + (1 << 16)][own], start + a, start + b + LENGTH
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cells], names=["doc_id", "twin", "lo", "hi"])
 
     for batch in batches:
-        for h, ctx, doc, twin, begin in zip(*(batch.column(n).to_pylist() for n in ("h", "ctx", "doc_id", "twin", "begin")), strict=True):
-            if h != last and size > SHARD:
+        h, doc, twin, begin = (batch.column(n).to_numpy() for n in ("h", "doc_id", "twin", "begin"))
+        ctx, lo = batch.column("ctx").to_pylist(), 0
+        length = np.fromiter(map(len, ctx), np.int64, len(ctx))
+        new = np.append(last is None or h[:1] != last, h[1:] != h[:-1]) if len(h) else np.zeros(0, bool)
+        while lo < len(h):
+            held = size + np.cumsum(length[lo:]) - length[lo:]
+            cut = np.flatnonzero(new[lo:] & (held > SHARD))
+            hi = lo + int(cut[0]) if len(cut) else len(h)
+            if hi > lo:
+                shard.append((ctx[lo:hi], length[lo:hi], doc[lo:hi], twin[lo:hi], begin[lo:hi]))
+                size += int(length[lo:hi].sum())
+            if len(cut):
                 yield from sort()
-            last = h
-            shard.append((ctx, doc, twin, begin))
-            size += len(ctx)
+            lo = hi
+        last = h[-1] if len(h) else last
     if shard:
         yield from sort()
 
@@ -347,7 +374,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
         alone = named.join(twins, "doc_id", "left_anti").withColumn("twin", F.lit(0).cast("long"))
         named = alone.unionByName(named.join(twins, "doc_id", "left_semi").withColumn("twin", F.xxhash64("raw")))
     found = named.filter(F.length("raw") >= LENGTH).mapInArrow(_emit_anchors, "k1 long, k2 long, doc_id long, twin long")
-    dealt = found.repartition(F.shiftright("k1", 16)).sortWithinPartitions("k1", F.shiftrightunsigned("k2", 40), "doc_id")
+    dealt = found.repartition(F.shiftright("k1", 16)).sortWithinPartitions("k1")  # one number: a radix sort
     settled = materialize(dealt.mapInArrow(_settle, "doc_id long, twin long, at long, h long"))
 
     begin, count, row = F.col("at").bitwiseAND((1 << 34) - 1), F.shiftright("at", 34), ["doc_id", "twin"]

@@ -3,9 +3,10 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from rubricspark.llm import induce
+from rubricspark.llm import induce, suffix
 from rubricspark.llm.induce import suffixes_down
 from rubricspark.llm.queries import op9_suffix_dedup
 from rubricspark.llm.suffix import LENGTH, anchors, first_holders, remove_repeats
@@ -128,3 +129,32 @@ def test_odd_rows(spark, batch, request):
     assert got == sorted(slow_removal([(d, (t or "").encode()) for d, t in texts]))
     none = spark.createDataFrame([(None, base), (1, base)], "doc_id long, text string")
     assert sorted(r.n_removed for r in remove_repeats(none).collect()) == [0, 0]
+
+
+def test_pieces_do_not_show(monkeypatch):
+    """Anchors, runs and digests are the same however many bytes are hashed at once."""
+    r = np.random.default_rng(3)
+    texts = [bytes(r.integers(97, 101, int(n)).astype(np.uint8)) for n in (0, 49, 50, 51, 700, 0, 3000, 84)] + [b"x" * 400, b"ab" * 300]
+    monkeypatch.setattr(suffix, "_PIECE", 1 << 22)
+    whole = suffix.anchors(texts)
+    for piece in (1, 7, 64, 501):
+        monkeypatch.setattr(suffix, "_PIECE", piece)
+        assert all(np.array_equal(a, b) for a, b in zip(suffix.anchors(texts), whole, strict=True))
+
+
+def test_settling_needs_the_hash_order_only(monkeypatch):
+    """Rows of one hash may come in any order and in batches of any size; the smallest document of each surroundings stays."""
+    r = np.random.default_rng(4)
+    h, digest, doc = r.integers(0, 40, 600), r.integers(0, 3, 600), r.integers(0, 50, 600)
+    k1, k2 = (h << 16) | digest // 2, (digest % 2 << 40) | (1 << 34) | np.arange(600)
+    first = {}
+    for key, d in zip(zip(h.tolist(), digest.tolist(), strict=True), doc.tolist(), strict=True):
+        first[key] = min(d, first.get(key, d))
+    lost = sorted(i for i in range(600) if doc[i] > first[h[i], digest[i]])
+    for size, together in ((600, 1 << 16), (7, 1), (50, 120)):
+        monkeypatch.setattr(suffix, "TOGETHER", together)
+        order = np.lexsort((r.permutation(600), k1))
+        cells = [pa.array(x[order]) for x in (k1, k2, doc, np.zeros(600, np.int64))]
+        whole = pa.RecordBatch.from_arrays(cells, names=["k1", "k2", "doc_id", "twin"])
+        out = [b for b in suffix._settle(whole.slice(lo, size) for lo in range(0, 600, size))]
+        assert sorted((at & ((1 << 34) - 1)) for b in out for at, of in zip(b.column("at").to_pylist(), b.column("h").to_pylist(), strict=True) if of is None) == lost
