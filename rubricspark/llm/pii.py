@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,8 +33,8 @@ HIDDEN, EMBED = 8, 8
 TRAIN_WINDOW, WINDOW, STRIDE = 96, 1024, 960
 #: The share of held-back windows, and the precision that the least marginal probability of a span must reach on them.
 HELD_BACK, PRECISION = 0.15, 0.98
-#: Characters that a worker reads and decodes at once, and windows of one pass of the network.
-READ_CHARS, PASS_WINDOWS = 1 << 19, 320
+#: Characters that a worker reads at once, and windows of one pass of the network; bytes of texts that are decoded together.
+READ_CHARS, PASS_WINDOWS, TOGETHER_CHARS = 1 << 20, 1280, 1 << 23
 #: Steps of the network whose scores are turned to rows at once; characters whose certain "none" is looked for at once.
 TURNED, SURE_CHARS = 32, 1 << 15
 #: Steps times stretches that are decoded together whatever their lengths.
@@ -487,15 +488,17 @@ def undecided(scores: np.ndarray, sizes: np.ndarray, trans: np.ndarray) -> np.nd
     A span is part of the best path only if it wins over "none" all along. What a span that reaches a position can win
     at most, from any beginning before and to any end behind, comes from running sums; no position of a better path is
     left out. Spans that touch cost less than each between "none": of spans in a row one at least wins without the rest
-    but for what one touch saves, so a stretch in which none does is not searched either.
+    but for what the touch behind it saves, so a stretch in which none does is not searched either. What a touch saves
+    depends on the kind and on whether its last character is its first too.
     """
     first = np.zeros(len(scores), bool)
     first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
     some, core = np.zeros(len(scores), bool), np.zeros(len(scores), bool)
     begins = range(1, TAGS, 2)
     others = [0, *begins]  # what may follow a span
-    alone = {k: (trans[0, k] - trans[0, 0], trans[k : k + 2, 0].max() - trans[0, 0]) for k in begins}
-    saved = max(0.0, *(trans[j : j + 2, k].max() - trans[0, 0] - alone[j][1] - alone[k][0] for j in begins for k in begins))
+    alone = {k: trans[0, k] - trans[0, 0] for k in begins}
+    # what a span between "none" that ends with a tag must win at least to be one of spans in a row
+    asked = {j: trans[0, 0] - trans[j, 0] - max(0.0, *(trans[j, k] - trans[j, 0] - alone[k] for k in begins)) for j in range(1, TAGS)}
     ends, lo = np.cumsum(sizes), 0
     while lo < len(scores):  # whole texts, as many as stay in the cache
         hi = int(ends[max(np.searchsorted(ends, lo + SURE_CHARS, side="right") - 1, np.searchsorted(ends, lo, side="right"))])
@@ -504,7 +507,8 @@ def undecided(scores: np.ndarray, sizes: np.ndarray, trans: np.ndarray) -> np.nd
         for k in begins:
             enter = (trans[:, k] - trans[:, 0]).max()
             start = e[k] + enter
-            start[starts] = np.maximum(e[k], e[k + 1])[starts] + max(enter, enter - alone[k][0])
+            start[starts] = np.maximum(e[k], e[k + 1])[starts] + max(enter, enter - alone[k])
+            core[lo:hi] |= start >= -1e-3 + enter - alone[k] + asked[k]
             leave = (trans[k : k + 2, others] - trans[0, others]).max()
             total = e[k + 1]
             total += trans[k : k + 2, k + 1].max() - trans[0, 0]
@@ -513,13 +517,58 @@ def undecided(scores: np.ndarray, sizes: np.ndarray, trans: np.ndarray) -> np.nd
             np.maximum.accumulate(start, out=start)
             start += np.maximum.accumulate(total[::-1])[::-1]
             some[lo:hi] |= start >= -1e-3 - leave
-            core[lo:hi] |= start >= -1e-3 - saved + enter - sum(alone[k])
+            core[lo:hi] |= start >= -1e-3 + enter - alone[k] + asked[k + 1]
         lo = hi
     at = np.flatnonzero(some)
     new = np.flatnonzero(np.concatenate([[True], (np.diff(at) > 1) | first[at[1:]]])) if len(at) else at
     return at[np.repeat(np.logical_or.reduceat(core[at], new), np.diff(np.append(new, len(at))))] if len(at) else at
 
 
+def maybe_other(scores: np.ndarray, lo: np.ndarray, length: np.ndarray, known: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Which stretches [lo, lo + length) may have another best path than "none" all along; known: whose first tag is "none".
+
+    By the scores of best paths without their tags, never too low: a further character has two tags before it, and all
+    others count as the best of them by the dearest way, which is cheaper than theirs. A margin covers single precision.
+    All stretches go on together, the longest first, until they end.
+    """
+    order = np.argsort(-length, kind="stable")
+    long, n = length[order], len(order)
+    running = n - np.searchsorted(long[::-1], np.arange(int(long[0])), side="right")
+    begin = np.cumsum(running) - running
+    source = np.empty(int(long.sum()), np.int64)
+    source[begin[ragged(np.zeros(n, np.int64), long)] + np.repeat(np.arange(n), long)] = ragged(lo[order], long)
+    t32 = trans.astype(np.float32)
+    e = np.ascontiguousarray(scores[source].T)  # step by step, relative to "none", so that sums stay small
+    e[1:] -= e[0]
+    e[1:] -= t32[0, 0]
+    first, more = [0, *range(1, TAGS, 2)], np.arange(2, TAGS, 2)
+    into = np.ascontiguousarray(t32[:, first].T)[:, :, None]
+    into[0] -= t32[0, 0]
+    rest = np.array([np.delete(t32[:, k], (k - 1, k)).max() for k in more], np.float32)[:, None]
+    own, start = t32[more, more][:, None], t32[more - 1, more][:, None]
+    # paths that have had another tag; "none" all along is 0, and may go on as any tag
+    score = np.full((TAGS, n), -1e4, np.float32)
+    score[1:] = np.where(known[order], score[1:], e[1:, :n] + t32[0, 0])
+    fresh = into[1:, 0]
+    every, out = np.empty((len(first), TAGS, n), np.float32), np.empty(n, bool)
+    for t, m in enumerate(np.append(running[1:], 0).tolist(), 1):
+        if m < score.shape[1]:  # those that end have "none" behind them
+            out[order[m : score.shape[1]]] = (score[:, m:] + into[0]).max(axis=0) > -1e-2
+            score, every = score[:, :m], every[:, :, :m]
+            if not m:
+                break
+        np.add(score, into, out=every)
+        best = every.max(axis=1)
+        cont = np.maximum(score[2::2] + own, score[1::2] + start)
+        np.maximum(cont, np.maximum(score.max(axis=0), 0) + rest, out=cont)
+        np.maximum(best[1:], fresh, out=best[1:])
+        now = e[:, begin[t] : begin[t] + m]
+        score[0] = best[0]
+        np.add(best[1:], now[1::2], out=score[1::2])
+        np.add(cont, now[2::2], out=score[2::2])
+    return out
+
+
 def best_is_none(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
     """Which of e (time, batch, tags) have "none" all along as their best path, by the scores of best paths without their tags."""
     by_tag = np.ascontiguousarray(e.transpose(0, 2, 1))
@@ -533,46 +582,59 @@ def best_is_none(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
     return score.max(axis=0) <= none
 
 
-def decode(scores: np.ndarray, sizes: np.ndarray, tagger: Tagger) -> list[tuple[int, int, int, int, float]]:
-    """(text, start, kind, end, sureness) of the best tags of each whole text; sureness is the least marginal probability.
+def stretches(scores: np.ndarray, sizes: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, place in it, whether "none" is certain there, length, scores) of what has to be decoded of whole texts.
 
-    scores are those of the texts, one after the other; behind its end a text has "none". Texts are cut where the best
-    path has "none" for certain, and the stretches between are decoded, those of about one length together.
+    scores are those of the texts, one after the other. Texts are cut where the best path has "none" for certain.
     """
-    trans = tagger.transitions
     at = undecided(scores, sizes, trans)
-    if not len(at):
-        return []
     begin = np.cumsum(sizes) - sizes
-    text = np.repeat(np.arange(len(sizes)), sizes)
-    new = np.flatnonzero(np.concatenate([[True], (np.diff(at) > 1) | (np.diff(text[at]) > 0)]))
-    row = text[at[new]]
+    text = np.searchsorted(begin + sizes, at, side="right")
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(at) > 1) | (np.diff(text) > 0)])) if len(at) else at
+    row = text[new]
     # with the certain "none" before, but for a text's beginning
     lo = np.maximum(begin[row], at[new] - 1)
-    hi = at[np.append(new[1:], len(at)) - 1] + 1
+    length = at[np.append(new, len(at))[1:] - 1] + 1 - lo
+    return row, lo - begin[row], lo < at[new], length, scores[ragged(lo, length)]
+
+
+def decode(scores: np.ndarray, sizes: np.ndarray, tagger: Tagger) -> list[tuple[int, int, int, int, float]]:
+    """(text, start, kind, end, sureness) of the best tags of each whole text; sureness is the least marginal probability.
+
+    scores are those of the texts, one after the other; behind its end a text has "none".
+    """
+    return decode_stretches([stretches(scores, sizes, tagger.transitions)], tagger)
+
+
+def decode_stretches(parts: list[tuple[np.ndarray, ...]], tagger: Tagger) -> list[tuple[int, int, int, int, float]]:
+    """What ``decode`` gives, of any number of ``stretches``; those of about one length are decoded together."""
+    row, place, known, length, scores = (np.concatenate(x) for x in zip(*parts, strict=True))
+    if not len(row):
+        return []
+    trans, lo = tagger.transitions, np.cumsum(length) - length
 
     def together(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Stretches of about one length, or few of any, and their scores (time, stretch, tags)."""
-        rows = rows[np.argsort((hi - lo)[rows], kind="stable")]
+        rows = rows[np.argsort(length[rows], kind="stable")]
         while len(rows):
             some = rows[:512]
-            length = (hi - lo)[some]
-            some = some[(length <= 1.25 * length[0] + 8) | (length * np.arange(1, len(some) + 1) <= DECODED)]
-            rows, length = rows[len(some) :], length[: len(some)]
-            e = np.full((int(length.max()) + 1, len(some), TAGS), -1e4)
+            long = length[some]
+            some = some[(long <= 1.25 * long[0] + 8) | (long * np.arange(1, len(some) + 1) <= DECODED)]
+            rows, long = rows[len(some) :], long[: len(some)]
+            e = np.full((int(long.max()) + 1, len(some), TAGS), -1e4)
             e[:, :, 0] = 0
-            step, col = ragged(np.zeros(len(some), np.int64), length), np.repeat(np.arange(len(some)), length)
-            e[step, col] = scores[ragged(lo[some], length)]
-            known = np.flatnonzero(lo[some] < at[new[some]])
-            e[0, known] = np.where(np.arange(TAGS) > 0, -1e4, 0)
+            step, col = ragged(np.zeros(len(some), np.int64), long), np.repeat(np.arange(len(some)), long)
+            e[step, col] = scores[ragged(lo[some], long)]
+            e[0, known[some]] = np.where(np.arange(TAGS) > 0, -1e4, 0)
             yield some, e
 
-    out, hits = [], [some[~best_is_none(e, trans)] for some, e in together(np.arange(len(lo)))]
+    maybe = np.flatnonzero(maybe_other(scores, lo, length, known, trans))
+    out, hits = [], [some[~best_is_none(e, trans)] for some, e in together(maybe)] or [maybe]
     for some, e in together(np.concatenate(hits)):
         path = best_paths(e, trans)
         sure = crf_passes(e, trans)[0]
         for j, w in enumerate(some.tolist()):
-            tags, t, base = path[:, j], 0, int(lo[w] - begin[row[w]])
+            tags, t, base = path[:, j], 0, int(place[w])
             while t < len(tags):
                 if tags[t] == 0:
                     t += 1
@@ -606,20 +668,20 @@ def plausible(text: str, a: int, kind: int, b: int) -> bool:
 
 def added_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, int]]]:
     """What the network finds in each whole text with every character as sure as the tagger asks, if it is plausible."""
-    out: list[list[tuple[int, int, int]]] = []
-    lo = 0
+    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    parts, lo = [], 0
     while lo < len(texts):
         hi, size = lo, 0
         while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= READ_CHARS):
             size += len(texts[hi])
             hi += 1
         coded = [symbols(t) for t in texts[lo:hi]]
-        own: list[list[tuple[int, int, int]]] = [[] for _ in coded]
-        for i, a, k, b, sure in decode(text_scores(coded, tagger), np.array([len(c) for c in coded]), tagger):
-            if sure >= tagger.sure and plausible(texts[lo + i], a, k, b):
-                own[i].append((a, k, b))
-        out += own
+        row, *rest = stretches(text_scores(coded, tagger), np.array([len(c) for c in coded]), tagger.transitions)
+        parts.append((row + lo, *rest))
         lo = hi
+    for i, a, k, b, sure in decode_stretches(parts, tagger) if parts else ():
+        if sure >= tagger.sure and plausible(texts[i], a, k, b):
+            out[i].append((a, k, b))
     return out
 
 
@@ -673,6 +735,24 @@ def fit_tagger(docs: DataFrame) -> Tagger | None:
     return tagger
 
 
+def rows_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches, the last column of which is a text, put together or cut: about TOGETHER_CHARS bytes of texts, and one row more at most."""
+    held, size = [], 0
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False)
+        lo = 0
+        while lo < batch.num_rows:
+            n = int(np.searchsorted(size + np.cumsum(lengths[lo:]), TOGETHER_CHARS)) + 1
+            held.append(batch.slice(lo, n))
+            size += int(lengths[lo : lo + n].sum())
+            lo += n
+            if size >= TOGETHER_CHARS:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def find_personal_data(docs: DataFrame, tagger: Tagger | None, keep: list[str]) -> DataFrame:
     """The columns in ``keep``, base and spans (strings of kind:start:end), n_email, n_ip, n_card, n_phone of base, and
     n_secret and n_added of what the network adds.
@@ -687,9 +767,8 @@ def find_personal_data(docs: DataFrame, tagger: Tagger | None, keep: list[str])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = held.value
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+        for part in rows_together(batches):
+            if part.num_rows:
                 texts = [x or "" for x in part.column(part.num_columns - 1).to_pylist()]
                 base = [base_spans(t) for t in texts]
                 more = added_spans(texts, tagger) if tagger else [[] for _ in texts]

@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rubricspark.llm import pii
@@ -243,3 +244,49 @@ def test_passes_have_about_as_many_windows(monkeypatch):
     monkeypatch.setattr(Tagger, "emissions", lambda self, x, n: (seen.append(len(x)), whole(self, x, n))[1])
     pii.text_scores([symbols("ab" * 20)] * 9, tagger)
     assert seen == [5, 4]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_stretches_go_on_together(seed):
+    """Which stretches hold another tag is known without decoding each, whatever their lengths, and at a text's beginning too."""
+    r = np.random.default_rng(seed)
+    trans = r.normal(size=(pii.TAGS, pii.TAGS)) + pii._ALLOWED
+    length = r.integers(1, 40, 60)
+    length[0] = 700
+    known = r.uniform(size=60) < 0.7
+    scores = r.normal(size=(int(length.sum()), pii.TAGS)).astype(np.float32)
+    scores[:, 0] += r.uniform(2, 6, 60).repeat(length)
+    lo = np.cumsum(length) - length
+    want = []
+    for a, n, k in zip(lo, length, known, strict=True):
+        e = np.full((n + 1, 1, pii.TAGS), -1e4)
+        e[:, :, 0] = 0
+        e[:n, 0] = scores[a : a + n]
+        if k:
+            e[0, 0] = np.where(np.arange(pii.TAGS) > 0, -1e4, 0)
+        want.append(bool(pii.best_paths(e, trans)[:, 0].any()))
+    got = pii.maybe_other(scores, lo, length, known, trans)
+    assert got[want].all() and got.sum() <= sum(want) + 2 and 5 < sum(want) < 55  # a path that falls short by a hair may count
+
+
+def test_texts_are_decoded_together(monkeypatch):
+    """Texts that are read in several goes are decoded in one, with the spans that each has alone."""
+    tagger = pii.Tagger.fresh(3)
+    tagger.p["out_b"][0], tagger.sure = 0.3, 0.0
+    r = np.random.default_rng(5)
+    texts = ["".join(r.choice(list("ab1 .@-"), int(n))) for n in (0, 1, 30, 900, 1500, 0, 60, 300)]
+    alone = [pii.added_spans([t], tagger)[0] for t in texts]
+    monkeypatch.setattr(pii, "READ_CHARS", 400)
+    calls, decode = [], pii.decode_stretches
+    monkeypatch.setattr(pii, "decode_stretches", lambda parts, t: (calls.append(len(parts)), decode(parts, t))[1])
+    assert pii.added_spans(texts, tagger) == alone and calls == [4] and any(alone)
+
+
+def test_rows_are_read_together(monkeypatch):
+    monkeypatch.setattr(pii, "TOGETHER_CHARS", 10)
+    texts = ["abc", None, "", "defg", "x" * 40, "hi", "ä" * 3, "jk", "l"]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts)], names=["id", "text"])
+    for step in (1, 4, 9):
+        parts = list(pii.rows_together(whole.slice(lo, step) for lo in range(0, 9, step)))
+        assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([whole]))
+        assert all(sum(len((t or "").encode()) for t in p.column("text").to_pylist()[:-1]) < 10 for p in parts) and len(parts) == 3
