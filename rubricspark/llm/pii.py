@@ -270,6 +270,17 @@ def best_paths(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
     return tags
 
 
+_SPACES: dict[str, np.ndarray] = {}
+
+
+def _space(name: str, shape: tuple[int, ...]) -> np.ndarray:
+    """Memory of a worker that is used again: touching it anew for each pass costs as much as reading a window."""
+    size = int(np.prod(shape))
+    if name not in _SPACES or len(_SPACES[name]) < size:
+        _SPACES[name] = np.zeros(size, np.float32)
+    return _SPACES[name][:size].reshape(shape)
+
+
 @dataclass
 class Tagger:
     p: dict[str, np.ndarray]
@@ -302,7 +313,7 @@ class Tagger:
         by_gate = lambda m: m.reshape(len(m), 4, HIDDEN).transpose(1, 0, 2)
         table = np.ascontiguousarray(np.concatenate([by_gate(p["embed"] @ p[f"w{d}"] + p[f"b{d}"]) for d in "fr"], axis=1), f32)
         u = np.ascontiguousarray(np.stack([by_gate(p[f"u{d}"]) for d in "fr"], axis=1), f32) * half
-        hidden = np.zeros((2, long, n, HIDDEN), f32)
+        hidden = _space("hidden", (2, long, n, HIDDEN))
         h, c, t = np.zeros((2, n, HIDDEN), f32), np.zeros((2, n, HIDDEN), f32), 0
         running = n - np.searchsorted(ends[::-1], np.arange(long), side="right")
         while t < long:
@@ -328,18 +339,29 @@ class Tagger:
                 h = hidden[:, t, :m]
                 np.multiply(o, tc, out=h)
             t = stop
-        # scores of each direction row by row, turned from steps in blocks that stay in the cache
-        scored = np.empty((2, n, long, TAGS), f32)
-        for d, w in enumerate((p["out"][:HIDDEN], p["out"][HIDDEN:])):
-            w = w.astype(f32) * half
-            for lo in range(0, long, TURNED):
-                some = hidden[d, lo : lo + TURNED]
-                scored[d, :, lo : lo + TURNED] = (some.reshape(-1, HIDDEN) @ w).reshape(len(some), n, TAGS).transpose(1, 0, 2)
-        out, begin = np.empty((int(sizes.sum()), TAGS), f32), np.cumsum(sizes) - sizes
-        for j, (a, size) in enumerate(zip(begin[by].tolist(), ends.tolist(), strict=True)):
-            np.add(scored[0, j, :size], scored[1, j, :size][::-1], out=out[a : a + size])
-        out += p["out_b"]
-        return out
+        # scores row by row: of whole rows turned from steps in blocks that stay in the cache, of the others each for itself
+        out, whole = np.empty((int(sizes.sum()), TAGS), f32), int(np.searchsorted(-ends, -long, side="right"))
+        forth, back = (w.astype(f32) * half for w in (p["out"][:HIDDEN], p["out"][HIDDEN:]))
+        full = out[: whole * long].reshape(whole, long, TAGS)
+        for lo in range(0, long, TURNED):
+            some = hidden[0, lo : lo + TURNED, :whole]
+            scored = (some.reshape(-1, HIDDEN) @ forth).reshape(len(some), whole, TAGS)
+            scored += p["out_b"]
+            full[:, lo : lo + len(some)] = scored.transpose(1, 0, 2)
+        for lo in range(0, long, TURNED):
+            some = hidden[1, lo : lo + TURNED, :whole]
+            scored = (some.reshape(-1, HIDDEN) @ back).reshape(len(some), whole, TAGS)
+            full[:, long - lo - len(some) : long - lo] += scored[::-1].transpose(1, 0, 2)
+        at = whole * long
+        for k, size in enumerate(ends[whole:].tolist(), whole):
+            np.add(hidden[0, :size, k] @ forth, (hidden[1, :size, k] @ back)[::-1], out=out[at : at + size])
+            at += size
+        out[whole * long :] += p["out_b"]
+        if (by == np.arange(n)).all():
+            return out
+        place = np.empty(n, np.int64)
+        place[by] = np.cumsum(ends) - ends
+        return out[ragged(place, sizes)]
 
     @property
     def transitions(self) -> np.ndarray:
@@ -459,7 +481,7 @@ def text_scores(coded: list[np.ndarray], tagger: Tagger) -> np.ndarray:
     base = np.cumsum(sizes) - sizes
     flat = np.concatenate([*coded, np.zeros(0, np.uint8)])
     starts = [(i, s) for i, n in enumerate(sizes.tolist()) for s in window_starts(n)]
-    out = np.zeros((len(flat), TAGS), np.float32)
+    out = np.empty((len(flat), TAGS), np.float32)
     if not starts:
         return out
     row, begin = np.array(starts, np.int64).T
@@ -708,7 +730,7 @@ def least_sureness(tagger: Tagger, x: np.ndarray, y: np.ndarray) -> float:
 def fit_tagger(docs: DataFrame) -> Tagger | None:
     """Trains on a bounded sample of ``docs`` (doc_id, text); None where there is no text to learn from."""
     usable = docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") > 0))
-    usable = usable.select(F.col("doc_id").alias("_id"), F.col("text").rlike("[0-9@]").alias("has"))
+    usable = materialize(usable.select(F.col("doc_id").alias("_id"), F.col("text").rlike("[0-9@]").alias("has")))  # texts are searched once
     by = [F.xxhash64("_id"), "_id"]
     some = usable.filter("has").orderBy(*by).limit(SAMPLE_ROWS).unionByName(usable.filter("NOT has").orderBy(*by).limit(OTHER_ROWS))
     some = some.select("_id").distinct()
