@@ -34,7 +34,7 @@ TRAIN_WINDOW, WINDOW, STRIDE = 96, 1024, 960
 #: The share of held-back windows, and the precision that the least marginal probability of a span must reach on them.
 HELD_BACK, PRECISION = 0.15, 0.98
 #: Characters that a worker reads at once, and windows of one pass of the network; bytes of texts that are decoded together.
-READ_CHARS, PASS_WINDOWS, TOGETHER_CHARS = 1 << 20, 1280, 1 << 23
+READ_CHARS, PASS_WINDOWS, TOGETHER_CHARS = 1 << 20, 320, 1 << 24
 #: Steps of the network whose scores are turned to rows at once; characters whose certain "none" is looked for at once.
 TURNED, SURE_CHARS = 32, 1 << 15
 #: Steps times stretches that are decoded together whatever their lengths.
